@@ -1,0 +1,52 @@
+"""Pieces shared by the operators that bisect many groups at once."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a state table that are broadcast at most (some tens of bytes each).
+BROADCAST_ROWS = 200_000
+#: Rows from which a single key is joined by broadcast instead of by shuffle.
+HOT_ROWS = 1_000_000
+
+
+def order_code(value: Column) -> Column:
+    """BIGINT that sorts as the DOUBLE ``value`` does (IEEE bits, negatives mirrored; -0.0 equals 0.0).
+
+    ``value`` must be neither null nor NaN.
+    """
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
+
+
+def span_shift(lo: Column, hi: Column, bits: int) -> Column:
+    """Right shift that maps halved codes of [lo, hi] onto less than ``2**bits + 1`` bins; -1 if the span is one half step."""
+    width = F.shiftright(hi, 1) - F.shiftright(lo, 1)
+    return F.when(width <= 0, F.lit(-1)).otherwise(F.greatest(F.lit(0), F.length(F.bin(width)) - F.lit(bits))).cast("int")
+
+
+def bin_of(code: Column, lo: Column, shift: Column) -> Column:
+    """Bin of ``code`` in its interval, never falling as ``code`` rises.
+
+    Codes are halved first, so that the difference of two of them can't overflow;
+    when lo and hi fall on the same half (shift -1) they are told apart directly.
+    """
+    half = F.shiftright(code, 1) - F.shiftright(lo, 1)
+    return F.when(shift < 0, code - lo).otherwise(F.call_function("shiftright", half, F.greatest(shift, F.lit(0))))
+
+
+def attach(rows: DataFrame, state: DataFrame, on: list[str], weight: str, total: int, *, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of all rows with the state rows of their key.
+
+    A small state is broadcast. A larger one is split: keys with many rows are
+    at most ``total / hot_rows`` in number, so they are broadcast and their rows
+    never leave their partitions; the others meet in a shuffle in which no key
+    is large. ``weight`` is the state column that holds a key's number of rows.
+    """
+    if state.count() <= broadcast_rows:
+        return rows.join(F.broadcast(state), on)
+    limit = max(hot_rows, total // broadcast_rows + 1)
+    hot, cold = state.where(F.col(weight) > limit), state.where(F.col(weight) <= limit)
+    few = F.broadcast(hot.select(*on).distinct())
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(few, on, "left_anti").join(cold, on))
