@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
+from . import sensor_queries
+
+QUERIES: dict = {**sensor_queries.QUERIES}
+SQL: dict[str, str] = {**sensor_queries.SQL}
+FLAGSHIP = sensor_queries.p4_found
