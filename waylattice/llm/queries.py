@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .contamination import leaked_passages
 from .nearest_time import nearest_in_time
 from .percentiles import percentiles, percentiles_bounded
 from .top_n import top_n_per_group
@@ -51,6 +52,11 @@ def p5_bounded(spark: SparkSession, d: str) -> DataFrame:
     return percentiles_bounded(table(spark, d, "frame_timing"), "run_id", "run_day", "frame_idx", TIMINGS)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded)
+    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded, p6_found)
 }
