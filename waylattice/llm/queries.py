@@ -11,6 +11,7 @@ from ..sources.tables import table
 from .contamination import leaked_passages
 from .nearest_time import nearest_in_time
 from .percentiles import percentiles, percentiles_bounded
+from .subjects import subject_areas
 from .top_n import top_n_per_group
 
 TIMINGS = ("slam_track_sec", "frame_total_sec", "rss_mb")
@@ -57,6 +58,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean posterior of each subject in the corpus."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 6).alias("posterior"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded, p6_found)
+    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded, p6_found, p8_found, p8_composition)
 }
