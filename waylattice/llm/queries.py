@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .contamination import leaked_passages
+from .mixture import mix_sources
 from .nearest_time import nearest_in_time
 from .percentiles import percentiles, percentiles_bounded
 from .subjects import subject_areas
@@ -58,6 +59,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each target; sources without documents reach nothing."""
+    name = F.lower(F.trim("source"))
+    targets = table(spark, d, "source_targets").select(name.alias("source"), "target_share", "max_repeats")
+    used = _mixture(spark, d).groupBy("source").agg(
+        F.first("reached_share").alias("reached"), F.first("reached_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"),
+    )
+    return targets.join(used, "source", "left").select(
+        "source", "target_share", "max_repeats", F.coalesce("reached", F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+    )
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
 
@@ -72,5 +94,5 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded, p6_found, p8_found, p8_composition)
+    f.__name__: f for f in (p1_found, p1_time_diff, p2_found, p2_ranked, p5_percentiles, p5_bounded, p6_found, p7_mixture, p7_shares, p8_found, p8_composition)
 }
