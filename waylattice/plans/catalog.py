@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import sensor_queries
+from . import loop_queries, sensor_queries, trajectory_queries
 
-QUERIES: dict = {**sensor_queries.QUERIES}
-SQL: dict[str, str] = {**sensor_queries.SQL}
-FLAGSHIP = sensor_queries.p4_found
+_MODULES = (sensor_queries, trajectory_queries, loop_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
+FLAGSHIP = trajectory_queries.ate_3d
