@@ -148,15 +148,15 @@ def occupancy_fold(cells: DataFrame, by: list[str], order: str, inner: str) -> D
     start = fields(F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
     then = lambda m, e: fields(m["d"] + e["d"], clip(m["lo"] + e["d"], e["lo"], e["hi"]), clip(m["hi"] + e["d"], e["lo"], e["hi"]))
     keys = [*by, "gx", "gy"]
-    maps = cells.select(*keys, F.col(order).cast("bigint").alias("at"), F.col(inner).cast("bigint").alias("then"), delta.alias("d"), least.alias("lo"), most.alias("hi"), F.lit(1).cast("bigint").alias("n"))
+    maps = cells.select(*keys, F.col(order).cast("bigint").alias("_at"), F.col(inner).cast("bigint").alias("_then"), fields(delta, least, most).alias("_m"), F.lit(1).cast("bigint").alias("_n"))
     for level in range(5):
-        group = F.col("at") if level == 0 else F.shiftright("at", 10)
-        entry = F.struct("then" if level == 0 else "at", "d", "lo", "hi")
-        folded = maps.groupBy(*keys, group.alias("at")).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.sum("n").alias("n"))
-        maps = folded.select(*keys, "at", F.aggregate("e", start, then).alias("m"), "n").select(*keys, "at", "m.d", "m.lo", "m.hi", "n")
+        group = F.col("_at") if level == 0 else F.shiftright("_at", 10)
+        entry = F.struct(F.col("_then" if level == 0 else "_at").alias("at"), "_m.d", "_m.lo", "_m.hi")
+        folded = maps.groupBy(*keys, group.alias("_at")).agg(F.array_sort(F.collect_list(entry)).alias("_e"), F.sum("_n").alias("_n"))
+        maps = folded.select(*keys, "_at", F.aggregate("_e", start, then).alias("_m"), "_n")
     # ids up to 2 ** 40 are now one or a few maps
-    last = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "d", "lo", "hi"))).alias("e"), F.sum("n").alias("visits"))
-    done = F.aggregate("e", start, then)
+    last = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_m.d", "_m.lo", "_m.hi"))).alias("_e"), F.sum("_n").alias("visits"))
+    done = F.aggregate("_e", start, then)
     return last.select(*keys, "visits", clip(done["d"], done["lo"], done["hi"]).alias("l"))
 
 

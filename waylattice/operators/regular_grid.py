@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Slots of one chunk of a series, and slots of its neighbours that it sees.
-CHUNK_SLOTS, HALO_SLOTS = 1024, 64
+#: Slots of one chunk of a series, and slots of its neighbours that it sees (more than FILL_SLOTS, so that long runs are known as such).
+CHUNK_SLOTS, HALO_SLOTS = 1024, 128
 #: Embedding window, kept components and rounds of the imputation.
 WINDOW, RANK, ROUNDS, SETTLED = 24, 4, 40, 1e-3
 #: A longer run of missing slots is marked but not filled: nothing in it is known.
