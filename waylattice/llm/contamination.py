@@ -174,10 +174,14 @@ def passage(hit: np.ndarray, counted: np.ndarray) -> bool:
     hit = hit & counted
     if hit.sum() < LEAST_WORDS * (1 - EDIT_SHARE):
         return False
-    # a formula in between ends a passage
+    if len(hit) < LEAST_WORDS:
+        return False
+    # a formula in between ends a passage; its first and last word are found ones
     score = np.concatenate([[0.0], np.cumsum(np.where(counted, np.where(hit, EDIT_SHARE, EDIT_SHARE - 1.0), -1e6))])
-    best = np.maximum.accumulate(score[::-1])[::-1]
-    return bool((best[LEAST_WORDS:] - score[: len(score) - LEAST_WORDS] >= -1e-9).any()) if len(score) > LEAST_WORDS else False
+    start = np.where(hit, score[:-1], np.inf)
+    end = np.where(hit, score[1:], -np.inf)
+    best = np.maximum.accumulate(end[::-1])[::-1]  # best end at or after each word
+    return bool((best[LEAST_WORDS - 1 :] - start[: len(start) - LEAST_WORDS + 1] >= -1e-9).any())
 
 
 def _words(index: Index, item: int, text: bytes, hits: list[tuple[int, int]]) -> np.ndarray:

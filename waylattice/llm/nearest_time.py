@@ -28,8 +28,10 @@ def fit_segments(keys: np.ndarray, error: int) -> tuple[np.ndarray, np.ndarray]:
         run = keys[ends] - keys[starts]
         with np.errstate(over="ignore", invalid="ignore"):
             slopes = np.where(run > 0, (ends - starts) / np.where(run > 0, run, 1.0), 0.0)
+        slopes[~np.isfinite(slopes)] = 0.0  # keys closer than a division can tell: the bound then comes from halving
         size = ends - starts + 1
-        miss = np.abs(np.repeat(starts + 0.0, size) + (keys - np.repeat(keys[starts], size)) * np.repeat(slopes, size) - position)
+        with np.errstate(over="ignore"):
+            miss = np.abs(np.repeat(starts + 0.0, size) + (keys - np.repeat(keys[starts], size)) * np.repeat(slopes, size) - position)
         bad = (np.maximum.reduceat(miss, starts) > error) & (size > error + 1)
         if not bad.any():
             return starts, slopes
@@ -41,7 +43,8 @@ def positions(keys: np.ndarray, queries: np.ndarray, error: int) -> np.ndarray:
     starts, slopes = fit_segments(keys, error)
     ends = np.append(starts[1:], len(keys))
     seg = np.clip(np.searchsorted(keys[starts], queries, side="right") - 1, 0, None)
-    guess = starts[seg] + (queries - keys[starts][seg]) * slopes[seg]
+    with np.errstate(over="ignore"):
+        guess = starts[seg] + (queries - keys[starts][seg]) * slopes[seg]
     first, last = starts[seg], ends[seg]
     # the model errs by at most `error` at keys, hence by one more between two of them
     lo = np.clip(np.floor(guess) - error - 1, first, last).astype(np.int64)

@@ -19,7 +19,7 @@ from ..session import cut
 
 #: Labelled documents, and documents whose section names a subject, from which the lexicon is fitted at most.
 FIT_DOCS = 20_000
-#: A term is a run of up to so many words, none of its ends in more than this share of the fitted documents.
+#: A term is a run of up to so many words, none of its ends in more than this share of the documents of most subjects.
 TERM_WORDS, STOP_SHARE = 3, 0.12
 #: A term names a subject if this share of its documents has it and that is no chance (nats over the prior);
 #: it is ambiguous between two or three subjects if they share it out among themselves.
@@ -28,6 +28,8 @@ TERM_PURITY, TERM_EVIDENCE, SPLIT_PURITY, SPLIT_EVIDENCE = 0.6, 9.0, 0.65, 25.0
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.125
 #: Sentence that stands in more than this share of the documents, and in more than so many: formula.
 FORMULA_SHARE, FORMULA_DOCS = 0.002, 5
+#: Votes by which the lexicon's answers to false and true pairs are known beforehand, for corpora too small to learn them.
+PRIOR = (np.array([200.0, 5.0, 2.0, 0.5]), np.array([0.5, 2.0, 4.0, 40.0]))
 #: Posterior from which a subject is assigned, and rounds of the latent model.
 LEAST_POSTERIOR, ROUNDS = 0.5, 50
 
@@ -87,24 +89,22 @@ def fit_lexicon(training: DataFrame, subjects: list[str], seeds: dict[str, int])
     The rows are a bounded sample of labelled documents; their counts are added up
     per partition, and only terms that pass the tests come to the driver.
     """
-    k = len(subjects)
+    k, spark = len(subjects), training.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        docs = 0
+        seen: Counter[tuple[str, int]] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                docs += 1
-                seen.update({w for s in sentences(text) for w in s})
-        seen[""] = docs
-        yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            for text, subject in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update((w, k if subject is None else subject) for w in {w for s in sentences(text) for w in s} | {""})
+        yield pa.record_batch([pa.array([w for w, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "subject", "n"])
 
     held = cut(training)
-    tally = held.select("text").mapInArrow(words, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
-    tally = cut(tally)
-    docs = (tally.where("word = ''").first() or {"n": 0})["n"]
-    # at most (words of a document / STOP_SHARE) of them
-    stop = {r["word"] for r in tally.where(F.col("n") > max(STOP_SHARE * docs, 3)).collect()}
+    tally = cut(held.select("text", "subject").mapInArrow(words, "word STRING, subject INT, n BIGINT").groupBy("word", "subject").agg(F.sum("n").alias("n")))
+    docs = {r["subject"]: r["n"] for r in tally.where("word = ''").collect()}  # one per subject
+    # function words: frequent under more than half of the subjects, so at most a few times (words of a document / STOP_SHARE)
+    sized = spark.createDataFrame(list(docs.items()) or [(0, 0)], "subject INT, docs BIGINT")
+    common = tally.join(F.broadcast(sized), "subject").where((F.col("n") > STOP_SHARE * F.col("docs")) & (F.col("n") > 3)).groupBy("word").agg(F.count("*").alias("c"))
+    stop = {r["word"] for r in common.where(F.col("c") * 2 > len(docs)).collect()}
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -212,7 +212,7 @@ def fit_accuracies(patterns: dict[tuple[int, ...], int], levels: tuple[int, ...]
         score = np.tile(np.log(np.array([[max(1 - share, 1e-9), max(share, 1e-9)]])), (len(keys), 1))
         for f, n in enumerate(levels):
             for y, p in enumerate((1 - post, post)):
-                chance = np.bincount(votes[:, f], weights=weight * p, minlength=n) + 0.5
+                chance = np.bincount(votes[:, f], weights=weight * p, minlength=n) + (PRIOR[y] if f == 0 else 0.5)
                 score[:, y] += np.log(chance / chance.sum())[votes[:, f]]
         new = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-6:
