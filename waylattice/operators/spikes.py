@@ -29,9 +29,10 @@ def robust_components(m: np.ndarray, scatter: float, rounds: int = 30) -> tuple[
     norm of pure noise) and soft thresholding of ``m - low`` until neither moves.
     """
     rows, cols = m.shape
-    low = np.broadcast_to(np.median(m, axis=0), m.shape)
     tau, kappa = scatter * (np.sqrt(rows) + np.sqrt(cols)), CANDIDATE_FACTOR * scatter
-    sparse = np.sign(m - low) * np.maximum(np.abs(m - low) - kappa, 0.0)
+    # large departures are taken out first: the threshold falls to its final value round by round
+    level = max(np.abs(m - np.median(m, axis=0)).max(initial=0.0), kappa)
+    low, sparse = m, np.zeros_like(m)
     for _ in range(rounds):
         rest = m - sparse
         values, vectors = np.linalg.eigh(rest.T @ rest)
@@ -39,8 +40,9 @@ def robust_components(m: np.ndarray, scatter: float, rounds: int = 30) -> tuple[
         keep = size > tau
         basis = vectors[:, keep]
         low = ((rest @ basis) * ((size[keep] - tau) / size[keep])) @ basis.T
-        before, sparse = sparse, np.sign(m - low) * np.maximum(np.abs(m - low) - kappa, 0.0)
-        if np.abs(sparse - before).max(initial=0.0) <= 0.05 * scatter:
+        last, level = level <= kappa, max(0.5 * level, kappa)
+        before, sparse = sparse, np.sign(m - low) * np.maximum(np.abs(m - low) - level, 0.0)
+        if last and np.abs(sparse - before).max(initial=0.0) <= 0.05 * scatter:
             break
     return low, sparse
 
