@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import ranked
 
 #: Consecutive scans of a source in one profile matrix, and rows of context on either side.
 BLOCK_ROWS, CONTEXT_ROWS = 512, 32
@@ -155,20 +156,6 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     ], schema=OUT)
 
 
-def ranked(df: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """Adds ``rank``, each row's place from 0 within its source, without gathering any source in one task.
-
-    A range sort spreads even a single large source over all partitions; the
-    places follow from the rows' offsets and the counts of the partitions before.
-    """
-    placed = cut(df.orderBy(source, *order).withColumn("place", F.monotonically_increasing_id()))
-    split = placed.withColumn("part", F.shiftright("place", 33)).withColumn("offset", F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
-    parts = split.groupBy(source, "part").agg(F.count("*").alias("rows"), F.min("offset").alias("first"))
-    ahead = Window.partitionBy(source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)) - F.col("first")).select(source, "part", "ahead")
-    return split.join(parts, [source, "part"]).withColumn("rank", F.col("ahead") + F.col("offset")).drop("place", "part", "offset", "ahead")
-
-
 def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     """Flags readings of ``scans.ranges`` that are impossible, stuck or spikes, per scan and beam.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks, own, ranked, window
+
 
 def sections(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
     """Calls, total, mean, greatest and last duration of each section (column) per group; zero and missing ones are no calls."""
@@ -15,14 +17,20 @@ def sections(rows: DataFrame, by: list[str], order: str, columns: list[str]) ->
 
 def rising_edges(rows: DataFrame, by: str, order: str, flag: Column) -> DataFrame:
     """Rows at which a flag becomes true, the row before (or none) having it false."""
-    was = F.lag(F.coalesce(flag, F.lit(False)), 1, False).over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("was", was).where(F.coalesce(flag, F.lit(False)) & ~F.col("was")).drop("was")
+    cut_up = in_blocks(rows.withColumn("_flag", F.coalesce(flag, F.lit(False))), by, [order], before=1)
+    return own(cut_up.withColumn("_was", F.lag("_flag", 1, False).over(window(by)))).where("_flag AND NOT _was").drop("_flag", "_was")
 
 
 def new_highs(rows: DataFrame, by: str, order: str, counter: str) -> DataFrame:
     """Rows whose counter exceeds all before it; the first row counts."""
-    before = F.max(counter).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col(counter) > F.col("before"))).drop("before")
+    cut_up = in_blocks(rows, by, [order])
+    # the greatest value of the blocks before comes from a table of one row per block
+    most = cut_up.groupBy(by, "_block").agg(F.max(counter).alias("_most"))
+    earlier = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    most = most.select(by, "_block", F.max("_most").over(earlier).alias("_carried"))
+    here = F.max(counter).over(window(by).rowsBetween(Window.unboundedPreceding, -1))
+    met = cut_up.withColumn("_here", here).join(most, [by, "_block"]).withColumn("_before", F.greatest("_here", "_carried"))
+    return own(met.where(F.col("_before").isNull() | (F.col(counter) > F.col("_before")))).select(*rows.columns)
 
 
 def run_summary(rows: DataFrame, by: str, order: str, counter: str, measure: str) -> DataFrame:
@@ -35,13 +43,13 @@ def run_summary(rows: DataFrame, by: str, order: str, counter: str, measure: str
 
 def rolling(rows: DataFrame, by: str, order: str, value: str, size: int = 30) -> DataFrame:
     """Mean and count of the last ``size`` rows."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - size, 0)
-    return rows.withColumns({"buffered": F.count("*").over(w), "rolling_mean": F.avg(value).over(w)})
+    w = window(by).rowsBetween(1 - size, 0)
+    return own(in_blocks(rows, by, [order], before=size - 1).withColumns({"buffered": F.count("*").over(w), "rolling_mean": F.avg(value).over(w)}))
 
 
 def every_nth(rows: DataFrame, by: str, order: str, stride: int) -> DataFrame:
     """Every ``stride``-th row of each group from the first on: keyframe stride."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).where(F.col("nth") % stride == 0)
+    return ranked(rows, by, [order], "nth").where(F.col("nth") % stride == 0)
 
 
 def ratio_sample(rows: DataFrame, seed: str, key: str, ratio: float) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from .blocks import in_blocks, own, window
 
 
 def error_summary(df: DataFrame, by: list[str], error: str, prefix: str = "") -> DataFrame:
@@ -24,8 +25,9 @@ def distance(a: list[Column], b: list[Column]) -> Column:
 
 def step_lengths(poses: DataFrame, by: str, order: list[str], position: list[str], lag: int = 1) -> DataFrame:
     """Adds ``step``: distance from the pose ``lag`` rows before; null for the first ones."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return poses.withColumn("step", distance([F.col(c) for c in position], [F.lag(c, lag).over(w) for c in position]))
+    w = window(by)
+    cut_up = in_blocks(poses, by, order, before=lag)
+    return own(cut_up.withColumn("step", distance([F.col(c) for c in position], [F.lag(c, lag).over(w) for c in position])))
 
 
 def path_length(poses: DataFrame, by: str, order: list[str], position: list[str]) -> DataFrame:
@@ -34,15 +36,15 @@ def path_length(poses: DataFrame, by: str, order: list[str], position: list[str]
 
 def relative_errors_2d(pairs: DataFrame, by: str, order: list[str], delta: int = 1) -> DataFrame:
     """Errors of relative motion over ``delta`` rows: pairs with structs ``est`` and ``gt`` (x, y, theta) to (trans_error, rot_error_deg)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    later = pairs.withColumns({"est2": F.lead("est", delta).over(w), "gt2": F.lead("gt", delta).over(w)}).where("est2 IS NOT NULL")
+    w = window(by)
+    later = own(in_blocks(pairs, by, order, after=delta).withColumns({"est2": F.lead("est", delta).over(w), "gt2": F.lead("gt", delta).over(w)})).where("est2 IS NOT NULL")
     off = geom.se2_between(geom.se2_between(F.col("gt"), F.col("gt2")), geom.se2_between(F.col("est"), F.col("est2")))
     return later.withColumn("off", off).withColumns({"trans_error": F.hypot("off.x", "off.y"), "rot_error_deg": F.degrees(F.abs(F.col("off.theta")))}).drop("est2", "gt2", "off")
 
 
 def relative_errors_3d(pairs: DataFrame, by: str, order: list[str], delta: int = 1) -> DataFrame:
     """The same in space: pairs with positions and quaternions e_tx .. e_qw and g_tx .. g_qw."""
-    w = Window.partitionBy(by).orderBy(*order)
+    w = window(by)
     unit = pairs
     for p in "eg":
         q = [F.col(f"{p}_{c}") for c in ("qx", "qy", "qz", "qw")]
@@ -50,7 +52,7 @@ def relative_errors_3d(pairs: DataFrame, by: str, order: list[str], delta: int =
         unit = unit.withColumns({f"{p}_{i}": c / n for i, c in enumerate(q)})
     # the window keeps the scaled quaternions apart from what is made of them
     names = [f"{p}_{c}" for p in "eg" for c in ("tx", "ty", "tz", "0", "1", "2", "3")]
-    later = unit.withColumns({c + "n": F.lead(c, delta).over(w) for c in names}).where("e_txn IS NOT NULL")
+    later = own(in_blocks(unit, by, order, after=delta).withColumns({c + "n": F.lead(c, delta).over(w) for c in names})).where("e_txn IS NOT NULL")
     for p in "eg":
         q, q2 = ([F.col(f"{p}_{i}{n}") for i in range(4)] for n in ("", "n"))
         step = [F.col(f"{p}_t{c}n") - F.col(f"{p}_t{c}") for c in "xyz"]
@@ -63,18 +65,24 @@ def relative_errors_3d(pairs: DataFrame, by: str, order: list[str], delta: int =
 
 def motion_stability_2d(poses: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Second differences of motion: ``jerk`` of the step between poses and ``turn_deg`` of its rotation, with struct ``pose``."""
-    w = Window.partitionBy(by).orderBy(*order)
-    moved = poses.withColumn("move", geom.se2_between(F.lag("pose", 1).over(w), F.col("pose")))
-    moved = moved.withColumn("last_move", F.lag("move", 1).over(w)).where("last_move.x IS NOT NULL")
+    w = window(by)
+    moved = in_blocks(poses, by, order, before=2).withColumn("move", geom.se2_between(F.lag("pose", 1).over(w), F.col("pose")))
+    moved = own(moved.withColumn("last_move", F.lag("move", 1).over(w))).where("last_move.x IS NOT NULL")
     off = geom.se2_between(F.col("last_move"), F.col("move"))
     return moved.withColumn("off", off).withColumns({"jerk": F.hypot("off.x", "off.y"), "turn_deg": F.degrees(F.abs(F.col("off.theta")))}).drop("move", "last_move", "off")
 
 
-def velocity(poses: DataFrame, by: str, ts: str, position: list[str], seconds: float = 1.5) -> DataFrame:
-    """Velocity from the oldest pose of the last ``seconds`` to the present one; null if no time lies between them."""
-    frame = f"OVER (PARTITION BY `{by}` ORDER BY `{ts}` RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW)"
+def velocity(poses: DataFrame, by: str, ts: str, position: list[str], seconds: float = 1.5, chunk_seconds: float = 512.0) -> DataFrame:
+    """Velocity from the oldest pose of the last ``seconds`` to the present one; null if no time lies between them.
+
+    Windows are chunks of time that also hold the poses of the last ``seconds`` before them.
+    """
+    cell = lambda c: F.floor(c / F.lit(chunk_seconds))
+    t = F.col(ts)
+    chunked = poses.withColumn("_chunk", F.explode(F.sequence(cell(t), cell(t + F.lit(float(seconds)))))).withColumn("_own", F.col("_chunk") == cell(t))
+    frame = f"OVER (PARTITION BY `{by}`, _chunk ORDER BY `{ts}` RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW)"
     dt = F.expr(f"`{ts}` - min(`{ts}`) {frame}")
-    return poses.withColumns({f"v_{c}": F.when(dt > 0, F.expr(f"`{c}` - first(`{c}`) {frame}") / dt) for c in position})
+    return chunked.withColumns({f"v_{c}": F.when(dt > 0, F.expr(f"`{c}` - first(`{c}`) {frame}") / dt) for c in position}).where("_own").drop("_chunk", "_own")
 
 
 def alignment_moments(pairs: DataFrame, by: list[str], source: list[str], target: list[str]) -> DataFrame:

@@ -155,9 +155,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY common DESC, shift
 SELECT a, b, CAST(shift AS INTEGER) AS shift, round(common / sqrt(x.n * y.n), 6) AS cosine FROM k JOIN n x ON a = x.scan_id JOIN n y ON b = y.scan_id WHERE k = 1""")
 def scan_context_shift(spark: SparkSession, d: str) -> DataFrame:
     """Best shift between the contexts of consecutive scans."""
-    from pyspark.sql import Window
+    from ..operators.blocks import in_blocks, own, window
 
-    pairs = views.scans(spark, d).select(F.lag("scan_id").over(Window.partitionBy("sensor_id").orderBy("t", "scan_id")).alias("a"), F.col("scan_id").alias("b")).where("a IS NOT NULL")
+    cut_up = in_blocks(views.scans(spark, d).select("sensor_id", "t", "scan_id"), "sensor_id", ["t", "scan_id"], before=1)
+    pairs = own(cut_up.withColumn("a", F.lag("scan_id").over(window("sensor_id")))).where("a IS NOT NULL").select("a", F.col("scan_id").alias("b"))
     return _rounded(maps.best_shift(pairs, maps.ring_sector(_points(spark, d))))
 
 
@@ -167,9 +168,9 @@ m AS (SELECT q.pose_id AS query_id, p.pose_id AS point_id, sqrt((p.tx - q.tx) *
 SELECT query_id, point_id, round(distance, 6) AS distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS place FROM m WHERE distance <= 0.5) WHERE place <= 10""")
 def radius_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest earlier poses within half a metre; queries are the poses whose id is divisible by 20."""
-    from pyspark.sql import Window
+    from ..operators.blocks import ranked
 
-    p = views.gt(spark, d).select("sequence_id", F.col("pose_id").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.row_number().over(Window.partitionBy("sequence_id").orderBy("ts")).alias("ord"))
+    p = ranked(views.gt(spark, d).select("sequence_id", F.col("pose_id").alias("id"), "ts", F.col("tx").alias("x"), F.col("ty").alias("y")), "sequence_id", ["ts"], "ord")
     return _rounded(maps.radius_nearest(p.where("id % 20 = 0"), p, "sequence_id", 0.5, 10, 100))
 
 

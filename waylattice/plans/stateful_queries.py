@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..operators import solvers
+from ..operators.blocks import in_blocks, own, window
 from ..streaming import stateful
 from . import views
 from .trajectory_queries import _rounded
@@ -79,8 +80,8 @@ def pose_graph_optimisation(spark: SparkSession, d: str) -> DataFrame:
     """Pose graph per sequence of one pose a second: estimated motion as odometry, ground-truth relations ten seconds apart as loops."""
     m = views.matched(spark, d).select("sequence_id", "pose_id", "ts", views.planar("e_").alias("e"), views.planar("g_").alias("g"))
     nodes = m.groupBy("sequence_id", F.floor("ts").alias("node")).agg(F.min_by(F.struct("e", "g"), F.struct("ts", "pose_id")).alias("p")).select("sequence_id", "node", "p.e", "p.g")
-    w = Window.partitionBy("sequence_id").orderBy("node")
-    ahead = nodes.withColumns({"n1": F.lead("node").over(w), "e1": F.lead("e").over(w), "n10": F.lead("node", 10).over(w), "g10": F.lead("g", 10).over(w)})
+    w = window("sequence_id")
+    ahead = own(in_blocks(nodes, "sequence_id", ["node"], after=10).withColumns({"n1": F.lead("node").over(w), "e1": F.lead("e").over(w), "n10": F.lead("node", 10).over(w), "g10": F.lead("g", 10).over(w)}))
 
     def edge(frm: str, to: str, node: str, loop: bool, w_xy: float, w_theta: float) -> DataFrame:
         z = geom.se2_between(F.col(frm), F.col(to))
@@ -94,6 +95,6 @@ def pose_graph_optimisation(spark: SparkSession, d: str) -> DataFrame:
   SELECT sequence_id, ts, sum(CASE WHEN gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY sequence_id ORDER BY ts) AS run FROM (SELECT sequence_id, ts, ts - lag(ts) OVER (PARTITION BY sequence_id ORDER BY ts) AS gap FROM v_gt)) GROUP BY sequence_id, run) GROUP BY sequence_id""")
 def run_segments(spark: SparkSession, d: str) -> DataFrame:
     """Runs of each sequence: a gap of over five seconds begins a new one."""
-    w = Window.partitionBy("sequence_id").orderBy("ts")
-    p = views.gt(spark, d).select("sequence_id", "ts").withColumn("gap", F.col("ts") - F.lag("ts").over(w))
+    cut_up = in_blocks(views.gt(spark, d).select("sequence_id", "ts"), "sequence_id", ["ts"], before=1)
+    p = own(cut_up.withColumn("gap", F.col("ts") - F.lag("ts").over(window("sequence_id"))))
     return p.groupBy("sequence_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (F.count_if(F.col("gap") > 5) + 1).alias("runs"))

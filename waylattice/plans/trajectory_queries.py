@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..operators import asof, trajectory
+from ..operators.blocks import in_blocks, own, window
 from . import views
 from .views import _YAW, with_views
 
@@ -233,8 +234,8 @@ o AS (SELECT j.sequence_id, cos(a.h) * (b.x - a.x) + sin(a.h) * (b.y - a.y) - dx
 SELECT sequence_id, count(*) AS n, round(sqrt(avg(ox * ox + oy * oy)), 6) AS rmse FROM o GROUP BY sequence_id""")
 def relations_error(spark: SparkSession, d: str) -> DataFrame:
     """Relations between ground-truth poses ten apart, held against the estimated trajectory."""
-    w = Window.partitionBy("sequence_id").orderBy("ts")
-    rel = _planar_gt(spark, d).withColumns({"t_j": F.lead("ts", 10).over(w), "pose_j": F.lead("pose", 10).over(w)}).where("t_j IS NOT NULL")
+    w = window("sequence_id")
+    rel = own(in_blocks(_planar_gt(spark, d), "sequence_id", ["ts"], after=10).withColumns({"t_j": F.lead("ts", 10).over(w), "pose_j": F.lead("pose", 10).over(w)})).where("t_j IS NOT NULL")
     rel = rel.withColumn("r", geom.se2_between(F.col("pose"), F.col("pose_j"))).select(
         "sequence_id", F.col("pose_id").alias("rel_id"), F.col("ts").alias("t_i"), "t_j", F.col("r.x").alias("dx"), F.col("r.y").alias("dy"), F.col("r.theta").alias("dtheta"),
     )
