@@ -275,6 +275,5 @@ def test_relational_matching(spark):
     grid, pts = world()
     cells = spark.createDataFrame([("m", int(x), int(y), float(grid[y, x])) for y, x in zip(*np.nonzero(grid))], "map STRING, gx BIGINT, gy BIGINT, p DOUBLE")
     points = spark.createDataFrame([(1, "m", float(x - 0.3), float(y + 0.2)) for x, y in pts], "scan BIGINT, map STRING, x DOUBLE, y DOUBLE")
-    window = solvers.search_window(spark, 0.4, 0.1, 0.05, 0.05)
-    best = solvers.best_offsets(solvers.score_offsets(points, cells, window, 0.1), window).first()
+    best = solvers.best_offsets(solvers.score_offsets(points, cells, 0.1, reach=0.4, step=0.1, turn=0.05, turn_step=0.05)).first()
     assert (round(best["dx"], 6), round(best["dy"], 6), best["dtheta"]) == (0.3, -0.2, 0.0)

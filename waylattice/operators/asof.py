@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks, window
+
 CHUNK_SECONDS = 512.0
 
 
@@ -104,9 +106,16 @@ def asof_greedy(left: DataFrame, right: DataFrame, by: str, left_ts: str, left_i
     met = neighbours(left, right, by, left_ts, right_ts, right_id).where("prev IS NOT NULL OR next IS NOT NULL")
     # a right row at just the time of a left row is its right neighbour; the left one is then not seen twice
     met = met.withColumn("prev", F.when(F.col("prev.id") != F.coalesce(F.col("next.id"), F.lit(-1)), F.col("prev")))
-    order = Window.partitionBy(by).orderBy(left_ts, left_id)
+    order = window(by)
+    cut_up = in_blocks(met, by, [left_ts, left_id], before=1)
     linked = F.coalesce(F.lag("next.id").over(order) == F.col("prev.id"), F.lit(False)) | F.coalesce(F.lag("next.id").over(order) == F.col("next.id"), F.lit(False)) | F.coalesce(F.lag("prev.id").over(order) == F.col("prev.id"), F.lit(False))
-    chains = met.withColumn("chain", F.sum(F.when(linked, 0).otherwise(1)).over(order)).select(
+    # a chain is named by the place of its first row, which may lie blocks before
+    cut_up = cut_up.withColumn("_start", F.when(linked, None).otherwise(F.col("_rank")))
+    ends = cut_up.where("_own").groupBy(F.col(by).alias("_e"), F.col("_block").alias("_b")).agg(F.max("_start").alias("_last"))
+    ends = ends.select("_e", "_b", F.max("_last").over(Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    here = F.max(F.when(F.col("_own"), F.col("_start"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = cut_up.withColumn("_here", here).where("_own").join(ends, (F.col(by) == F.col("_e")) & (F.col("_block") == F.col("_b")))
+    chains = named.withColumn("chain", F.coalesce("_here", "_carried")).select(
         F.col(by).alias("e"), "chain", F.col(left_id).alias("l"), ts.alias("t"), F.col("prev.id").alias("pi"), F.col("prev.ts").alias("pt"), F.col("next.id").alias("ni"), F.col("next.ts").alias("nt"),
     )
 

@@ -75,8 +75,8 @@ def targets_of_nodes(nodes: DataFrame, submaps: DataFrame, members: DataFrame, *
     ``nodes``: (node, x, y); ``submaps``: (submap, x, y, scans, finished);
     ``members``: (node, submap). Both meet through cells of the radius' size.
     """
-    last = submaps.agg(F.max("submap").alias("last"))
-    s = submaps.where(F.col("finished") & (F.col("scans") >= least_scans)).crossJoin(F.broadcast(last)).where(F.col("submap") <= F.col("last") - recent)  # one row
+    last = submaps.agg(F.max("submap")).first()[0]
+    s = submaps.where(F.col("finished") & (F.col("scans") >= least_scans) & (F.col("submap") <= F.lit(last) - recent))
     s = s.select("submap", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     n = nodes
     for a in "xy":
@@ -124,3 +124,10 @@ def replace_points(observations: DataFrame, merged: DataFrame) -> DataFrame:
     """Observations after merges (kept, dropped): dropped points' observations go to the kept one, once per keyframe (the smaller idx)."""
     moved = observations.join(merged.select(F.col("dropped").alias("point"), "kept"), "point", "left")
     return moved.groupBy(F.coalesce("kept", "point").alias("point"), "kf").agg(F.min("idx").alias("idx"))
+
+
+def grid_coverage(points: DataFrame, by: list[str], u: str, v: str, width: float, height: float, rows: int = 4, cols: int = 4) -> DataFrame:
+    """Share of the cells of an image grid that hold a keypoint; keypoints off the image count for none."""
+    cell = F.least(F.lit(rows - 1), F.floor(F.col(v) / height * rows)) * cols + F.least(F.lit(cols - 1), F.floor(F.col(u) / width * cols))
+    inside = (F.col(u) >= 0) & (F.col(u) < width) & (F.col(v) >= 0) & (F.col(v) < height)
+    return points.groupBy(*by).agg(F.count("*").alias("keypoints"), F.count_distinct(F.when(inside, cell)).alias("cells")).withColumn("coverage", F.col("cells") / float(rows * cols))

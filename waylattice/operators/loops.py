@@ -104,8 +104,8 @@ def stage_counts(df: DataFrame, stage: str, stages: list[str]) -> DataFrame:
     spark = df.sparkSession
     names = spark.createDataFrame([(i, s) for i, s in enumerate(stages)], "stage_no INT, stage STRING")
     seen = df.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"))
-    total = seen.agg(F.sum("n").alias("total"))
-    out = names.join(seen, "stage", "left").crossJoin(F.broadcast(total))  # one row
+    seen = seen.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row per stage
+    out = names.join(seen, "stage", "left")
     return out.select("stage_no", "stage", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(100.0 * F.col("n") / F.col("total"), F.lit(0.0)).alias("percent"))
 
 

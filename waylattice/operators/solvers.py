@@ -143,32 +143,28 @@ def robust_alignment(source: np.ndarray, target: np.ndarray, most: float = 0.08,
     return best[1], best[2], best[3]
 
 
-def score_offsets(points: DataFrame, cells: DataFrame, offsets: DataFrame, resolution: float, *, least: int = 20) -> DataFrame:
-    """Correlative matching as joins: mean probability of the cells that a scan's points fall on, for each offset (dx, dy, dtheta).
+def score_offsets(points: DataFrame, cells: DataFrame, resolution: float, *, reach: float, step: float, turn: float, turn_step: float, least: int = 20) -> DataFrame:
+    """Correlative matching as joins: mean probability of the cells that a scan's points fall on, for each offset of a square and angular window.
 
     ``points``: (scan, map, x, y); ``cells``: (map, gx, gy, p). Points off the map
     count for nothing, an offset with fewer than ``least`` on it is left out.
-    Returns (scan, offset, score, n). Offsets are a stated search window.
+    Returns (scan, dx, dy, dtheta, score, n).
     """
-    o = F.broadcast(offsets)  # the search window: its size is a parameter
-    tried = points.crossJoin(o)
+    n, m = round(reach / step), round(turn / turn_step)
+    tried = points
+    for c, k in (("i", n), ("j", n), ("k", m)):
+        tried = tried.withColumn(c, F.explode(F.sequence(F.lit(-k), F.lit(k))))
+    tried = tried.withColumns({"dx": F.col("i") * step, "dy": F.col("j") * step, "dtheta": F.col("k") * turn_step})
     c, s = F.cos("dtheta"), F.sin("dtheta")
-    at = tried.select("scan", "map", "offset", F.floor((c * F.col("x") - s * F.col("y") + F.col("dx")) / resolution).alias("gx"), F.floor((s * F.col("x") + c * F.col("y") + F.col("dy")) / resolution).alias("gy"))
-    return at.join(cells, ["map", "gx", "gy"]).groupBy("scan", "offset").agg(F.avg("p").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least)
+    at = tried.select("scan", "map", "dx", "dy", "dtheta", F.floor((c * F.col("x") - s * F.col("y") + F.col("dx")) / resolution).alias("gx"), F.floor((s * F.col("x") + c * F.col("y") + F.col("dy")) / resolution).alias("gy"))
+    return at.join(cells, ["map", "gx", "gy"]).groupBy("scan", "dx", "dy", "dtheta").agg(F.avg("p").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def search_window(spark, reach: float, step: float, turn: float, turn_step: float) -> DataFrame:
-    """Offsets of a square and angular window, the middle first, so that the first best wins ties."""
-    axis = np.arange(-round(reach / step), round(reach / step) + 1) * step
-    angles = np.arange(-round(turn / turn_step), round(turn / turn_step) + 1) * turn_step
-    rows = sorted(((float(x), float(y), float(a)) for x in axis for y in axis for a in angles), key=lambda v: (v[0] ** 2 + v[1] ** 2 + v[2] ** 2, v))
-    return spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "offset INT, dx DOUBLE, dy DOUBLE, dtheta DOUBLE")
-
-
-def best_offsets(scores: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The best offset of each scan, the first among equals."""
-    best = scores.groupBy("scan").agg(F.max(F.struct("score", (-F.col("offset")).alias("order"))).alias("m")).select("scan", "m.score", (-F.col("m.order")).alias("offset"))
-    return best.join(F.broadcast(offsets), "offset")
+def best_offsets(scores: DataFrame) -> DataFrame:
+    """The best offset of each scan; of equally good ones the least, and of those the first in order."""
+    small = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dtheta") * F.col("dtheta")
+    rank = F.struct(F.col("score"), (-small).alias("near"), (-F.col("dx")).alias("a"), (-F.col("dy")).alias("b"), (-F.col("dtheta")).alias("c"))
+    return scores.groupBy("scan").agg(F.max_by(F.struct("dx", "dy", "dtheta", "score", "n"), rank).alias("m")).select("scan", "m.*")
 
 
 def sample_grid(grid: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import loop_queries, map_queries, sensor_queries, stateful_queries, trajectory_queries
+from . import loop_queries, map_queries, rule_queries, sensor_queries, stateful_queries, trajectory_queries
 
-_MODULES = (sensor_queries, trajectory_queries, loop_queries, map_queries, stateful_queries)
+_MODULES = (sensor_queries, trajectory_queries, loop_queries, map_queries, stateful_queries, rule_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = trajectory_queries.ate_3d
