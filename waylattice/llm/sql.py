@@ -1,5 +1,7 @@
 """SQL with the same results as the queries of this subpackage, where SQL can say it."""
 
+from ..plans.views import nan_safe
+
 _P1 = """
 WITH gt AS (
   SELECT sequence_id, ts, min(pose_id) AS pose_id FROM gt_poses
@@ -59,3 +61,5 @@ SQL: dict[str, str] = {
     "p2_ranked": _P2 + "SELECT current_kf_id, candidate_kf_id, candidate_score, rank FROM ranked WHERE rank <= 5",
     "p5_percentiles": _P5,
 }
+
+SQL = {k: nan_safe(v) for k, v in SQL.items()}
