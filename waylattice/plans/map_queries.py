@@ -342,9 +342,9 @@ def run_log_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(telemetry.run_summary(views.timing(spark, d), "run_id", "frame_idx", "keyframes", "frame_total_sec"))
 
 
-@query("SELECT run_id, frame_idx, buffered, round(m, 6) AS rolling_mean FROM (SELECT run_id, frame_idx, count(*) OVER w AS buffered, avg(load_rgb_sec) OVER w AS m FROM v_timing WINDOW w AS (PARTITION BY run_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))")
+@query("SELECT run_id, frame_idx, buffered, round(m, 9) AS rolling_mean FROM (SELECT run_id, frame_idx, count(*) OVER w AS buffered, avg(load_rgb_sec) OVER w AS m FROM v_timing WINDOW w AS (PARTITION BY run_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))")
 def rolling_buffer(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(telemetry.rolling(views.timing(spark, d), "run_id", "frame_idx", "load_rgb_sec").select("run_id", "frame_idx", "buffered", "rolling_mean"))
+    return _rounded(telemetry.rolling(views.timing(spark, d), "run_id", "frame_idx", "load_rgb_sec").select("run_id", "frame_idx", "buffered", "rolling_mean"), 9)
 
 
 @query("SELECT pose_id FROM (SELECT pose_id, row_number() OVER (PARTITION BY sequence_id ORDER BY ts) - 1 AS n FROM v_gt) WHERE n % 5 = 0")
