@@ -33,17 +33,18 @@ def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
     both = usable.select("e", "t", "row", empty.alias("r")).unionByName(r.select("e", "t", F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "r")).withColumn("c", cell(F.col("t")))
     # of each chunk the first and last right row, carried over the chunks beside it
     ends = both.groupBy("e", "c").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("t"))).alias("first"), F.max_by("r", F.when(F.col("r").isNotNull(), F.col("t"))).alias("last"))
-    chunks = Window.partitionBy("e").orderBy("c")
+    # what follows is looked up in descending order: frames that grow cost one step a row, frames that shrink a whole pass
+    chunks, falling = Window.partitionBy("e").orderBy("c"), Window.partitionBy("e").orderBy(F.desc("c"))
     ends = ends.select(
         "e", "c",
         F.last("last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
-        F.first("first", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias("ahead"),
+        F.last("first", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"),
     )
-    inside = Window.partitionBy("e", "c").orderBy("t")
+    inside, back = (Window.partitionBy("e", "c").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("t", F.desc("t")))
     met = both.join(ends, ["e", "c"]).select(
         "row",
-        F.coalesce(F.last("r", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "carried").alias("prev"),
-        F.coalesce(F.first("r", ignorenulls=True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "ahead").alias("next"),
+        F.coalesce(F.last("r", ignorenulls=True).over(inside), "carried").alias("prev"),
+        F.coalesce(F.last("r", ignorenulls=True).over(back), "ahead").alias("next"),
     )
     met = met.where("row IS NOT NULL").unionByName(other.select("row", empty.alias("prev"), empty.alias("next")))
     return met.select("row.*", "prev", "next")
