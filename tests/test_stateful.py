@@ -91,3 +91,49 @@ def test_other_steps():
     assert [t.advance(Row(tracked=a, relocalised=b))[0] for a, b in ((False, False), (True, False), (False, False), (True, False), (False, True))] == ["NOT_INITIALIZED", "OK", "LOST", "LOST", "OK"]
     f = st.MotionFilter.from_velocity(0.5, 10.0, 0.001)
     assert (f.distance, f.angle) == (0.5, math.radians(0.5))
+
+
+def test_consistency_groups_brute(spark, tmp_path):
+    """Every candidate counts, however many a keyframe has, and a keyframe without any clears the groups."""
+
+    def brute(queries, threshold=3):
+        groups, out = [], []
+        for cands in queries:
+            now, used, passed = [], [False] * len(groups), []
+            for c, members in cands:
+                g = set(members) | {c}
+                met = False
+                for i, (before, n) in enumerate(groups):
+                    if g & before:
+                        met = True
+                        if not used[i]:
+                            now.append((g, n + 1))
+                            used[i] = True
+                        if n + 1 >= threshold and c not in passed:
+                            passed.append(c)
+                if not met:
+                    now.append((g, 0))
+            groups = now
+            out.append((passed, len(now), max((n for _, n in now), default=0)))
+        return out
+
+    r = random.Random(4)
+    for spread in (30, 200):
+        step = st.ConsistencyGroups(3)
+        queries = [[(c, [r.randrange(spread) for _ in range(r.randrange(5))]) for c in r.sample(range(spread), r.choice([0, 1, 3, 12]))] for _ in range(200)]
+        assert [step.advance(Row(candidates=[c for c, _ in q], members=[m for _, m in q])) for q in queries] == brute(queries)
+
+    from waylattice.plans.stateful_queries import consistency_groups
+
+    rows = [(q, c, "a", 0.9 - (c % 97) * 0.005) for q in range(1000, 1005) for c in range(0, 600, 20)]  # thirty candidates that agree
+    rows += [(q, 5000 if q != 1003 else 7000, "b", 0.9 if q != 1002 else 0.1) for q in range(1000, 1005)] + [(1006, 5000, "b", 0.9), (1007, 5001, "b", 0.9)]
+    rows += [(1005, 3, None, 0.9)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "event_id BIGINT, current_kf_id BIGINT, candidate_kf_id BIGINT, candidate_source STRING, candidate_score DOUBLE")
+    df.selectExpr("*", "current_timestamp() AS received_at").write.parquet(str(tmp_path / "loop_debug.parquet"))
+    got = sorted((x["candidate_source"], x["current_kf_id"], x["candidate_kf_id"]) for x in consistency_groups(spark, str(tmp_path)).collect())
+    want = []
+    for s in "ab":
+        asked = sorted({x[0] for x in rows})
+        queries = [[(c, range(max(0, c - 5), c + 6)) for _, c in sorted((-v, c) for q, c, at, v in rows if q == k and at == s and v >= 0.3)] for k in asked]
+        want += [(s, k, c) for k, (passed, _, _) in zip(asked, brute(queries)) for c in passed]
+    assert got == sorted(want) and len(want) == 60

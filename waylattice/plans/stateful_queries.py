@@ -62,17 +62,19 @@ def submap_lifecycle(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def consistency_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Loop candidates whose groups agree over successive keyframes, per source."""
-    from ..operators import loops
-
-    log = views.loops(spark, d).where("candidate_score >= 0.3 AND NOT isnan(candidate_score) AND candidate_source IS NOT NULL").groupBy("candidate_source", "current_kf_id", "candidate_kf_id").agg(F.max("candidate_score").alias("score"))
-    kept = loops.accept_best(log.withColumn("q", F.concat_ws("/", "candidate_source", "current_kf_id")), "q", "score", "candidate_kf_id", 10, 0.3).where("status = 'accepted'")
+    """Loop candidates whose groups agree over successive keyframes, per source: all with a score of at least 0.3, best first.
+
+    The queries of a source are all logged current keyframes: one for which the
+    source has no such candidate clears the groups.
+    """
+    log = views.loops(spark, d)
+    scored = log.where("candidate_score >= 0.3 AND NOT isnan(candidate_score) AND candidate_source IS NOT NULL").groupBy("candidate_source", "current_kf_id", "candidate_kf_id").agg(F.max("candidate_score").alias("score"))
+    asked = log.where("candidate_source IS NOT NULL").select("candidate_source").distinct().crossJoin(log.select("current_kf_id").distinct())  # a handful of sources
+    empty = asked.join(scored, ["candidate_source", "current_kf_id"], "left_anti").withColumns({"candidate_kf_id": F.lit(-1).cast("bigint"), "score": F.lit(0.0), "found": F.lit(False)})
+    rows = scored.withColumn("found", F.lit(True)).unionByName(empty).select("candidate_source", F.col("current_kf_id").alias("query"), F.col("candidate_kf_id").alias("candidate"), (-F.col("score")).alias("worse"), "found")
     # a candidate's group: keyframes within five of it
-    group = F.sequence(F.greatest(F.lit(0), F.col("candidate_kf_id") - 5), F.col("candidate_kf_id") + 5)
-    queries = kept.groupBy("candidate_source", "current_kf_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("candidate_kf_id").alias("c"), group.alias("m")))).alias("e"))
-    queries = queries.select("candidate_source", "current_kf_id", F.col("e.c").alias("candidates"), F.col("e.m").alias("members"))
-    out = stateful.in_order(queries, "candidate_source", ["current_kf_id"], stateful.ConsistencyGroups)
-    return out.select("candidate_source", "current_kf_id", F.explode("consistent").alias("candidate_kf_id"))
+    out = stateful.in_order(rows, "candidate_source", ["query", "worse", "candidate"], lambda: stateful.CandidateConsistency(reach=5))
+    return out.where("passed").select("candidate_source", F.col("query").alias("current_kf_id"), F.col("candidate").alias("candidate_kf_id"))
 
 
 @query()

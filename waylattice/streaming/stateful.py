@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -103,30 +103,72 @@ class Submaps:
 
 
 class ConsistencyGroups:
-    """Counts in how many queries in a row a candidate's group overlaps one of the query before; ``candidates`` are (id, group) pairs of one query."""
+    """Counts in how many queries in a row a candidate's group overlaps one of the query before; ``candidates`` are (id, group) pairs of one query.
+
+    Groups of the query before are found by their members, so a query costs as
+    much as its groups have members, however many groups there are.
+    """
 
     ADDS = "consistent ARRAY<BIGINT>, groups INT, most_consistent INT"
 
     def __init__(self, threshold: int = 3):
-        self.threshold, self.groups = threshold, []  # (members, consistency)
+        self.threshold = threshold
+        # of the query before and of this one: best consistency of a member's groups, groups of a member, and (groups of equal members, best consistency)
+        self.best, self.of_member, self.groups = {}, {}, []
+        self.claimed: list[bool] = []
+        self._now = ({}, {}, [])
+
+    def _judge(self, candidate: int, members: Iterable[int]) -> bool:
+        """Whether the next candidate of the query passes."""
+        group = {int(m) for m in members} | {candidate}
+        most = max((self.best[m] for m in group if m in self.best), default=None)
+        count, n = (1, 0) if most is None else (0, 0)
+        if most is not None:  # each earlier group goes on in the first group that meets it
+            for m in group:
+                for i in self.of_member.pop(m, ()):
+                    if not self.claimed[i]:
+                        self.claimed[i] = True
+                        count, n = count + self.groups[i][0], max(n, self.groups[i][1] + 1)
+        if count:
+            best, of_member, groups = self._now
+            for m in group:
+                best[m] = max(best.get(m, 0), n)
+                of_member.setdefault(m, []).append(len(groups))
+            groups.append((count, n))
+        return most is not None and most + 1 >= self.threshold
+
+    def _close(self) -> None:
+        """Ends the query."""
+        self.best, self.of_member, self.groups = self._now
+        self.claimed = [False] * len(self.groups)
+        self._now = ({}, {}, [])
 
     def advance(self, row: Any) -> tuple:
-        now, used, passed = [], [False] * len(self.groups), []
+        passed = {}
         for candidate, members in zip(row.candidates if row.candidates is not None else [], row.members if row.members is not None else []):
-            group = {int(m) for m in members} | {int(candidate)}
-            met = False
-            for i, (before, n) in enumerate(self.groups):
-                if group & before:
-                    met = True
-                    if not used[i]:
-                        now.append((group, n + 1))
-                        used[i] = True
-                    if n + 1 >= self.threshold and int(candidate) not in passed:
-                        passed.append(int(candidate))
-            if not met:
-                now.append((group, 0))
-        self.groups = now
-        return passed, len(now), max((n for _, n in now), default=0)
+            if self._judge(int(candidate), members):
+                passed[int(candidate)] = True
+        self._close()
+        return list(passed), sum(c for c, _ in self.groups), max((n for _, n in self.groups), default=0)
+
+
+class CandidateConsistency(ConsistencyGroups):
+    """The same with a row per candidate, so that no row holds a query's candidates; its group is the keyframes within ``reach`` of it. A row without ``found`` stands for a query that has none."""
+
+    ADDS = "passed BOOLEAN"
+
+    def __init__(self, threshold: int = 3, reach: int = 5):
+        super().__init__(threshold)
+        self.reach, self.query = reach, None
+
+    def advance(self, row: Any) -> tuple:
+        if self.query is not None and row.query != self.query:
+            self._close()
+        self.query = row.query
+        if not row.found:
+            return (False,)
+        c = int(row.candidate)
+        return (self._judge(c, range(max(0, c - self.reach), c + self.reach + 1)),)
 
 
 class Extrapolator:
