@@ -72,6 +72,17 @@ def test_formulas_do_not_count(spark):
     assert leaks(spark, docs, item, broadcast_letters=1) == {(99, "one")}
 
 
+@pytest.mark.parametrize("kw", [{}, {"broadcast_letters": 1}])
+def test_copies_of_a_leak_are_no_formula(spark, kw):
+    plain = [(1000 + i, " ".join(prose(90, 2000 + i))) for i in range(60)]
+    copied = around(" ".join(ITEM[10:40]))
+    copies = [(i, copied) for i in range(50)] + [(i, copied + " " + " ".join(prose(9, i))) for i in range(50, 60)]  # and reissues
+    assert leaks(spark, plain + copies, **kw) == {(i, "one") for i in range(60)}
+    # a long passage that many quote is none either
+    quoted = [(i, around(" ".join(ITEM), 100 + 2 * i)) for i in range(60)]
+    assert leaks(spark, plain + quoted, **kw) == {(i, "one") for i in range(60)}
+
+
 def test_winnowing_guarantee():
     r = random.Random(8)
     for _ in range(200):

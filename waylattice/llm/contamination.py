@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ GRAM, WINDOW = 16, 8
 LEAST_WORDS, EDIT_SHARE = 17, 0.16
 #: After a difference, extension resumes at one of the next words of the passage, within so many letters of the text.
 SKIP_WORDS, SKIP_LETTERS, ANCHOR = 4, 48, 8
-#: Formula: a span of at least so many letters whose fingerprints stand in more than this share of the documents, and in more than so many.
+#: Formula: a span of at least so many letters whose fingerprints stand in more than this share of the distinct texts, and in more than so many, each time in other surroundings.
 FORMULA_LETTERS, FORMULA_SHARE, FORMULA_DOCS = 30, 0.02, 40
+#: A span of so many words is no formula, however many texts have it: it is a passage that is often quoted.
+FORMULA_WORDS = 2 * LEAST_WORDS
+#: Letters on either side of a run of known fingerprints that are its surroundings, and the widest gap inside a run.
+AROUND, RUN_GAP = 160, 64
 #: Test texts up to this many letters in all are broadcast; beyond it fingerprints of both sides are joined by shuffle.
 BROADCAST_LETTERS = 8_000_000
 #: Letters that are fingerprinted at once.
@@ -214,11 +219,29 @@ def _words(index: Index, item: int, text: bytes, hits: list[tuple[int, int]]) ->
     return hit
 
 
-PAIRS = pa.schema([("doc", pa.int64()), ("item", pa.string()), ("words", pa.string()), ("gram", pa.int64()), ("docs", pa.int64())])
+PAIRS = pa.schema([("doc", pa.int64()), ("item", pa.string()), ("words", pa.string()), ("gram", pa.int64()), ("around", pa.int64())])
 
 
-def _scan(index: Index, docs: list[tuple[int, bytes]], per_gram: np.ndarray) -> Iterator[tuple[int, str, str]]:
-    """Pairs of a block of documents and items, with the words found; adds the documents of each fingerprint to ``per_gram``."""
+def _digest(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def surroundings(doc: np.ndarray, at: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For known fingerprints, in order, at these places of these texts: a hash of the letters around the run they belong to.
+
+    Copies and reissues of a text have the same, so that a passage in them counts once.
+    """
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(at) > RUN_GAP)]))
+    stop = np.append(begin[1:], len(at))
+    out = np.empty(len(at), np.int64)
+    for a, b in zip(begin.tolist(), stop.tolist()):
+        t, first, last = texts[doc[a]], int(at[a]), int(at[b - 1]) + GRAM
+        out[a:b] = _digest(t[max(0, first - AROUND) : first] + b" " + t[last : last + AROUND])
+    return out
+
+
+def _scan(index: Index, docs: list[tuple[int, bytes]], met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, str, str]]:
+    """Pairs of a block of documents and items, with the words found; adds each document's fingerprints and their surroundings to ``met``."""
     size = np.array([len(t) for _, t in docs], np.int64)
     ends = np.cumsum(size)
     at, h = winnow(np.frombuffer(b"".join(t for _, t in docs), np.uint8), ends)
@@ -231,7 +254,9 @@ def _scan(index: Index, docs: list[tuple[int, bytes]], per_gram: np.ndarray) ->
     if not len(at):
         return
     doc = np.searchsorted(ends, at, side="right")
-    per_gram += np.bincount(np.unique(doc * len(index.hash) + k) % len(index.hash), minlength=len(index.hash))
+    if met is not None:
+        once = np.unique(doc * len(index.hash) + k, return_index=True)[1]  # a document counts once
+        met.append((k[once], surroundings(doc, at - (ends - size)[doc], [t for _, t in docs])[once]))
     # every place of the fingerprint in the items
     n = index.count[k]
     which = np.repeat(np.arange(len(k)), n)
@@ -251,31 +276,36 @@ def _scan(index: Index, docs: list[tuple[int, bytes]], per_gram: np.ndarray) ->
             yield docs[d][0], index.ids[i], "".join("1" if x else "0" for x in hit)
 
 
+def _found(out: list[tuple[int, str, str]], gram: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
+    """Pairs, and below them fingerprints with surroundings."""
+    n, m = len(out), len(gram)
+    return pa.record_batch([
+        pa.array([x[0] for x in out] + [None] * m, pa.int64()), pa.array([x[1] for x in out] + [None] * m, pa.string()), pa.array([x[2] for x in out] + [None] * m, pa.string()),
+        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(gram, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(around, pa.int64())]),
+    ], schema=PAIRS)
+
+
 def _scanner(items: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
-        per_gram, seen = np.zeros(len(index.hash), np.int64), 0
         for batch in batches:
-            block, held, out = [], 0, []
-            texts = batch.column(1)
-            for doc, text in zip(batch.column(0).to_pylist(), texts.to_pylist()):
-                seen += 1
+            block, held, out, met, seen = [], 0, [], [], set()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = letters(text)
+                seen.add(_digest(t))
                 if not t:
                     continue
                 block.append((doc, t))
                 held += len(t)
                 if held >= BLOCK_LETTERS:
-                    out.extend(_scan(index, block, per_gram))
+                    out.extend(_scan(index, block, met))
                     block, held = [], 0
             if block:
-                out.extend(_scan(index, block, per_gram))
-            if out:
-                n = len(out)
-                yield pa.record_batch([[x[0] for x in out], [x[1] for x in out], [x[2] for x in out], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=PAIRS)
-        many = np.flatnonzero(per_gram)
-        n = len(many) + 1
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), np.append(many, -1), np.append(per_gram[many], seen)], schema=PAIRS)
+                out.extend(_scan(index, block, met))
+            # the texts themselves stand under gram -1
+            texts = np.fromiter(seen, np.int64, len(seen))
+            gram, around = (np.concatenate([x, *[m[i] for m in met]]) for i, x in ((0, np.full(len(texts), -1, np.int64)), (1, texts)))
+            yield _found(out, gram, around)
 
     return run
 
@@ -287,8 +317,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
     layout, word breaks and Unicode forms don't matter; remarks in brackets or
     between dashes are taken out first. Both sides are winnowed; equal
     fingerprints are extended over single changed, added or dropped words, and
-    the words found are counted. Spans whose fingerprints stand in more than
-    FORMULA_SHARE of the corpus are formulas and don't count.
+    the words found are counted. Spans under FORMULA_WORDS words whose fingerprints
+    stand in more than FORMULA_SHARE of the distinct texts, each time in other
+    surroundings, are formulas and don't count; copies of a text count once.
 
     Each (document, item) comes out once, with ``words``: 1 found, 0 not. Null ids and null or empty texts take no part; a document id that
     occurs twice counts as one document if either text holds the passage. Items
@@ -303,11 +334,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
         return _leaked_by_shuffle(corpus, tests)
     held = sorted((r["item"], r["text"]) for r in tests.collect())  # bounded by broadcast_letters
     shared = documents.sparkSession.sparkContext.broadcast(held)
-    found = cut(corpus.mapInArrow(lambda batches: _scanner(shared.value)(batches), "doc BIGINT, item STRING, words STRING, gram BIGINT, docs BIGINT"))
-    total = found.where("gram = -1").agg(F.sum("docs")).first()[0] or 0
+    found = cut(corpus.mapInArrow(lambda batches: _scanner(shared.value)(batches), "doc BIGINT, item STRING, words STRING, gram BIGINT, around BIGINT"))
+    total = found.where("gram = -1").select("around").distinct().count()
     index = Index(held)
     # fingerprints of test items only: as many as the broadcast texts have
-    often = {r["gram"] for r in found.where("gram >= 0").groupBy("gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") > max(FORMULA_SHARE * total, FORMULA_DOCS)).select("gram").collect()}
+    often = {r["gram"] for r in _frequent(found.where("gram >= 0"), total).collect()}
     formula = {}
     for i, ident in enumerate(index.ids):
         formula.setdefault(ident, formula_words(index, i, often))
@@ -315,16 +346,30 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
     return pairs.where(_still_passage(formula)("item", "words")).dropDuplicates(["doc", "item"])
 
 
-def formula_words(index: Index, item: int, often: set[int]) -> str:
-    """A string with x at an item's words in spans of fingerprints (numbers in the index) that are frequent in the corpus."""
+def _frequent(met: DataFrame, total: int) -> DataFrame:
+    """Fingerprints in more surroundings than a passage has, from (gram, around) rows and the number of distinct texts."""
+    return met.select("gram", "around").distinct().groupBy("gram").agg(F.count("*").alias("places")).where(F.col("places") > max(FORMULA_SHARE * total, FORMULA_DOCS)).select("gram")
+
+
+def formula_spans(index: Index, item: int, often: set[int]) -> list[tuple[int, int]]:
+    """Spans of an item's letters that are formulas, given the fingerprints (numbers in the index) that are frequent in the corpus."""
     mine = index.item == item
     gram = np.repeat(np.arange(len(index.hash)), index.count)[mine]
     place = np.sort(index.place[mine][np.isin(gram, list(often))])
-    mask = np.zeros(len(index.text[item]), bool)
+    ends, spans = index.ends[item], []
     # neighbouring fingerprints join to spans
     for part in np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1) if len(place) else []:
-        if part[-1] + GRAM - part[0] >= FORMULA_LETTERS:
-            mask[part[0] : part[-1] + GRAM] = True
+        a, b = int(part[0]), int(part[-1]) + GRAM
+        if b - a >= FORMULA_LETTERS and ((ends > a) & (ends <= b)).sum() < FORMULA_WORDS:
+            spans.append((a, b))
+    return spans
+
+
+def formula_words(index: Index, item: int, often: set[int]) -> str:
+    """A string with x at an item's words in its formulas."""
+    mask = np.zeros(len(index.text[item]), bool)
+    for a, b in formula_spans(index, item, often):
+        mask[a:b] = True
     ends = index.ends[item]
     total = np.concatenate([[0], np.cumsum(mask)])
     begin = np.concatenate([[0], ends[:-1]])
@@ -358,18 +403,58 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, gram BIGINT")
 
 
+def _frequent_by_shuffle(corpus: DataFrame, hits: DataFrame) -> DataFrame:
+    """The fingerprints that ``_frequent`` finds, from (doc, text) and (doc, gram) rows of known fingerprints."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([_digest(letters(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["around"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                t = letters(text)
+                at, h = winnow(np.frombuffer(t, np.uint8), np.array([len(t)]))
+                known = np.isin(h.astype(np.int64), np.array(grams, np.int64))
+                gram, once = np.unique(h[known].astype(np.int64), return_index=True)
+                if len(gram):
+                    yield pa.record_batch([pa.array(gram), pa.array(surroundings(np.zeros(known.sum(), np.int64), at[known], [t])[once])], names=["gram", "around"])
+
+    total = corpus.select("text").mapInArrow(digests, "around BIGINT").distinct().count()
+    # a fingerprint in few documents has few surroundings
+    many = hits.groupBy("gram").agg(F.count("*").alias("docs")).where(F.col("docs") > max(FORMULA_SHARE * total, FORMULA_DOCS)).select("gram")
+    of_doc = hits.join(hits.join(many, "gram", "left_semi").select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.collect_set("gram").alias("grams"))
+    met = corpus.join(of_doc, "doc").select("text", "grams").mapInArrow(places, "gram BIGINT, around BIGINT")
+    return _frequent(met.join(many, "gram", "left_semi"), total)
+
+
 def _leaked_by_shuffle(corpus: DataFrame, tests: DataFrame) -> DataFrame:
     """The same for test sets of any size: fingerprints of both sides meet in a shuffle, then the texts of each candidate pair.
 
-    Fingerprints of formulas propose no pair, so none has partners beyond FORMULA_SHARE of the corpus.
+    All fingerprints of an item but those in its formulas propose pairs; one that
+    is frequent without being part of a formula has as many partners as it has documents.
     """
     mine = cut(fingerprints(corpus.select("doc", "text")).withColumnRenamed("id", "doc"))
     theirs = cut(fingerprints(tests.select("item", "text")).withColumnRenamed("id", "item").distinct())
-    limit = max(FORMULA_SHARE * corpus.count(), FORMULA_DOCS)
-    docs = cut(mine.join(theirs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("docs")))
-    rare = theirs.join(docs.where(F.col("docs") <= limit), "gram").select("item", "gram")
-    often = theirs.join(docs.where(F.col("docs") > limit), "gram").groupBy("item").agg(F.collect_set("gram").alias("often"))
-    pairs = rare.join(mine, "gram").groupBy("doc", "item").agg(F.count("*").alias("n")).select("doc", "item")
+    hits = cut(mine.join(theirs.select("gram").distinct(), "gram", "left_semi"))
+    frequent = cut(_frequent_by_shuffle(corpus, hits))
+    often = cut(theirs.join(frequent, "gram").groupBy("item").agg(F.collect_set("gram").alias("often")))
+
+    def numbers(index: Index, grams: list[int] | None) -> set[int]:
+        return set(np.flatnonzero(np.isin(index.hash, np.array(grams or [], np.int64).astype(np.uint64))).tolist())
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                index = Index([(item, text)])
+                free = np.ones(len(index.place), bool)
+                for a, b in formula_spans(index, 0, numbers(index, grams)):
+                    free &= (index.place < a) | (index.place + GRAM > b)
+                gram = np.unique(np.repeat(index.hash, index.count)[free]).astype(np.int64)
+                yield pa.record_batch([pa.array([item] * len(gram), pa.string()), pa.array(gram)], names=["item", "gram"])
+
+    proposing = tests.join(often, "item", "left").select("item", "text", "often").mapInArrow(propose, "item STRING, gram BIGINT").distinct()
+    pairs = proposing.join(hits, "gram").select("doc", "item").distinct()
     both = pairs.join(corpus, "doc").join(tests.withColumnRenamed("text", "item_text"), "item").join(often, "item", "left")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +462,8 @@ def _leaked_by_shuffle(corpus: DataFrame, tests: DataFrame) -> DataFrame:
             out = []
             for doc, text, item, item_text, grams in zip(*(c.to_pylist() for c in batch.columns)):
                 index = Index([(item, item_text)])
-                frequent = set(np.flatnonzero(np.isin(index.hash, np.array(grams or [], np.int64).astype(np.uint64))).tolist())
-                formula = formula_words(index, 0, frequent)
-                found = _scan(index, [(doc, letters(text))], np.zeros(len(index.hash), np.int64))
-                out.extend((d, i, w) for d, i, w in found if _counts(w, formula))
+                formula = formula_words(index, 0, numbers(index, grams))
+                out.extend((d, i, w) for d, i, w in _scan(index, [(doc, letters(text))]) if _counts(w, formula))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], names=["doc", "item", "words"])
 
     return both.select("doc", "text", "item", "item_text", "often").mapInArrow(check, "doc BIGINT, item STRING, words STRING").dropDuplicates(["doc", "item"])
