@@ -149,3 +149,34 @@ def test_impute_keeps_known_values():
     assert np.allclose(out[0][[0, 2, 3, 5]], s[0][[0, 2, 3, 5]])
     assert not np.isnan(out).any()
     assert pytest.approx(rg.diagonal_means(np.lib.stride_tricks.sliding_window_view(np.arange(6.0)[None], 4, axis=1))[0].tolist()) == list(range(6))
+
+
+def test_glitches_of_whole_scans_brute(spark):
+    """Departures that many beams share are found one by one, also in a block with much more scatter than is usual."""
+    rng = np.random.default_rng(5)
+    n, beams = 3 * sp.BLOCK_ROWS, 90
+    m = 5 + 0.02 * rng.standard_normal((n, beams))
+    m[100:103, :40] += 0.4
+    m[300] += 0.5 * rng.choice([-1, 1], beams)
+    m[600:603, ::2] -= 0.6
+    m[2 * sp.BLOCK_ROWS :, :] = 5 + 0.1 * rng.standard_normal((sp.BLOCK_ROWS, beams))  # a noisy block
+    m[1300, :80] += 0.33
+    m = np.round(m, 4)
+    got = {g[:2] for g in found(spark, [(i, "a", "hall", float(i), m[i].tolist()) for i in range(n)]) if g[2] == "spike"}
+    series = [sp.levels(m[:, b]) for b in range(beams)]
+    before, after = (np.array([s[i] for s in series]).T for i in (0, 1))
+    # of a block, as far as its context reaches: its first level of the whole table is the same
+    spread = [np.abs((m - before)[a : a + sp.BLOCK_ROWS]) for a in range(0, n, sp.BLOCK_ROWS)]
+    usual = sorted(sp.MAD_SCALE * np.median(s[np.isfinite(s)]) for s in spread)[1]
+    limit, want = sp.SPIKE_FACTOR * usual, set()
+    for i, b in np.argwhere((np.abs(m - before) > limit) & (np.abs(m - after) > limit)):
+        over = np.minimum(np.abs(m[:, b] - before[i, b]), np.abs(m[:, b] - after[i, b])) > limit
+        run = 1
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < n and over[j] and run <= sp.SPIKE_ROWS:
+                run, j = run + 1, j + step
+        if run <= sp.SPIKE_ROWS:
+            want.add((int(i), int(b)))
+    assert got == want
+    assert {(i, b) for i in range(100, 103) for b in range(40)} <= got and {(300, b) for b in range(beams)} <= got and len([g for g in got if g[0] == 1300]) > 60

@@ -17,7 +17,7 @@ LEVEL_ROWS, LEVEL_LEAST = 9, 3
 STUCK_ROWS = 8
 #: A spike differs from both levels by more than this many scatters, for at most so many scans.
 SPIKE_FACTOR, SPIKE_ROWS = 10.0, 3
-#: A block proposes entries of the sparse part beyond this many of its own scatters.
+#: A block proposes entries of the sparse part beyond this many of its own scatters, and readings that differ so much from both levels.
 CANDIDATE_FACTOR = 4.0
 #: MAD to standard deviation of a normal distribution.
 MAD_SCALE = 1.4826
@@ -89,12 +89,14 @@ def _dense(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 OUT = pa.schema([
     ("source", pa.string()), ("scan", pa.int64()), ("beam", pa.int32()), ("reason", pa.string()), ("value", pa.float64()),
-    ("level", pa.float64()), ("scatter", pa.float64()), ("weight", pa.int64()), ("away", pa.list_(pa.float64())),
+    ("level", pa.float64()), ("scatter", pa.float64()), ("weight", pa.int64()), ("away", pa.list_(pa.float64())), ("block", pa.int64()),
 ])
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
+    """Flags of a block; with a column ``bar``, only the spikes that differ by more than that from both levels."""
     table = table.sort_by("rank")
+    bar = table["bar"][0].as_py() if "bar" in table.column_names else None
     home = table["home"].to_numpy(zero_copy_only=False)
     m, has = _dense(table["ranges"])
     lo, hi = (table[c].to_numpy(zero_copy_only=False)[:, None] for c in ("least", "most"))
@@ -119,14 +121,22 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     spread = np.abs(spread[np.isfinite(spread)])
     scatter = float(MAD_SCALE * np.median(spread)) if len(spread) else 0.0
     candidate = np.zeros(m.shape, bool)
-    if scatter > 0 and good.any():
+    if bar is None and scatter > 0 and good.any():
         used = good.sum(axis=0) > 2 * LEVEL_LEAST
         full = np.empty((m.shape[0], int(used.sum())))
         for j, b in enumerate(np.flatnonzero(used)):
             full[:, j] = np.interp(np.arange(m.shape[0]), series[b][0], series[b][1])
         if full.shape[1]:
             candidate[:, used] = robust_components(full, scatter)[1] != 0
+    # the low-rank part takes in departures that many beams share in a scan; held against the levels, each is seen
+    least = CANDIDATE_FACTOR * scatter if bar is None else bar
+    if scatter > 0 or bar is not None:
+        for b, (at, x, before, after) in enumerate(series):
+            with np.errstate(invalid="ignore"):
+                candidate[at[(np.abs(x - before) > least) & (np.abs(x - after) > least)], b] = True
     candidate &= good & home[:, None]
+    if bar is not None:
+        impossible, stuck = np.zeros(m.shape, bool), np.zeros(m.shape, bool)
     found = []
     for b in np.flatnonzero(candidate.any(axis=0)):
         at, x, before, after = series[b]
@@ -153,6 +163,7 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
         pa.array([scatter] * n),
         pa.array([len(spread)] * n, pa.int64()),
         pa.array([None] * (len(r1) + len(r2)) + [f[2].tolist() for f in found] + [None], pa.list_(pa.float64())),
+        pa.array([key[1].as_py()] * n, pa.int64()),
     ], schema=OUT)
 
 
@@ -167,8 +178,10 @@ def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     are null or of an unknown dataset are not tested). stuck: in a run of at
     least ``STUCK_ROWS`` scans with the same value; a missing reading ends it.
     spike: proposed by the sparse part of the robust principal components of the
-    source's matrix of consecutive profiles, then checked exactly against the
-    levels before and after it and the source's usual scatter. Readings of just
+    source's matrix of consecutive profiles or by its own distance from the
+    levels before and after it (blocks with much more or no scatter of their own
+    are gone through again by the usual one), then checked exactly against
+    these levels and the source's usual scatter. Readings of just
     range_max mean "no return" and are never flagged.
 
     Returns (sensor_id, scan_id, beam, reason, value, level, scatter); a reading
@@ -186,10 +199,18 @@ def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.expr(f"(rank - {CONTEXT_ROWS}) div {BLOCK_ROWS}")).cast("bigint"), F.expr(f"(rank + {CONTEXT_ROWS}) div {BLOCK_ROWS}"),
     )
     spread = placed.withColumn("block", F.explode(reached)).withColumn("home", F.col("block") == own)
-    ddl = "source STRING, scan BIGINT, beam INT, reason STRING, value DOUBLE, level DOUBLE, scatter DOUBLE, weight BIGINT, away ARRAY<DOUBLE>"
-    found = cut(spread.select("source", "block", "rank", "home", "scan", "ranges", "least", "most").groupBy("source", "block").applyInArrow(_block, ddl))
+    ddl = "source STRING, scan BIGINT, beam INT, reason STRING, value DOUBLE, level DOUBLE, scatter DOUBLE, weight BIGINT, away ARRAY<DOUBLE>, block BIGINT"
+    matrix = ["source", "block", "rank", "home", "scan", "ranges", "least", "most"]
+    found = cut(spread.select(*matrix).groupBy("source", "block").applyInArrow(_block, ddl))
     # the usual scatter of a source: the median over its blocks, each weighing as many readings as it has
     usual = found.where("reason = 'scatter' AND weight > 0").groupBy("source").agg(F.percentile_approx("scatter", 0.5, 10_000).alias("usual"))
+    # blocks that may have left out readings beyond the usual scatter's limit
+    again = found.where("reason = 'scatter'").join(usual, "source").where((F.col("usual") > 0) & ((F.col("scatter") == 0) | (CANDIDATE_FACTOR * F.col("scatter") > SPIKE_FACTOR * F.col("usual"))))
+    again = cut(again.select("source", "block", (SPIKE_FACTOR * F.col("usual")).alias("bar")))
+    if not again.isEmpty():
+        more = spread.join(again, ["source", "block"]).select(*matrix, "bar").groupBy("source", "block").applyInArrow(_block, ddl).where("reason = 'spike'")
+        spikes = F.col("reason") == "spike"
+        found = found.join(again.select("source", "block", F.lit(True).alias("redone")), ["source", "block"], "left").where(~spikes | F.col("redone").isNull()).drop("redone").unionByName(more)
     rows = found.where("reason <> 'scatter'").join(usual, "source", "left")
     k = SPIKE_ROWS
     over = F.transform("away", lambda x: x > F.lit(SPIKE_FACTOR) * F.col("usual"))
