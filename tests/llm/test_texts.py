@@ -157,6 +157,15 @@ def test_subjects(spark):
     assert judged(spark, []) == set()
 
 
+def test_copies_do_not_make_formulas(spark):
+    passing = speech(["tractor", "plough"], 30)
+    docs = [(i, passing + (" (Applause)" if i % 2 else ""), None, "s") for i in range(40)]
+    # neither does a sentence that one text repeats; one that many texts have does
+    docs += [(100, speech(["stadium"] * 2, 0) + " We thank you all for that." * 20, None, "s")]
+    docs += [(200 + i, speech(["tribunal", "barrister"], 3, i) + " The sitting is open and all of you are welcome." * 13, None, "s") for i in range(8)]
+    assert judged(spark, docs) == {(200 + i, "law") for i in range(8)}
+
+
 def test_lexicon_is_learned(spark):
     docs = [(i, speech(["tractor", "milk quota"] if i % 2 else ["stadium", "penalty kick"], 4, i), None, "s") for i in range(120)]
     labels = [(i, "farm" if i % 2 else "sport", "a") for i in range(100)] + [(1, None, "b"), (3, "no such", "b")]

@@ -26,7 +26,7 @@ TERM_WORDS, STOP_SHARE = 3, 0.12
 TERM_PURITY, TERM_EVIDENCE, SPLIT_PURITY, SPLIT_EVIDENCE = 0.6, 9.0, 0.65, 25.0
 #: Sentences that a subject needs at least, and its least share of the sentences that are neither formula nor remark ("about a sixth").
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.125
-#: Sentence that stands in more than this share of the documents, and in more than so many: formula.
+#: Sentence that stands in more than this share of the distinct texts, and in more than so many: formula.
 FORMULA_SHARE, FORMULA_DOCS = 0.002, 5
 #: Votes by which the lexicon's answers to false and true pairs are known beforehand, for corpora too small to learn them.
 PRIOR = (np.array([200.0, 5.0, 2.0, 0.5]), np.array([0.5, 2.0, 4.0, 40.0]))
@@ -149,13 +149,13 @@ def automaton(lexicon: dict[str, list[int]]) -> ahocorasick.Automaton:
     return a
 
 
-COUNTS = "doc BIGINT, subject INT, n INT, first BOOLEAN, section INT, source STRING, plain ARRAY<BIGINT>, total INT"
+COUNTS = "doc BIGINT, subject INT, n INT, first BOOLEAN, section INT, source STRING, plain ARRAY<BIGINT>, total INT, said BIGINT"
 
 
 def _counter(lexicon: dict[str, list[int]], titles: dict[str, int]):
     schema = pa.schema([
         ("doc", pa.int64()), ("subject", pa.int32()), ("n", pa.int32()), ("first", pa.bool_()),
-        ("section", pa.int32()), ("source", pa.string()), ("plain", pa.list_(pa.int64())), ("total", pa.int32()),
+        ("section", pa.int32()), ("source", pa.string()), ("plain", pa.list_(pa.int64())), ("total", pa.int32()), ("said", pa.int64()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +164,10 @@ def _counter(lexicon: dict[str, list[int]], titles: dict[str, int]):
             rows = []
             for doc, text, agenda, source in zip(*(c.to_pylist() for c in batch.columns)):
                 clear: Counter[int] = Counter()
-                unclear, plain, first, total = [], [], None, 0
+                unclear, plain, first, total, said = [], [], None, 0, xxhash.xxh64()
                 for words in sentences(text):
                     total += 1
+                    said.update(" ".join(words) + "\n")
                     found = {n for _, n in finder.iter_long(" " + "  ".join(words) + " ")} if lexicon else set()
                     sure = {n[0] for n in found if len(n) == 1}
                     if sure:
@@ -182,9 +183,9 @@ def _counter(lexicon: dict[str, list[int]], titles: dict[str, int]):
                         if clear[s]:
                             both[s] += 1
                 section = section_subject(agenda, titles)
-                rows.append((doc, None, 0, False, section, source, plain, total))
+                rows.append((doc, None, 0, False, section, source, plain, total, said.intdigest() - (1 << 63)))
                 for s in both.keys() | ({section} - {None}):
-                    rows.append((doc, s, both[s], bool(first and s in first), section, source, None, total))
+                    rows.append((doc, s, both[s], bool(first and s in first), section, source, None, total, None))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
     return run
@@ -268,12 +269,13 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     lexicon = fit_lexicon(docs.join(F.broadcast(both), "doc").select("text", F.col("subject").cast("int").alias("subject")), names, seeds)
 
     counted = cut(docs.select("doc", "text", "agenda", "source").mapInArrow(_counter(lexicon, titles), COUNTS))
-    heads = counted.where("subject IS NULL").select("doc", "source", "plain", "total")
+    heads = counted.where("subject IS NULL").select("doc", "source", "plain", "total", "said")
     n_docs = heads.count()
-    # sentences without a term that recur all over the corpus: at most (sentences of a document / FORMULA_SHARE) of them
+    # sentences without a term that recur all over the corpus: at most (sentences of a document / FORMULA_SHARE) of them; copies of a text count once
+    texts = cut(heads.groupBy("said").agg(F.first("plain").alias("plain")).select(F.array_distinct("plain").alias("plain")))
     formulas = (
-        heads.select("doc", F.explode("plain").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-        .where(F.col("c") > max(FORMULA_SHARE * n_docs, FORMULA_DOCS)).select("h")
+        texts.select(F.explode("plain").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+        .where(F.col("c") > max(FORMULA_SHARE * texts.count(), FORMULA_DOCS)).select("h")
     )
     procedure = heads.select("doc", F.explode("plain").alias("h")).join(F.broadcast(formulas), "h").groupBy("doc").agg(F.count("*").alias("formulas"))
     pairs = counted.where("subject IS NOT NULL").select("doc", "subject", "n", "first", "section", "source", "total").join(procedure, "doc", "left")
