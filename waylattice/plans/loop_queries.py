@@ -172,6 +172,31 @@ SELECT current_kf_id, CAST(count_if(a) AS INTEGER) AS first, CAST(count_if(b) AS
   CAST(count_if(a AND NOT b) AS INTEGER) AS only_first, CAST(count_if(b AND NOT a) AS INTEGER) AS only_second FROM s GROUP BY current_kf_id""")
 
 
+def _posed_keyframes(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes that the log names, with their true pose."""
+    log = views.loops(spark, d)
+    kf = log.where("current_ts IS NOT NULL").select(F.col("current_kf_id").alias("kf_id"), F.col("current_ts").alias("ts")).unionByName(log.where("candidate_ts IS NOT NULL").select(F.col("candidate_kf_id").alias("kf_id"), F.col("candidate_ts").alias("ts")))
+    kf = kf.groupBy("kf_id").agg(F.min("ts").alias("ts")).withColumn("all", F.lit(0))
+    truth = views.gt(spark, d)
+    near = asof.asof_nearest(kf, truth.select("pose_id", "ts").withColumn("all", F.lit(0)), "all", "ts", "ts", "pose_id", tolerance=0.05, how="inner", chunk_seconds=64.0)
+    return near.select("kf_id", F.col("ts").alias("kf_ts"), F.col("match_id").alias("pose_id")).join(truth.drop("ts"), "pose_id")
+
+
+def _side(p: DataFrame, s: str) -> DataFrame:
+    return p.select(*[F.col(c).alias(s + c) for c in p.columns])
+
+
+def _measured(m: DataFrame) -> DataFrame:
+    """Pairs (a_*, b_*) of a sequence that are far enough apart in time, with true distance and flags."""
+    m = m.where("a_sequence_id = b_sequence_id").where((F.abs(F.col("a_kf_ts") - F.col("b_kf_ts")) >= loops.PAIR_SECONDS) & (F.abs(F.col("a_kf_id") - F.col("b_kf_id")) >= loops.PAIR_KEYFRAMES))
+    q = ("qx", "qy", "qz", "qw")
+    m = m.withColumns({
+        "metres": F.sqrt(sum(((F.col("a_t" + c) - F.col("b_t" + c)) * (F.col("a_t" + c) - F.col("b_t" + c)) for c in "yz"), (F.col("a_tx") - F.col("b_tx")) * (F.col("a_tx") - F.col("b_tx")))),
+        "degrees": geom.quaternion_between_angle_deg([F.col("a_" + c) for c in q], [F.col("b_" + c) for c in q]),
+    })
+    return loops.pair_flags(m, F.col("metres"), F.col("degrees"))
+
+
 @query("""
 WITH k AS (SELECT current_kf_id AS kf_id, min(current_ts) AS ts FROM v_loops WHERE current_ts IS NOT NULL GROUP BY ALL UNION SELECT candidate_kf_id, min(candidate_ts) FROM v_loops WHERE candidate_ts IS NOT NULL GROUP BY ALL),
 kf AS (SELECT kf_id, min(ts) AS ts FROM k GROUP BY ALL),
@@ -185,24 +210,40 @@ m AS (SELECT i, j, sqrt((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty -
 SELECT i, j, least(i, j) || '-' || greatest(i, j) AS pair_key, round(metres, 6) AS metres, metres <= 0.75 AND degrees <= 45 AS loop_like, metres <= 1.5 AS near_loop FROM m""")
 def gt_loop_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs far enough apart in time, with their true distance and whether they are loops."""
-    log = views.loops(spark, d)
-    kf = log.where("current_ts IS NOT NULL").select(F.col("current_kf_id").alias("kf_id"), F.col("current_ts").alias("ts")).unionByName(log.where("candidate_ts IS NOT NULL").select(F.col("candidate_kf_id").alias("kf_id"), F.col("candidate_ts").alias("ts")))
-    kf = kf.groupBy("kf_id").agg(F.min("ts").alias("ts")).withColumn("all", F.lit(0))
-    truth = views.gt(spark, d)
-    near = asof.asof_nearest(kf, truth.select("pose_id", "ts").withColumn("all", F.lit(0)), "all", "ts", "ts", "pose_id", tolerance=0.05, how="inner", chunk_seconds=64.0)
-    p = near.select("kf_id", F.col("ts").alias("kf_ts"), F.col("match_id").alias("pose_id")).join(truth.drop("ts"), "pose_id")
-    side = lambda s: p.select(*[F.col(c).alias(s + c) for c in p.columns])
-    pairs = log.select(F.col("current_kf_id").alias("a_kf_id"), F.col("candidate_kf_id").alias("b_kf_id")).distinct()
-    m = pairs.join(side("a_"), "a_kf_id").join(side("b_"), "b_kf_id").where("a_sequence_id = b_sequence_id").where((F.abs(F.col("a_kf_ts") - F.col("b_kf_ts")) >= loops.PAIR_SECONDS) & (F.abs(F.col("a_kf_id") - F.col("b_kf_id")) >= loops.PAIR_KEYFRAMES))
-    q = ("qx", "qy", "qz", "qw")
-    m = m.withColumns({
-        "metres": F.sqrt(sum(((F.col("a_t" + c) - F.col("b_t" + c)) * (F.col("a_t" + c) - F.col("b_t" + c)) for c in "yz"), (F.col("a_tx") - F.col("b_tx")) * (F.col("a_tx") - F.col("b_tx")))),
-        "degrees": geom.quaternion_between_angle_deg([F.col("a_" + c) for c in q], [F.col("b_" + c) for c in q]),
-    })
-    m = loops.pair_flags(m, F.col("metres"), F.col("degrees"))
+    p = _posed_keyframes(spark, d)
+    pairs = views.loops(spark, d).select(F.col("current_kf_id").alias("a_kf_id"), F.col("candidate_kf_id").alias("b_kf_id")).distinct()
+    m = _measured(pairs.join(_side(p, "a_"), "a_kf_id").join(_side(p, "b_"), "b_kf_id"))
     return m.select(F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), F.round("metres", 6).alias("metres"), "loop_like", "near_loop")
 
 
+@query()
+def gt_loop_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """All true near loops among the keyframes that the log names, i < j, with the furthest stage that the log has for them; NOT_RETRIEVED if it has none.
+
+    ``gt_loop_pairs`` has the logged pairs only. Pairs meet through cells of NEAR_METRES.
+    """
+    p = _posed_keyframes(spark, d)
+    cell = {c: F.floor(F.col("t" + c) / F.lit(loops.NEAR_METRES)) for c in "xyz"}
+    at = p.withColumns({"c" + c: v for c, v in cell.items()})
+    around = p.withColumns({"n" + c: F.explode(F.sequence(v - 1, v + 1)) for c, v in cell.items()})
+    met = F.expr("a_sequence_id = b_sequence_id AND a_cx = b_nx AND a_cy = b_ny AND a_cz = b_nz AND a_kf_id < b_kf_id")
+    m = _measured(_side(at, "a_").join(_side(around, "b_"), met)).where("near_loop")
+    # stages stand in the order in which a pair passes them, but for the unknown one
+    order = F.array_position(F.array(*[F.lit(x) for x in ["UNKNOWN_STAGE", *loops.RECALL_STAGES[:-1]]]), F.col("pipeline_stage"))
+    log = _staged(spark, d).groupBy(F.least("current_kf_id", "candidate_kf_id").alias("a_kf_id"), F.greatest("current_kf_id", "candidate_kf_id").alias("b_kf_id")).agg(F.max_by("pipeline_stage", order).alias("logged"))
+    m = m.join(log, ["a_kf_id", "b_kf_id"], "left")
+    none = F.lit(None).cast("int")
+    lost = loops.rejection_class(F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), seed=none, refined=none, guided=none, final=none, retrieved=F.lit(False), chosen=F.lit(False))
+    return m.select(F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), F.round("metres", 6).alias("metres"), "loop_like", "near_loop", F.coalesce("logged", lost).alias("stage"))
+
+
+@query()
+def recall_by_stage_all(spark: SparkSession, d: str) -> DataFrame:
+    """True loops by the stage at which they were lost, those that retrieval missed included."""
+    got = loops.stage_counts(gt_loop_pairs_all(spark, d).where("loop_like"), "stage", loops.RECALL_STAGES)
+    return got.withColumn("percent", F.round("percent", 6))
+
+
 @query("""
 WITH t AS (SELECT current_kf_id, candidate_kf_id, bool_or(candidate_source = 'wordbag') AS raw, bool_or(candidate_source = 'inverted') AS inv, max(common_words) AS w, max(candidate_score) FILTER (WHERE candidate_score >= 0 AND NOT isnan(candidate_score)) AS s,
   bool_or(passed_consistency) AS cons, bool_or((rejection_stage IS NULL AND coalesce(passed_consistency, false) AND coalesce(final_inliers >= accept_threshold_inliers, false))) AS acc FROM v_loops GROUP BY ALL)
