@@ -83,6 +83,40 @@ def test_copies_of_a_leak_are_no_formula(spark, kw):
     assert leaks(spark, plain + quoted, **kw) == {(i, "one") for i in range(60)}
 
 
+def loose(words, seed=0):
+    """Of like build only: two words of seven changed."""
+    return [w if i % 7 not in (2, 5) else f"other{seed}{i}" for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("kw", [{}, {"broadcast_letters": 1}])
+def test_a_quotation_beside_loose_ones(spark, kw):
+    item = prose(80, 21)
+    quote, near = item[60:77], loose(item[:55])
+    docs = [
+        (1, around(" ".join(quote))), (2, around(" ".join(near))), (3, around(" ".join(near + quote))), (4, around(" ".join(quote + near))),
+        (5, around(" ".join(loose(item, 1) + quote + loose(item, 2)))), (6, around(" ".join(loose(item[20:], 1) + prose(3, 5) + quote + prose(2, 6) + near))),
+        (7, around(" ".join(loose(item, 3) + prose(9, 4) + loose(item, 4)))),
+    ]
+    assert leaks(spark, docs, [("one", " ".join(item))], **kw) == {(i, "one") for i in (1, 3, 4, 5, 6)}
+
+
+def test_both_ways_find_the_same(spark):
+    r = random.Random(5)
+    sets = [prose(r.randrange(20, 90), 300 + i) for i in range(12)]
+    formula = prose(12, 50)
+    items = [(f"i{i % 10}", " ".join((formula if i % 3 == 0 else []) + w)) for i, w in enumerate(sets)]  # two ids stand for two texts each
+    docs = []
+    for i in range(400):
+        words = prose(r.randrange(5, 60), 5000 + i) + (formula if r.random() < 0.4 else [])
+        for _ in range(r.randrange(3)):
+            w = r.choice(sets)
+            a = r.randrange(len(w))
+            words += [x if r.random() > 0.12 else r.choice(WORDS) for x in w[a : a + r.randrange(8, 50)]] + prose(r.randrange(6), i)
+        docs.append((i % 390, " ".join(words)))
+    one, two = leaks(spark, docs, items), leaks(spark, docs, items, broadcast_letters=1)
+    assert len(one) > 50 and one == two
+
+
 def test_winnowing_guarantee():
     r = random.Random(8)
     for _ in range(200):

@@ -170,8 +170,10 @@ class Index:
         self.item, self.place = item[order], place[order]
         self.hash, self.first = np.unique(h[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(h)))
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        # a bitmap of the hashes' first bits, sparse enough to turn most others away
+        self.shift = np.uint64(64 - min(22, max(10, int(64 * len(self.hash)).bit_length())))
+        self.seen = np.zeros(1 << int(64 - self.shift), bool)
+        self.seen[(self.hash >> self.shift).astype(np.int64)] = True
 
 
 def passage(hit: np.ndarray, counted: np.ndarray) -> bool:
@@ -189,22 +191,27 @@ def passage(hit: np.ndarray, counted: np.ndarray) -> bool:
     return bool((best[LEAST_WORDS - 1 :] - start[: len(start) - LEAST_WORDS + 1] >= -1e-9).any())
 
 
-def _words(index: Index, item: int, text: bytes, hits: list[tuple[int, int]]) -> np.ndarray:
-    """The words of an item that a text holds in place, extending the hits (positions in text and item)."""
+def _alignments(index: Index, item: int, text: bytes, hits: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The words of an item that a text holds in place, for each way in which the hits (positions in text and item) extend.
+
+    Hits in one stretch of equal letters extend alike, so one of them is extended;
+    every other hit may lead to another quotation of the item and is followed.
+    """
     source, n = index.text[item], len(index.text[item])
     ends = index.ends[item]
-    hit = np.zeros(len(ends), bool)
-    reached: list[tuple[int, int, int]] = []
-    flipped = None
+    begin = np.concatenate([[0], ends[:-1]])
+    found: dict[bytes, np.ndarray] = {}
+    done: dict[int, list[tuple[int, int]]] = {}
+    flipped = text[::-1]
     for j, i in hits:
-        if any(a <= i < b and abs((j - i) - d) <= 24 for a, b, d in reached):
+        if any(a <= i < b for a, b in done.get(j - i, ())):
             continue
         right = _extend(source, index.starts[item], text, i, j)
-        if flipped is None:
-            flipped = text[::-1]
         left = [(n - b, n - a) for a, b in _extend(index.back[item], index.back_starts[item], flipped, n - i, len(text) - j)]
+        # the stretch of equal letters around the hit
+        stretch = (left[0][0] if left and left[0][1] == i else i, right[0][1] if right and right[0][0] == i else i + 1)
+        done.setdefault(j - i, []).append(stretch)
         spans = right + left
-        reached.append((min((a for a, _ in spans), default=i), max((b for _, b in spans), default=i + 1), j - i))
         if sum(b - a for a, b in spans) < index.least[item]:
             continue
         there = np.zeros(n + 1, np.int32)
@@ -212,14 +219,14 @@ def _words(index: Index, item: int, text: bytes, hits: list[tuple[int, int]]) ->
             there[a] += 1
             there[b] -= 1
         whole = np.concatenate([[0], np.cumsum(np.cumsum(there[:n]) > 0)])
-        begin = np.concatenate([[0], ends[:-1]])
-        one = whole[ends] - whole[begin] == ends - begin
-        if one.sum() > hit.sum():
-            hit = one
-    return hit
+        hit = whole[ends] - whole[begin] == ends - begin
+        found.setdefault(hit.tobytes(), hit)
+    return list(found.values())
 
 
-PAIRS = pa.schema([("doc", pa.int64()), ("item", pa.string()), ("words", pa.string()), ("gram", pa.int64()), ("around", pa.int64())])
+#: Rows of a scan: a document, the number of an item, its words found in one alignment and the places of the fingerprints shared; or a fingerprint and its surroundings.
+PAIRS = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("words", pa.string()), ("places", pa.list_(pa.int32())), ("gram", pa.int64()), ("around", pa.int64())])
+PAIRS_DDL = "doc BIGINT, at INT, words STRING, places ARRAY<INT>, gram BIGINT, around BIGINT"
 
 
 def _digest(text: bytes) -> int:
@@ -240,12 +247,12 @@ def surroundings(doc: np.ndarray, at: np.ndarray, texts: list[bytes]) -> np.ndar
     return out
 
 
-def _scan(index: Index, docs: list[tuple[int, bytes]], met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, str, str]]:
-    """Pairs of a block of documents and items, with the words found; adds each document's fingerprints and their surroundings to ``met``."""
+def _scan(index: Index, docs: list[tuple[int, bytes]], met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, int, str, list[int]]]:
+    """Pairs of a block of documents and items (numbers), with the words found in each alignment; adds each document's fingerprints and their surroundings to ``met``."""
     size = np.array([len(t) for _, t in docs], np.int64)
     ends = np.cumsum(size)
     at, h = winnow(np.frombuffer(b"".join(t for _, t in docs), np.uint8), ends)
-    maybe = index.seen[(h >> np.uint64(42)).astype(np.int64)]
+    maybe = index.seen[(h >> index.shift).astype(np.int64)]
     at, h = at[maybe], h[maybe]
     k = np.searchsorted(index.hash, h)
     k[k == len(index.hash)] = 0
@@ -271,16 +278,18 @@ def _scan(index: Index, docs: list[tuple[int, bytes]], met: list[tuple[np.ndarra
     spread = np.maximum.reduceat(place, begin) - np.minimum.reduceat(place, begin)
     for a, b in zip(*(x[(stop - begin >= 2) & (spread >= GRAM // 2)].tolist() for x in (begin, stop))):
         d, i = divmod(int(pair[a]), len(index.ids))
-        hit = _words(index, i, docs[d][1], list(zip(there[a:b].tolist(), place[a:b].tolist())))
-        if hit.any() and passage(hit, np.ones(len(hit), bool)):
-            yield docs[d][0], index.ids[i], "".join("1" if x else "0" for x in hit)
+        places = None
+        for hit in _alignments(index, i, docs[d][1], list(zip(there[a:b].tolist(), place[a:b].tolist()))):
+            if passage(hit, np.ones(len(hit), bool)):
+                places = np.unique(place[a:b]).tolist() if places is None else places
+                yield docs[d][0], i, "".join("1" if x else "0" for x in hit), places
 
 
-def _found(out: list[tuple[int, str, str]], gram: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
+def _found(out: list[tuple[int, int, str, list[int]]], gram: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
     """Pairs, and below them fingerprints with surroundings."""
     n, m = len(out), len(gram)
     return pa.record_batch([
-        pa.array([x[0] for x in out] + [None] * m, pa.int64()), pa.array([x[1] for x in out] + [None] * m, pa.string()), pa.array([x[2] for x in out] + [None] * m, pa.string()),
+        *[pa.array([x[k] for x in out] + [None] * m, PAIRS[k].type) for k in range(4)],
         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(gram, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(around, pa.int64())]),
     ], schema=PAIRS)
 
@@ -321,10 +330,15 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
     stand in more than FORMULA_SHARE of the distinct texts, each time in other
     surroundings, are formulas and don't count; copies of a text count once.
 
-    Each (document, item) comes out once, with ``words``: 1 found, 0 not. Null ids and null or empty texts take no part; a document id that
-    occurs twice counts as one document if either text holds the passage. Items
-    with equal id are told apart by their text only in that either may be found.
-    Empty tables give none. Extra columns are ignored.
+    Every alignment of an item in a document is judged on its own, so a quotation
+    is found however many looser ones stand beside it. Each (document, item) comes
+    out once, with ``words`` of one of its passages: 1 found, 0 not. Null ids and
+    null or empty texts take no part; a document id that occurs twice counts as one
+    document if either text holds the passage. Items with equal id are judged text
+    by text; either may be found. Empty tables give none. Extra columns are ignored.
+
+    Test sets of more than ``broadcast_letters`` letters take another way with the
+    same result: fingerprints of both sides meet in a shuffle.
 
     Returns (doc, item, words).
     """
@@ -334,16 +348,14 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
         return _leaked_by_shuffle(corpus, tests)
     held = sorted((r["item"], r["text"]) for r in tests.collect())  # bounded by broadcast_letters
     shared = documents.sparkSession.sparkContext.broadcast(held)
-    found = cut(corpus.mapInArrow(lambda batches: _scanner(shared.value)(batches), "doc BIGINT, item STRING, words STRING, gram BIGINT, around BIGINT"))
+    found = cut(corpus.mapInArrow(lambda batches: _scanner(shared.value)(batches), PAIRS_DDL))
     total = found.where("gram = -1").select("around").distinct().count()
     index = Index(held)
     # fingerprints of test items only: as many as the broadcast texts have
     often = {r["gram"] for r in _frequent(found.where("gram >= 0"), total).collect()}
-    formula = {}
-    for i, ident in enumerate(index.ids):
-        formula.setdefault(ident, formula_words(index, i, often))
-    pairs = found.where("doc IS NOT NULL").select("doc", "item", "words").distinct()
-    return pairs.where(_still_passage(formula)("item", "words")).dropDuplicates(["doc", "item"])
+    pairs = found.where("doc IS NOT NULL").select("doc", "at", "words", "places")
+    named = pairs.withColumn("item", _counted_item(index.ids, formulas(index, often))("at", "words", "places"))
+    return named.where("item IS NOT NULL").groupBy("doc", "item").agg(F.max("words").alias("words"))
 
 
 def _frequent(met: DataFrame, total: int) -> DataFrame:
@@ -351,42 +363,55 @@ def _frequent(met: DataFrame, total: int) -> DataFrame:
     return met.select("gram", "around").distinct().groupBy("gram").agg(F.count("*").alias("places")).where(F.col("places") > max(FORMULA_SHARE * total, FORMULA_DOCS)).select("gram")
 
 
-def formula_spans(index: Index, item: int, often: set[int]) -> list[tuple[int, int]]:
-    """Spans of an item's letters that are formulas, given the fingerprints (numbers in the index) that are frequent in the corpus."""
-    mine = index.item == item
-    gram = np.repeat(np.arange(len(index.hash)), index.count)[mine]
-    place = np.sort(index.place[mine][np.isin(gram, list(often))])
-    ends, spans = index.ends[item], []
-    # neighbouring fingerprints join to spans
-    for part in np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1) if len(place) else []:
-        a, b = int(part[0]), int(part[-1]) + GRAM
-        if b - a >= FORMULA_LETTERS and ((ends > a) & (ends <= b)).sum() < FORMULA_WORDS:
-            spans.append((a, b))
-    return spans
-
-
-def formula_words(index: Index, item: int, often: set[int]) -> str:
-    """A string with x at an item's words in its formulas."""
-    mask = np.zeros(len(index.text[item]), bool)
-    for a, b in formula_spans(index, item, often):
-        mask[a:b] = True
-    ends = index.ends[item]
-    total = np.concatenate([[0], np.cumsum(mask)])
-    begin = np.concatenate([[0], ends[:-1]])
-    return "".join("x" if c else "." for c in (total[ends] - total[begin]) * 2 > ends - begin)
+def formulas(index: Index, often: set[int]) -> dict[int, tuple[list[tuple[int, int]], str]]:
+    """By item number the spans of its letters that are formulas, and a string with x at its words in them.
 
+    ``often``: the fingerprints (numbers in the index) that are frequent in the corpus.
+    """
+    if not often:
+        return {}
+    entry = np.flatnonzero(np.isin(np.repeat(np.arange(len(index.hash)), index.count), np.fromiter(often, np.int64, len(often))))
+    entry = entry[np.lexsort((index.place[entry], index.item[entry]))]
+    out = {}
+    for mine in np.split(entry, np.flatnonzero(np.diff(index.item[entry])) + 1) if len(entry) else []:
+        item, place = int(index.item[mine[0]]), index.place[mine]
+        ends, spans = index.ends[item], []
+        # neighbouring fingerprints join to spans
+        for part in np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1):
+            a, b = int(part[0]), int(part[-1]) + GRAM
+            if b - a >= FORMULA_LETTERS and ((ends > a) & (ends <= b)).sum() < FORMULA_WORDS:
+                spans.append((a, b))
+        if spans:
+            mask = np.zeros(len(index.text[item]), bool)
+            for a, b in spans:
+                mask[a:b] = True
+            total = np.concatenate([[0], np.cumsum(mask)])
+            begin = np.concatenate([[0], ends[:-1]])
+            out[item] = spans, "".join("x" if c else "." for c in (total[ends] - total[begin]) * 2 > ends - begin)
+    return out
 
-def _counts(words: str, formula: str) -> bool:
-    counted = np.array([x != "x" for x in formula.ljust(len(words), ".")], bool)
-    return passage(np.array([x == "1" for x in words], bool), counted)
 
+def _free(place: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which fingerprints at these places of an item do not lie within its formulas."""
+    free = np.ones(len(place), bool)
+    for a, b in spans:
+        free &= (place < a) | (place + GRAM > b)
+    return free
 
-def _still_passage(formula: dict[str, str]):
-    @F.pandas_udf("boolean")
-    def still(item: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([_counts(w, formula.get(i, "")) for i, w in zip(item, words)], dtype=bool)
 
-    return still
+def _counts(words: str, places: np.ndarray, formula: tuple[list[tuple[int, int]], str] | None) -> bool:
+    """Whether an alignment is a passage outside of formulas; some fingerprint that it shares must lie outside of them, too."""
+    spans, mask = formula or ([], "")
+    counted = np.array([x != "x" for x in mask.ljust(len(words), ".")], bool)
+    return bool(_free(places, spans).any()) and passage(np.array([x == "1" for x in words], bool), counted)
+
+
+def _counted_item(ids: list[str], formula: dict[int, tuple[list[tuple[int, int]], str]]):
+    @F.pandas_udf("string")
+    def item(at: pd.Series, words: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([ids[i] if _counts(w, np.asarray(p), formula.get(i)) else None for i, w, p in zip(at, words, places)], dtype=object)
+
+    return item
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
@@ -394,11 +419,9 @@ def fingerprints(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                t = letters(text)
-                gram = np.unique(winnow(np.frombuffer(t, np.uint8), np.array([len(t)]))[1]).astype(np.int64)
-                if len(gram):
-                    yield pa.record_batch([pa.array([ident.as_py()] * len(gram), ident.type), pa.array(gram)], names=["id", "gram"])
+            grams = [np.unique(winnow(np.frombuffer(t, np.uint8), np.array([len(t)]))[1]).astype(np.int64) for t in map(letters, batch.column(1).to_pylist())]
+            row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["id", "gram"])
 
     return texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, gram BIGINT")
 
@@ -428,42 +451,52 @@ def _frequent_by_shuffle(corpus: DataFrame, hits: DataFrame) -> DataFrame:
     return _frequent(met.join(many, "gram", "left_semi"), total)
 
 
+#: Items whose indexes a worker keeps at hand.
+KEPT_INDEXES = 1024
+
+
 def _leaked_by_shuffle(corpus: DataFrame, tests: DataFrame) -> DataFrame:
     """The same for test sets of any size: fingerprints of both sides meet in a shuffle, then the texts of each candidate pair.
 
     All fingerprints of an item but those in its formulas propose pairs; one that
-    is frequent without being part of a formula has as many partners as it has documents.
+    is frequent without being part of a formula has as many partners as it has
+    documents (adaptive execution splits such a key: its other side is few items).
     """
     mine = cut(fingerprints(corpus.select("doc", "text")).withColumnRenamed("id", "doc"))
-    theirs = cut(fingerprints(tests.select("item", "text")).withColumnRenamed("id", "item").distinct())
+    keyed = cut(tests.withColumn("key", F.sha2(F.concat_ws("\x00", "item", "text"), 256)))
+    theirs = cut(fingerprints(keyed.select("key", "text")).withColumnRenamed("id", "key"))
     hits = cut(mine.join(theirs.select("gram").distinct(), "gram", "left_semi"))
     frequent = cut(_frequent_by_shuffle(corpus, hits))
-    often = cut(theirs.join(frequent, "gram").groupBy("item").agg(F.collect_set("gram").alias("often")))
+    often = cut(theirs.join(frequent, "gram").groupBy("key").agg(F.collect_set("gram").alias("often")))
 
-    def numbers(index: Index, grams: list[int] | None) -> set[int]:
-        return set(np.flatnonzero(np.isin(index.hash, np.array(grams or [], np.int64).astype(np.uint64))).tolist())
+    def formula(index: Index, grams: list[int] | None) -> tuple[list[tuple[int, int]], str] | None:
+        return formulas(index, set(np.flatnonzero(np.isin(index.hash, np.array(grams or [], np.int64).astype(np.uint64))).tolist())).get(0)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                index = Index([(item, text)])
-                free = np.ones(len(index.place), bool)
-                for a, b in formula_spans(index, 0, numbers(index, grams)):
-                    free &= (index.place < a) | (index.place + GRAM > b)
+            for key, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                index = Index([(key, text)])
+                free = _free(index.place, (formula(index, grams) or ([], ""))[0])
                 gram = np.unique(np.repeat(index.hash, index.count)[free]).astype(np.int64)
-                yield pa.record_batch([pa.array([item] * len(gram), pa.string()), pa.array(gram)], names=["item", "gram"])
+                yield pa.record_batch([pa.array([key] * len(gram), pa.string()), pa.array(gram)], names=["key", "gram"])
 
-    proposing = tests.join(often, "item", "left").select("item", "text", "often").mapInArrow(propose, "item STRING, gram BIGINT").distinct()
-    pairs = proposing.join(hits, "gram").select("doc", "item").distinct()
-    both = pairs.join(corpus, "doc").join(tests.withColumnRenamed("text", "item_text"), "item").join(often, "item", "left")
+    proposing = keyed.join(often, "key", "left").select("key", "text", "often").mapInArrow(propose, "key STRING, gram BIGINT")
+    pairs = proposing.join(hits, "gram").select("doc", "key").distinct()
+    both = pairs.join(keyed.withColumnRenamed("text", "item_text"), "key").join(often, "key", "left").join(corpus, "doc")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple[Index, tuple[list[tuple[int, int]], str] | None]] = {}
         for batch in batches:
             out = []
-            for doc, text, item, item_text, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                index = Index([(item, item_text)])
-                formula = formula_words(index, 0, numbers(index, grams))
-                out.extend((d, i, w) for d, i, w in _scan(index, [(doc, letters(text))]) if _counts(w, formula))
+            for doc, text, key, item, item_text, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if key not in kept:
+                    if len(kept) >= KEPT_INDEXES:
+                        kept.pop(next(iter(kept)))
+                    index = Index([(item, item_text)])
+                    kept[key] = index, formula(index, grams)
+                index, spans = kept[key]
+                out.extend((d, item, w) for d, _, w, p in _scan(index, [(doc, letters(text))]) if _counts(w, np.array(p), spans))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], names=["doc", "item", "words"])
 
-    return both.select("doc", "text", "item", "item_text", "often").mapInArrow(check, "doc BIGINT, item STRING, words STRING").dropDuplicates(["doc", "item"])
+    checked = both.select("doc", "text", "key", "item", "item_text", "often").mapInArrow(check, "doc BIGINT, item STRING, words STRING")
+    return checked.groupBy("doc", "item").agg(F.max("words").alias("words"))
