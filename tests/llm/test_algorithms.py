@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waylattice.llm import bisect, nearest_time, percentiles, top_n
+from waylattice.llm import nearest_time, percentiles, top_n
+from waylattice.operators import bisect
 
 random.seed(11)
 
@@ -94,16 +95,30 @@ def test_percentiles_brute(spark, kw):
         assert lo <= v <= hi and (hi == lo or hi - lo <= 0.004 * v)
 
 
+@pytest.mark.parametrize("broadcast_rows,hot_rows", [(4, 500), (4, 100), (20, 1000), (3, 40)])
+def test_hot_runs_of_cold_days(spark, broadcast_rows, hot_rows):
+    """Runs above the limit whose days are below it, and days on either side of it."""
+    rows = [("hot", f"d{i % 20}" if i % 3 else None, i, random.random(), random.choice([1.0, 2.0])) for i in range(4000)]
+    rows += [(f"r{i % 9}", f"d{i % 4}", i, random.random(), random.random()) for i in range(900)]
+    got = {k: r["value"] for k, r in pct_rows(spark, rows, broadcast_rows=broadcast_rows, hot_rows=hot_rows).items()}
+    assert got == brute_pcts(rows)
+
+
+def test_hot_groups_of_top_n(spark):
+    rows = [(1, c, random.random()) for c in range(3000)] + [(k, c, random.choice([0.5, random.random()])) for k in range(2, 60) for c in range(20)]
+    assert tops(spark, rows, broadcast_rows=4, hot_rows=500) == brute_tops(rows)
+
+
 def test_percentiles_empty(spark):
     assert pct_rows(spark, []) == {}
 
 
 def test_days_combine_into_runs(spark):
     df = spark.createDataFrame([("r", f"d{i % 3}", i, float(i % 97)) for i in range(1000)], "run STRING, day STRING, frame BIGINT, a DOUBLE")
-    days = percentiles.summarise(percentiles.measured(df, "run", "day", "frame", ["a"]))
-    whole = percentiles.summarise(percentiles.measured(df.withColumn("day", F.lit("all")), "run", "day", "frame", ["a"]))
+    days = bisect.summarise(percentiles.measured(df, "run", "day", "frame", ["a"]), percentiles.PART)
+    whole = bisect.summarise(percentiles.measured(df.withColumn("day", F.lit("all")), "run", "day", "frame", ["a"]), percentiles.PART)
     cols = ["g", "m", "cell", "c", "lo", "hi"]
-    assert sorted(percentiles.combine(days, "g", "m").select(*cols).collect()) == sorted(whole.select(*cols).collect())
+    assert sorted(bisect.combine(days, "g", "m").select(*cols).collect()) == sorted(whole.select(*cols).collect())
 
 
 @settings(max_examples=200, deadline=None)

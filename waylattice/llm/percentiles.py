@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bisect import BROADCAST_ROWS, HOT_ROWS, combine, locate, order_code, resolve, summarise
 from ..session import cut
-from .bisect import BROADCAST_ROWS, HOT_ROWS, attach, bin_of, order_code, span_shift
-
-#: Bits of a value's code that name its cell in a summary: sign, exponent and 8 of the mantissa.
-SUMMARY_BITS = 20
 
 
 def measured(df: DataFrame, group: str, part: str, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -32,50 +29,26 @@ def measured(df: DataFrame, group: str, part: str, key: str, metrics: Sequence[s
     return once.select("g", "d", F.expr(f"stack({len(metrics)}, {pairs}) AS (m, v)")).where("v IS NOT NULL").withColumn("x", order_code(F.col("v")))
 
 
-def summarise(values: DataFrame, bits: int = SUMMARY_BITS) -> DataFrame:
-    """Counts per (g, d, m) and cell, with the cell's least and greatest code.
-
-    The cells are the same dyadic intervals everywhere, so summaries of separate
-    partitions, days or runs combine by ``combine`` without loss.
-    """
-    return values.groupBy("g", "d", "m", F.shiftright("x", 64 - bits).alias("cell")).agg(
-        F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"),
-    )
-
+#: Keys of a summary per part, and of one per group.
+PART, GROUP = ["g", "d", "m"], ["g", "m"]
 
-def combine(summary: DataFrame, *keys: str) -> DataFrame:
-    """Adds summaries up to coarser groups, for instance days (g, d, m) to runs (g, m)."""
-    return summary.groupBy(*keys, "cell").agg(
-        F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"),
-    )
 
+def _ranks(per_mille: Sequence[int]) -> Column:
+    """The rank of p is ceil(p * n), at least 1: the smallest value with at least the share p of the values at or below it."""
+    return F.array(*[F.struct(F.lit(int(p)).alias("p"), F.greatest(F.lit(1), F.expr(f"(n * {int(p)} + 999) div 1000")).alias("rank")) for p in per_mille])
 
-def locate(summary: DataFrame, keys: Sequence[str], per_mille: Sequence[int]) -> DataFrame:
-    """The cell that holds each percentile's rank, and the rank within it.
 
-    The rank of p is ceil(p * n), at least 1: the smallest value with at least
-    the share p of the values at or below it. [v_lo, v_hi] bounds the percentile;
-    with ``SUMMARY_BITS`` its width is under 0.4 % of the value.
-    """
-    w = Window.partitionBy(*keys)
-    run = summary.withColumn("upto", F.sum("c").over(w.orderBy("cell"))).withColumn("n", F.sum("c").over(w))
-    rank = F.greatest(F.lit(1), F.expr("(n * p + 999) div 1000"))
-    return (
-        run.withColumn("p", F.explode(F.array(*[F.lit(int(p)) for p in per_mille])))
-        .withColumn("rank", rank)
-        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
-        .withColumn("need", F.col("rank") - (F.col("upto") - F.col("c")))
-        .drop("upto", "rank")
-    )
+def _targets(summary: DataFrame, per_mille: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """The cells of the percentiles of the parts, and of the groups they add up to."""
+    return locate(summary, PART, _ranks(per_mille)), locate(combine(summary, *GROUP), GROUP, _ranks(per_mille))
 
 
-def _targets(summary: DataFrame, per_mille: Sequence[int]) -> DataFrame:
-    days = locate(summary, ["g", "d", "m"], per_mille).withColumn("whole", F.lit(False))
-    runs = locate(combine(summary, "g", "m"), ["g", "m"], per_mille).withColumn("whole", F.lit(True)).withColumn("d", F.lit(None).cast(summary.schema["d"].dataType))
-    return days.unionByName(runs)
+def _both(parts: DataFrame, groups: DataFrame) -> DataFrame:
+    whole = groups.withColumn("d", F.lit(None).cast(parts.schema["d"].dataType)).withColumn("whole", F.lit(True))
+    return parts.withColumn("whole", F.lit(False)).unionByName(whole)
 
 
-def _named(found: DataFrame, group: str, part: str, metrics: Sequence[str], df: DataFrame) -> DataFrame:
+def _named(found: DataFrame, group: str, part: str, metrics: Sequence[str]) -> DataFrame:
     names = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("m") + 1)
     return found.select(
         F.col("g").alias(group), F.col("d").alias(part), F.when(F.col("whole"), "all").otherwise("part").alias("level"),
@@ -84,9 +57,9 @@ def _named(found: DataFrame, group: str, part: str, metrics: Sequence[str], df:
 
 
 def percentiles_bounded(df: DataFrame, group: str, part: str, key: str, metrics: Sequence[str], per_mille: Sequence[int] = (500, 900, 950, 990)) -> DataFrame:
-    """Percentiles from the summaries alone: lower and upper bound, in one pass over the rows."""
-    found = _targets(cut(summarise(measured(df, group, part, key, metrics))), per_mille)
-    return _named(found.withColumns({"lower": F.col("v_lo"), "upper": F.col("v_hi")}), group, part, metrics, df)
+    """Percentiles from the summaries alone: lower and upper bound, in one pass over the rows; the bounds are within 0.4 % of the value."""
+    found = _both(*_targets(cut(summarise(measured(df, group, part, key, metrics), PART)), per_mille))
+    return _named(found.withColumns({"lower": F.col("v_lo"), "upper": F.col("v_hi")}), group, part, metrics)
 
 
 def percentiles(
@@ -104,10 +77,11 @@ def percentiles(
     """Exact percentiles of each metric per group and per (group, part), without sorting a group.
 
     The first pass counts values in fixed dyadic cells per part; counts of parts
-    add up to those of the group. Each later pass bisects all intervals that
-    still hold more than one value ``bits`` times at once, by counting the rows
-    of every unresolved (group, part, metric, percentile) in the bins of its
-    interval, until the target rank falls on a single value. The error is zero.
+    add up to those of the group. Parts and groups are then resolved each on
+    their own keys: every pass bisects all intervals that still hold more than
+    one value ``bits`` times at once, by counting the rows of every unresolved
+    percentile in the bins of its interval, until the target rank falls on a
+    single value. The error is zero.
 
     Usable values are neither null, NaN nor negative; each (group, key) counts
     once. A group without usable values of a metric has no row for it. Infinite
@@ -117,39 +91,6 @@ def percentiles(
     or 'part'.
     """
     values = cut(measured(df, group, part, key, metrics))
-    summary = cut(summarise(values))
-    total = summary.agg(F.sum("c")).first()[0] or 0
-    at = _resolve(cut(_targets(summary, per_mille).drop("cell").withColumn("w", F.col("n"))))
-    done, active = [at.where("value IS NOT NULL")], at.where("value IS NULL")
-    while active.limit(1).count():
-        state = active.select("g", "d", "m", "p", "n", "w", "need", "whole", "lo", "hi").withColumn("shift", span_shift(F.col("lo"), F.col("hi"), bits))
-        # several percentiles of a key share an interval; its rows are counted once for all of them
-        spans = state.groupBy("g", "m", "lo", "hi", "whole", "shift", F.col("d").alias("day")).agg(F.max("w").alias("w"))
-        met = attach(values, spans, ["g", "m"], "w", total, broadcast_rows=broadcast_rows, hot_rows=hot_rows).where(
-            F.col("x").between(F.col("lo"), F.col("hi")) & (F.col("whole") | F.col("d").eqNullSafe(F.col("day")))
-        )
-        counted = (
-            met.withColumn("b", bin_of(F.col("x"), F.col("lo"), F.col("shift")))
-            .groupBy("g", "m", "whole", "day", F.col("lo").alias("from"), F.col("hi").alias("to"), "b")
-            .agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"))
-        )
-        span = Window.partitionBy("g", "m", "whole", "day", "from", "to")
-        counted = counted.withColumn("upto", F.sum("c").over(span.orderBy("b")))
-        wanted = state.select("g", "m", "whole", F.col("d").alias("day"), F.col("lo").alias("from"), F.col("hi").alias("to"), "p", "n", "w", "need")
-        hit = counted.join(wanted.withColumnRenamed("day", "day2"), ["g", "m", "whole", "from", "to"]).where(
-            F.col("day").eqNullSafe(F.col("day2")) & (F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need"))
-        )
-        hit = hit.withColumn("need", F.col("need") - (F.col("upto") - F.col("c"))).withColumnRenamed("day", "d")
-        at = _resolve(cut(hit.select("g", "d", "m", "p", "n", "w", "need", "whole", "c", "lo", "hi", "v_lo", "v_hi")))
-        done.append(at.where("value IS NOT NULL"))
-        active = at.where("value IS NULL")
-    found = done[0].select("g", "d", "m", "p", "n", "whole", "value")
-    for x in done[1:]:
-        found = found.unionByName(x.select("g", "d", "m", "p", "n", "whole", "value"))
-    return _named(found, group, part, metrics, df)
-
-
-def _resolve(at: DataFrame) -> DataFrame:
-    """The value of each interval whose target rank is its first or last row or that holds one value only."""
-    first = (F.col("need") == 1) | (F.col("lo") == F.col("hi"))
-    return at.withColumn("value", F.when(first, F.col("v_lo")).when(F.col("need") == F.col("c"), F.col("v_hi")))
+    parts, groups = _targets(cut(summarise(values, PART)), per_mille)
+    kw = {"bits": bits, "broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
+    return _named(_both(resolve(values, parts, PART, **kw), resolve(values, groups, GROUP, **kw)), group, part, metrics)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.bisect import BROADCAST_ROWS, HOT_ROWS, SUMMARY_BITS, attach, bin_of, order_code, span_shift
 from ..session import cut
-from .bisect import BROADCAST_ROWS, HOT_ROWS, attach, bin_of, order_code, span_shift
 
 #: Cutoff item of a group whose whole score level is kept.
 ALL_ITEMS = 0x7FFFFFFFFFFFFFFF
@@ -26,12 +28,16 @@ def top_n_per_group(
 ) -> DataFrame:
     """The ``n`` first items of each group by score descending, then item ascending.
 
-    Every pass counts the rows of each unresolved group in up to ``2**bits`` bins
-    of its interval of order-preserving codes (that is ``bits`` bisections at
-    once), moves the cutoff into the bin that holds the n-th row and narrows the
-    interval to it: first on the score, and among equal scores on the identifier.
-    A group is resolved as soon as its bin boundary leaves exactly ``n`` rows.
-    No group is ever gathered: a pass moves counts, not rows.
+    The first pass counts the rows of every group in fixed dyadic cells of an
+    order-preserving code of the score and finds the cell that holds the n-th row.
+    All rows then meet their group's cutoff once, and those above it are kept: the
+    rows surely among the first and those of that one cell. Every further pass
+    counts the kept rows of each unresolved group in up to ``2**bits`` bins of its
+    interval (that is ``bits`` bisections at once), moves the cutoff into the bin
+    that holds the n-th row and narrows the interval to it: first on the score, and
+    among equal scores on the identifier. A group is resolved as soon as its bin
+    boundary leaves exactly ``n`` rows. No group is ever gathered: a pass moves
+    counts, not rows.
 
     An item counts once per group, with its highest score. Rows with null group,
     item or score, with a NaN score or one below ``min_score`` (None: no limit)
@@ -57,29 +63,26 @@ def top_n_per_group(
     )
     # v rises as the score falls, so that a smaller (v, i) is always the better row
     rows = cut(best.withColumn("v", F.bitwise_not(order_code(F.col("s")))))
-    groups = cut(rows.groupBy("g").agg(F.count("*").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    total = groups.agg(F.sum("w")).first()[0] or 0
-    small = groups.where(F.col("w") <= n).select("g")
-    active = groups.where(F.col("w") > n).select(
-        "g", "w", F.lit(n).cast("bigint").alias("need"), F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("tie"), "lo", "hi",
-    )
-    done = []
-    left = active.limit(1).count()
-    while left:
-        passed = cut(_narrow(attach(
-            rows, active.withColumn("shift", span_shift(F.col("lo"), F.col("hi"), bits)), ["g"], "w", total, broadcast_rows=broadcast_rows, hot_rows=hot_rows,
-        )))
-        done.append(passed.where("resolved").select("g", "w", "cut_v", "cut_i"))
-        active = passed.where("NOT resolved").select("g", "w", "need", "level", "tie", "lo", "hi")
-        left = active.limit(1).count()
-    cutoffs = small.select("g", F.lit(0).cast("bigint").alias("w"), F.lit(ALL_ITEMS).alias("cut_v"), F.lit(ALL_ITEMS).alias("cut_i"))
-    for part in done:
-        cutoffs = cutoffs.unionByName(part)
-    kept = attach(rows, cutoffs, ["g"], "w", total, broadcast_rows=broadcast_rows, hot_rows=hot_rows).where(
-        (F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (F.col("i") <= F.col("cut_i")))
+    cells = rows.groupBy("g", F.shiftright("v", 64 - SUMMARY_BITS).alias("b")).agg(
+        F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("i").alias("i_lo"), F.max("i").alias("i_hi"),
     )
+    of_group = Window.partitionBy("g")  # cells of a group, not its rows
+    counted = cells.withColumns({"upto": F.sum("c").over(of_group.orderBy("b")), "w": F.sum("c").over(of_group)})
+    counted = counted.withColumns({"need": F.least(F.lit(n).cast("bigint"), F.col("w")), "level": F.lit(0), "tie": F.lit(0).cast("bigint")})
+    passed = cut(_next(counted))
+    total = passed.agg(F.sum("w")).first()[0] or 0
+    kw = {"broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
+    kept = cut(attach(rows, passed.select("g", "w", "cut_v"), ["g"], "w", total, **kw).where("v <= cut_v").select("g", "i", "s", "v"))
+    done, active = [passed.where("resolved")], passed.where("NOT resolved")
+    while not active.isEmpty():
+        state = active.select("g", "w", "need", "level", "tie", "lo", "hi").withColumn("shift", span_shift(F.col("lo"), F.col("hi"), bits))
+        passed = cut(_narrow(attach(kept, state, ["g"], "w", total, **kw)))
+        done.append(passed.where("resolved"))
+        active = passed.where("NOT resolved")
+    cutoffs = reduce(DataFrame.unionByName, [x.select("g", "w", "cut_v", "cut_i") for x in done])
+    best = attach(kept, cutoffs, ["g"], "w", total, **kw).where((F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (F.col("i") <= F.col("cut_i"))))
     order = Window.partitionBy("g").orderBy("v", "i")  # n rows at most
-    return kept.select(
+    return best.select(
         F.col("g").alias(group), F.col("i").cast(df.schema[item].dataType).alias(item), F.col("s").alias(score), F.row_number().over(order).alias("rank"),
     )
 
@@ -95,9 +98,12 @@ def _narrow(met: DataFrame) -> DataFrame:
         .groupBy("g", "b", "w", "need", "level", "tie")
         .agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("i").alias("i_lo"), F.max("i").alias("i_hi"))
     )
-    below = F.sum("c").over(Window.partitionBy("g").orderBy("b"))
-    # the bin in which the count reaches what is still needed
-    at = counted.withColumn("upto", below).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
+    return _next(counted.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("b"))))
+
+
+def _next(counted: DataFrame) -> DataFrame:
+    """The bin in which each group's count reaches what it needs, as its next interval or its cutoff."""
+    at = counted.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
     at = at.withColumn("need", F.col("need") - (F.col("upto") - F.col("c")))
     exact = F.col("c") == F.col("need")
     tied = (F.col("level") == 0) & (F.col("lo") == F.col("hi"))
