@@ -155,3 +155,28 @@ def test_nearest_in_time_brute(spark, kw):
     assert got == sorted(want)
     assert nearest_time.nearest_in_time(lf.limit(0), rf, 0.06).count() == 0
     assert nearest_time.nearest_in_time(lf, rf.limit(0), 0.06).count() == 0
+
+
+def test_bursts_are_cut(spark, monkeypatch):
+    """Half a second holds nearly all rows; no task sees more than its part and two neighbours."""
+    r = random.Random(2)
+    right = [(10_000 + i, "a", 500 + r.random() * 0.5) for i in range(3000)] + [(1, "a", 499.99), (2, "a", 500.6), (3, "b", 500.1)]
+    left = [(0, i, "a", 500 + r.random() * 0.6) for i in range(800)] + [(1, i, "a", 500.25) for i in range(700)] + [(0, 5000, "b", 500.11)]
+    lf = spark.createDataFrame(left, "kind INT, id BIGINT, entity STRING, ts DOUBLE")
+    rf = spark.createDataFrame(right, "id BIGINT, entity STRING, ts DOUBLE")
+    kernel = nearest_time._shard_kernel
+
+    def bounded(tolerance, error):
+        run = kernel(tolerance, error)
+
+        def checked(table):
+            assert table.num_rows <= 102
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(nearest_time, "_shard_kernel", bounded)
+    got = {(x["kind"], x["id"]): x["match"] for x in nearest_time.nearest_in_time(lf, rf, 0.02, shard_rows=100).collect()}
+    for kind, i, e, t in left:
+        near = min((abs(rt - t), rt, ri) for ri, re, rt in right if re == e)
+        assert got.get((kind, i)) == (near[2] if near[0] <= 0.02 else None)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import ranked
+from ..session import cut
+
 #: Slack added to the overlap of shards, far above the rounding of epoch seconds.
 SLACK = 1e-6
-#: Hot shards are cut at this many rows; as many shards can be hot as the input holds this many rows.
+#: Shards of more rows than this are cut into parts of this many rows.
 SHARD_ROWS = 400_000
+#: Hot shards, of which there are at most (rows of the input / SHARD_ROWS), are broadcast up to this number.
+HOT_SHARDS = 100_000
 
 
 def fit_segments(keys: np.ndarray, error: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +110,16 @@ def nearest_in_time(
 
     Shards are spans of ``shard_seconds`` of an entity. Right rows near an edge
     are also sent to the shard beyond it, so every neighbour within the tolerance
-    is at hand. A shard with too many rows is cut further: in time by its right
-    rows and by a hash of the id for its left rows, so no task grows with a hot
-    entity or a hot moment.
+    is at hand. A shard with too many rows, left and right together, is put in
+    order by a range sort and cut into parts of ``shard_rows`` rows, each with the
+    last right row before it and the first one after it, which are all it can need
+    of the others. So no task grows with a hot entity or a hot moment, be it a
+    burst of right rows or of left rows.
 
     Returns (kind, id, match, dt).
     """
-    if tolerance < 0 or shard_seconds <= 0:
-        raise ValueError("tolerance must not be negative and shard_seconds positive")
+    if tolerance < 0 or shard_seconds <= 0 or shard_rows < 1:
+        raise ValueError("tolerance must not be negative, shard_seconds and shard_rows positive")
     reach = tolerance + SLACK
 
     def usable(df: DataFrame) -> DataFrame:
@@ -126,32 +133,32 @@ def nearest_in_time(
     b = usable(right).groupBy("entity", "ts").agg(F.min(F.col("id").cast("bigint")).alias("id")).withColumn("side", F.lit(-1))
     a = a.withColumn("cell", cell(F.col("ts")))
     b = b.withColumn("cell", F.explode(F.sequence(cell(F.col("ts") - reach), cell(F.col("ts") + reach))))
-    # sizes are taken from the raw rows: an upper bound, and one cheap scan
-    sizes = (
-        usable(left).select("entity", cell(F.col("ts")).alias("cell"), F.lit(1).alias("l"), F.lit(0).alias("r"))
-        .unionByName(usable(right).select("entity", cell(F.col("ts")).alias("cell"), F.lit(0).alias("l"), F.lit(1).alias("r")))
-        .groupBy("entity", "cell").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .where((F.col("l") > shard_rows) | (F.col("r") > shard_rows))
-    )
-    # at most (rows of the input / shard_rows) of them
-    hot = F.broadcast(sizes.select(
-        "entity", "cell", F.ceil(F.col("r") / shard_rows).alias("cuts"), F.ceil(F.col("l") / shard_rows).alias("salts"),
-    ))
-    a = _cut(a.join(hot, ["entity", "cell"], "left"), F.lit(0.0), shard_seconds)
-    a = a.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))))
-    b = _cut(b.join(hot, ["entity", "cell"], "left"), F.lit(reach), shard_seconds)
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)))
-    columns = ["entity", "cell", "part", "salt", "side", "id", "ts"]
+    columns = ["entity", "cell", "side", "id", "ts"]
     both = a.select(*columns).unionByName(b.select(*columns))
-    return both.groupBy("entity", "cell", "part", "salt").applyInArrow(_shard_kernel(tolerance, error), "kind INT, id BIGINT, match BIGINT, dt DOUBLE")
-
-
-def _cut(df: DataFrame, reach: Column, shard_seconds: float) -> DataFrame:
-    """Adds the part of its shard in which a row lies, or all that it reaches."""
-    cuts = F.coalesce("cuts", F.lit(1))
-
-    def part(ts: Column) -> Column:
-        inside = (ts - F.col("cell") * F.lit(float(shard_seconds))) / F.lit(float(shard_seconds)) * cuts
-        return F.greatest(F.lit(0), F.least(cuts - 1, F.floor(inside))).cast("bigint")
-
-    return df.withColumn("part", F.explode(F.sequence(part(F.col("ts") - reach), part(F.col("ts") + reach))))
+    kernel, ddl = _shard_kernel(tolerance, error), "kind INT, id BIGINT, match BIGINT, dt DOUBLE"
+    # sizes are taken from the raw rows: an upper bound but for the rows that reach over an edge, and one cheap scan
+    raw = usable(left).select("entity", cell(F.col("ts")).alias("cell")).unionByName(usable(right).select("entity", cell(F.col("ts")).alias("cell")))
+    hot = cut(raw.groupBy("entity", "cell").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("entity", "cell"))
+    n_hot = hot.count()
+    if not n_hot:
+        return both.groupBy("entity", "cell").applyInArrow(kernel, ddl)
+    few = F.broadcast(hot) if n_hot <= HOT_SHARDS else hot
+    plain = both.join(few, ["entity", "cell"], "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    parts = _parts(both.join(few, ["entity", "cell"], "left_semi"), shard_rows)
+    columns = ["entity", "cell", "part", "side", "id", "ts"]
+    return plain.select(*columns).unionByName(parts.select(*columns)).groupBy("entity", "cell", "part").applyInArrow(kernel, ddl)
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of hot shards in parts of ``size`` rows in order of time, each with the right rows next to it."""
+    shard = F.struct("entity", "cell")
+    placed = cut(ranked(rows.withColumn("shard", shard), "shard", ["ts", "side", "id"]).withColumn("part", F.expr(f"rank div {int(size)}")))
+    right = F.when(F.col("side") < 0, F.struct("ts", "id"))
+    # one row per part, so a window over a shard's parts sees a fraction of 1 / size of its rows
+    ends = placed.groupBy("entity", "cell", "part").agg(F.min(right).alias("first"), F.max(right).alias("last"))
+    of_shard = Window.partitionBy("entity", "cell")
+    before = F.last("last", True).over(of_shard.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", True).over(of_shard.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
+    edges = ends.withColumns({"before": before, "after": after}).select("entity", "cell", "part", F.explode(F.array("before", "after")).alias("e")).where("e IS NOT NULL")
+    columns = ["entity", "cell", "part", "side", "id", "ts"]
+    return placed.select(*columns).unionByName(edges.select("entity", "cell", "part", F.lit(-1).alias("side"), "e.id", "e.ts"))
