@@ -170,10 +170,10 @@ def test_mixture_weights_and_total(spark):
 AREAS = [("farm", "Farming", "Farming: matters such as tractor, grain silo, plough."), ("sport", "Sport", "Sport: matters such as stadium, relay team, court."), ("law", "Justice", "Justice: matters such as tribunal, barrister, court.")]
 
 
-def judged(spark, docs, labels=()):
+def judged(spark, docs, labels=(), **kw):
     d = spark.createDataFrame([(*r, 0, "y") for r in docs], "doc_id BIGINT, text STRING, agenda_item STRING, source STRING, subject INT, total STRING")
     a = spark.createDataFrame(AREAS, "subject STRING, title STRING, description STRING")
-    return {(r["doc_id"], r["subject"]) for r in subjects.subject_areas(d, a, spark.createDataFrame(list(labels), "doc_id BIGINT, subject STRING, annotator STRING")).collect()}
+    return {(r["doc_id"], r["subject"]) for r in subjects.subject_areas(d, a, spark.createDataFrame(list(labels), "doc_id BIGINT, subject STRING, annotator STRING"), **kw).collect()}
 
 
 def speech(terms, filler=4, seed=0):
@@ -211,12 +211,37 @@ def test_accuracies_rank_functions():
     r = random.Random(1)
     seen = {}
     for _ in range(20000):
-        y = r.random() < 0.2
-        v = (3 if r.random() < (0.95 if y else 0.02) else 0, int(r.random() < 0.5), 1 if r.random() < (0.7 if y else 0.1) else 0, 0)
+        y = r.random() < 0.4
+        v = (r.choice([7, 7, 6, 5, 4]) if y else r.choice([1, 1, 1, 2, 3, 4]), int(r.random() < (0.7 if y else 0.1)), r.choice([0, 1] if y else [0, 0, 1, 2, 2]), int(r.random() < 0.5))
         seen[v] = seen.get(v, 0) + 1
-    post = subjects.fit_accuracies(seen, subjects.LEVELS)
-    assert post[3, 0, 1, 0] > post[3, 0, 0, 0] > 0.5 > post[0, 0, 1, 0] > post[0, 0, 0, 0]
-    assert abs(post[3, 0, 1, 0] - post[3, 1, 1, 0]) < 0.1
+    post = subjects.fit_accuracies(seen)
+    assert post[4, 1, 1, 0] > post[4, 1, 0, 0] > 0.5 > post[4, 0, 2, 0]
+    assert post[7, 0, 0, 0] > 0.5 > post[1, 1, 0, 0]
+    assert abs(post[4, 1, 0, 0] - post[4, 1, 0, 1]) < 0.1  # the source says nothing here
+    without = subjects.fit_accuracies(seen, ("lexicon", "section", "source"))
+    assert abs(without[4, 1, 0, 0] - without[4, 0, 0, 0]) < 1e-9
+
+
+def test_functions_change_rows(spark):
+    """Between a passing word and a subject the other functions decide."""
+    r = random.Random(6)
+    docs, passing = [], "We want the {} in this."
+    for i in range(300):
+        s = ["tractor", "stadium", "tribunal"][i % 3]
+        title = [None, "Farming", "Sport", "Justice"][0 if r.random() < 0.4 else 1 + i % 3]
+        docs.append((i, speech([s] * 4, 8, i), title, "s"))
+        lines = [f"Nobody here denies that {r.choice(WORDS)} is {r.choice(WORDS)}." for _ in range(12)]
+        other = ["stadium", "tribunal", "tractor"][i % 3]
+        # one word in passing, after the subject itself
+        docs.append((1000 + i, " ".join([passing.format(s)] * 4 + lines + [passing.format(other)]), title, "s"))
+    edge = [f"Nobody here denies that {r.choice(WORDS)} is {r.choice(WORDS)}." for _ in range(17)]
+    docs.append((5000, " ".join([passing.format("tractor"), *edge, passing.format("plough")]), "Farming", "s"))
+    docs.append((5001, " ".join([passing.format("stadium")] * 3 + edge[:14] + [passing.format("tractor")] * 2), "Sport", "s"))
+    rows = lambda **kw: judged(spark, docs, **kw)
+    full, lexicon = rows(), rows(functions=("lexicon",))
+    assert (5000, "farm") in full and (5001, "farm") not in full and (5001, "sport") in full
+    assert {(5000, "farm"), (5001, "farm"), (5001, "sport")} <= lexicon  # by itself it can't tell them apart
+    assert {(1000 + i, ["farm", "sport", "law"][i % 3]) for i in range(300)} == {x for x in full if 1000 <= x[0] < 5000}
 
 
 def test_sentences():
