@@ -167,6 +167,21 @@ def test_mixture_weights_and_total(spark):
     assert mix(spark, [], [("a", 1.0, 2)]) == [] and mix(spark, docs[:3], []) == []
 
 
+def test_inclusion_follows_size(spark):
+    """Realised inclusion against the odds: expected copies rise with a document's tokens, up to the cap."""
+    docs = [(i, "a", "word " * (5 * (1 + i % 8)), 1.0) for i in range(4000)]
+    once = {r["doc_id"]: r for r in mix(spark, docs, [("a", 1.0, 2)], by_size=True, total_tokens=40_000)}
+    tokens = {k: next(r["n_tokens"] for r in once.values() if r["doc_id"] % 8 == k) for k in range(8)}
+    rate = 40_000 / sum(500 * t * t for t in tokens.values())
+    for k, t in tokens.items():
+        p, used = rate * t, sum(r["copies"] for r in once.values() if r["doc_id"] % 8 == k)
+        assert p < 1 and abs(used - 500 * p) < 4 * (500 * p * (1 - p)) ** 0.5 + 1, (k, used, 500 * p)
+    # beyond the cap the others make up for it
+    full = mix(spark, docs, [("a", 1.0, 1)], by_size=True, total_tokens=sum(500 * t for t in tokens.values()) * 9 // 10)
+    share = {k: sum(r["copies"] for r in full if r["doc_id"] % 8 == k) / 500 for k in range(8)}
+    assert share[7] == share[6] == 1 and share[0] < share[1] < share[2] < 1 and abs(share[2] / share[0] - tokens[2] / tokens[0]) < 0.5
+
+
 AREAS = [("farm", "Farming", "Farming: matters such as tractor, grain silo, plough."), ("sport", "Sport", "Sport: matters such as stadium, relay team, court."), ("law", "Justice", "Justice: matters such as tribunal, barrister, court.")]
 
 

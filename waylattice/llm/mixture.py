@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,13 +49,16 @@ def mix_sources(
     *,
     total_tokens: int | None = None,
     weight: str | None = None,
+    by_size: bool = False,
     seed: int = 17,
     vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}",
 ) -> DataFrame:
     """Documents and copies of a mixture in which each source has its share of the tokens.
 
     ``documents``: doc_id, source, text (and ``weight``, a positive number that a
-    document's expected copies are proportional to; else all count alike);
+    document's expected copies are proportional to; with ``by_size`` its tokens
+    are that number, so that long documents are drawn more often than short ones;
+    else all count alike);
     ``targets``: source, target_share, max_repeats. Names of sources are compared
     without case and blanks at the ends. Documents of no target are left out, as
     are null ids; targets of null source, a share that is not positive, or no
@@ -87,6 +91,8 @@ def mix_sources(
     texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc"), name.alias("source"), value.alias("weight"), "text")
     counted = count_tokens(texts.join(F.broadcast(small.select("source")), "source"), vocabulary)
     docs = cut(counted.groupBy("doc").agg(F.min("source").alias("source"), F.max("weight").alias("weight"), F.max("tokens").alias("tokens")).where("tokens > 0 AND weight > 0"))
+    if by_size:
+        docs = docs.withColumn("weight", F.col("weight") * F.col("tokens"))
 
     plan = _plan(docs, small, total_tokens)
     rates = spark.createDataFrame([(s, p["rate"], p["most"]) for s, p in plan.items()], "source STRING, rate DOUBLE, most INT")
@@ -141,6 +147,7 @@ def _plan(docs: DataFrame, targets: DataFrame, total_tokens: int | None) -> dict
                 p["rate"] = max(p["rate"], rate)
         if not moved:
             return plan
+    warnings.warn("rates of the mixture did not settle; shares are met all the same, inclusion is only near the wanted odds", stacklevel=2)
     return plan
 
 

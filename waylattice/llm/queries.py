@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"), by_size=True)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
