@@ -87,6 +87,36 @@ def test_robust_components_separates():
     assert np.abs(low - base).max() < 0.1
 
 
+def test_spikes_come_through_the_decomposition(spark, monkeypatch):
+    """A beam that drifts with all others: its spike shows against the low-rank part only, and without a sparse part there are none."""
+    m = series(700, 12)
+    m += np.outer(1.5 * np.sin(np.arange(700) / 200), np.linspace(0.5, 1.5, 12))
+    m = np.round(m, 4)
+    m[330, 5] -= 0.9
+    context = m[: sp.BLOCK_ROWS + sp.CONTEXT_ROWS]
+    assert abs(m[330, 5] - np.median(context[:, 5])) < np.quantile(np.abs(context[:, 5] - np.median(context[:, 5])), 0.9)  # no outlier of its column
+    rows = [(i, "a", "hall", float(i), m[i].tolist()) for i in range(700)]
+    assert {g for g in found(spark, rows) if g[2] == "spike"} == {(330, 5, "spike")}
+    level = np.stack([np.where(np.isnan(a), b, a) for a, b in (sp.levels(c) for c in context.T)]).T
+    low, sparse = sp.robust_components(context, 0.03, level)
+    assert sparse[330, 5] < -0.5 and np.linalg.matrix_rank(low) <= 3
+    assert (330, 5) in {(r["scan"], r["beam"]) for r in _spikes_of_block(m)}
+    monkeypatch.setattr(sp, "robust_components", lambda m, *_: (m, np.zeros_like(m)))
+    assert not _spikes_of_block(m)
+    # a column's median instead of the low-rank part misses it
+    monkeypatch.setattr(sp, "robust_components", lambda m, scatter, level, least: (m, np.where(np.abs(m - np.median(m, axis=0)) > 10 * least, 1.0, 0.0)))
+    assert (330, 5) not in {(r["scan"], r["beam"]) for r in _spikes_of_block(m)}
+
+
+def _spikes_of_block(m):
+    import pyarrow as pa
+
+    n = len(m)
+    t = pa.table({"rank": np.arange(n), "home": np.ones(n, bool), "scan": np.arange(n), "ranges": m.tolist(), "least": np.zeros(n), "most": np.full(n, 99.0)})
+    out = sp._block((pa.scalar("a"), pa.scalar(0)), t)
+    return [r for r in out.to_pylist() if r["reason"] == "spike"]
+
+
 def test_stuck_runs_brute():
     rng = np.random.default_rng(3)
     m = rng.integers(0, 2, (60, 4)).astype(float)
@@ -140,7 +170,39 @@ def test_grid_odd_rows(spark):
     assert grid(spark, []) == {}
     out = grid(spark, [("s", "a", 5, -1.5, None, float("nan"), 1.0), ("s", "a", 6, 1.5, 2.0, 2.0, 2.0), ("s", "a", 7, 1.7, 4.0, 2.0, 2.0)])
     assert sorted(k[2] for k in out) == [-2, -1, 0, 1]
-    assert out["s", "a", 1]["x"] == 3.0 and out["s", "a", -2]["x"] == 0.0
+    assert out["s", "a", 1]["x"] == 3.0
+    # a slot whose readings say nothing of x is observed, with x unknown
+    assert (out["s", "a", -2]["x"], out["s", "a", -2]["y"], out["s", "a", -2]["z"], out["s", "a", -2]["state"]) == (None, None, 1.0, "observed")
+    # what is filled comes from the known ones alone, and stays unknown where no reading says anything
+    out = grid(spark, [("s", "a", i, i + 0.5, None if i % 2 else 7.0, None, float("nan") if i == 3 else 2.0) for i in range(9) if i != 4])
+    assert out["s", "a", 4]["state"] == "filled" and abs(out["s", "a", 4]["x"] - 7.0) < 1e-9 and out["s", "a", 4]["y"] is None and abs(out["s", "a", 4]["z"] - 2.0) < 1e-9
+    assert out["s", "a", 3]["x"] is None and out["s", "a", 3]["z"] is None and out["s", "a", 2]["x"] == 7.0
+
+
+def test_hidden_runs_are_filled_better_than_by_lines():
+    """Known seconds of the poses, hidden: the imputation's error against that of straight lines."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/gt_poses.parquet", columns=["sequence_id", "ts", "tx", "ty", "tz"]).to_pandas().dropna()
+    rng, ours, lines = np.random.default_rng(3), [], []
+    for _, g in t.groupby("sequence_id"):
+        slots = g.groupby(np.floor(g.ts).astype(int))[["tx", "ty", "tz"]].mean()
+        # the longest stretch without a gap
+        breaks = np.flatnonzero(np.diff(slots.index) > 1)
+        spans = list(zip(np.concatenate([[0], breaks + 1]), np.concatenate([breaks + 1, [len(slots)]])))
+        a, b = max(spans, key=lambda s: s[1] - s[0])
+        if b - a < 80:
+            continue
+        x = slots.values[a:b].T[:, :600]
+        hidden = np.zeros(x.shape[1], bool)
+        for start in rng.integers(20, x.shape[1] - 20, x.shape[1] // 40):
+            hidden[start : start + rng.choice([3, 8])] = True
+        y = np.where(hidden, np.nan, x)
+        known = np.flatnonzero(~hidden)
+        line = np.stack([np.interp(np.arange(x.shape[1]), known, c[known]) for c in x])
+        ours.append(np.sqrt(((rg.impute(y) - x)[:, hidden] ** 2).mean()))
+        lines.append(np.sqrt(((line - x)[:, hidden] ** 2).mean()))
+    assert len(ours) >= 2 and np.median(ours) < 0.6 * np.median(lines), (ours, lines)
 
 
 def test_impute_keeps_known_values():

@@ -35,17 +35,21 @@ def impute(series: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: i
     Starts from straight lines between known slots. Each round embeds the series
     as Hankel trajectories, keeps ``rank`` singular vectors, averages the
     diagonals back and replaces only the missing slots, until they settle.
-    Series of under four known slots keep the straight lines.
+    Channels of under four known slots keep the straight lines; those without any
+    stay NaN.
     """
     n = series.shape[1]
-    missing = np.isnan(series[0])
-    known = np.flatnonzero(~missing)
-    if not len(known) or not missing.any():
-        return series
-    full = np.stack([np.interp(np.arange(n), known, s[known]) for s in series])
+    out = np.array(series, float)
+    missing = np.isnan(out)
+    count = n - missing.sum(axis=1)
+    for c in np.flatnonzero((count > 0) & (count < n)):
+        known = np.flatnonzero(~missing[c])
+        out[c] = np.interp(np.arange(n), known, out[c, known])
     window = min(window, n // 2)
-    if len(known) < 4 or window < 2:
-        return full
+    live = np.flatnonzero((count >= 4) & (count < n))
+    if window < 2 or not len(live):
+        return out
+    full, gaps = out[live], missing[live]
     centre = full.mean(axis=1, keepdims=True)
     scale = np.maximum(full.std(axis=1, keepdims=True), 1e-12)
     z = (full - centre) / scale
@@ -53,12 +57,12 @@ def impute(series: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: i
         path = np.lib.stride_tricks.sliding_window_view(z, n - window + 1, axis=1)
         basis = np.linalg.eigh(path @ path.transpose(0, 2, 1))[1][:, :, -min(rank, window - 1) :]
         smooth = diagonal_means(basis @ (basis.transpose(0, 2, 1) @ path))
-        step = np.abs(smooth[:, missing] - z[:, missing]).max()
-        z[:, missing] = smooth[:, missing]
+        step = np.abs((smooth - z)[gaps]).max()
+        z[gaps] = smooth[gaps]
         if step < SETTLED:
             break
-    full[:, missing] = (z * scale + centre)[:, missing]
-    return full
+    out[live] = np.where(gaps, z * scale + centre, full)
+    return out
 
 
 OUT = pa.schema([
@@ -76,7 +80,7 @@ def _chunk(key: tuple, table: pa.Table) -> pa.Table:
     n = stop - start
     values, readings = np.full((3, n), np.nan), np.zeros(n, np.int64)
     for i, c in enumerate(("x", "y", "z")):
-        values[i, slot - start] = real[c].to_numpy()
+        values[i, slot - start] = real[c].to_numpy(zero_copy_only=False)
     readings[slot - start] = real["readings"].to_numpy()
     missing = readings == 0
     # length of the run of missing slots around each; runs that leave the chunk's view count as far as they are seen
@@ -84,10 +88,9 @@ def _chunk(key: tuple, table: pa.Table) -> pa.Table:
     length = np.zeros(n, np.int64)
     for a, b in zip(edge[::2], edge[1::2]):
         length[a:b] = b - a
-    full = impute(values)
-    long = missing & (length > FILL_SLOTS)
-    full[:, long] = np.nan
-    unfilled = missing & np.isnan(full[0])
+    full = np.where(missing, impute(values), values)
+    full[:, missing & (length > FILL_SLOTS)] = np.nan
+    unfilled = missing & np.isnan(full).all(axis=0)
     mine = np.arange(start, stop) // CHUNK_SLOTS == chunk
     state = np.where(~missing, "observed", np.where(unfilled, "gap", "filled"))[mine]
     k = int(mine.sum())
@@ -104,9 +107,10 @@ def regular_grid(readings: DataFrame) -> DataFrame:
     ``readings``: (stream, source, key, ts, x, y, z), usable rows only; rows with
     a null among stream, source, key or ts, or a ts that is not finite, are left
     out. Deliveries of one key count once. A slot's value is the mean of its
-    readings (of x, y and z that are null or NaN the slot has 0).
+    readings, coordinate by coordinate; those that are null or NaN say nothing,
+    and a coordinate that no reading of the slot tells is null.
 
-    Slots without a reading are 'filled' by singular-spectrum imputation, or
+    Slots without a reading are 'filled' by singular-spectrum imputation of the known ones, or
     marked 'gap' (null values) when the run of missing slots is longer than
     ``FILL_SLOTS``; others are 'observed'. Series are cut into chunks that see a
     part of their neighbours, so no series is ever gathered in one task.
@@ -118,7 +122,7 @@ def regular_grid(readings: DataFrame) -> DataFrame:
     usable = readings.where(
         F.col("stream").isNotNull() & F.col("source").isNotNull() & F.col("key").isNotNull() & ts.isNotNull() & ~F.isnan(ts) & (F.abs(ts) < 1e15)
     )
-    clean = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in ("x", "y", "z")}
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in ("x", "y", "z")}
     once = usable.select("stream", "source", "key", F.floor(ts).alias("slot"), *[clean[c].alias(c) for c in clean]).groupBy("stream", "key").agg(
         F.min("source").alias("source"), F.min("slot").alias("slot"), *[F.min(c).alias(c) for c in clean],
     )

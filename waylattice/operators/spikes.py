@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -17,35 +17,41 @@ LEVEL_ROWS, LEVEL_LEAST = 9, 3
 STUCK_ROWS = 8
 #: A spike differs from both levels by more than this many scatters, for at most so many scans.
 SPIKE_FACTOR, SPIKE_ROWS = 10.0, 3
-#: A block proposes entries of the sparse part beyond this many of its own scatters, and readings that differ so much from both levels.
-CANDIDATE_FACTOR = 4.0
+#: The sparse part are departures from the low-rank part of more than so many scatters; rounds of the decomposition at most.
+CANDIDATE_FACTOR, ROUNDS = 4.0, 30
 #: MAD to standard deviation of a normal distribution.
 MAD_SCALE = 1.4826
 
 
-def robust_components(m: np.ndarray, scatter: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Splits a complete matrix into low-rank normal behaviour, sparse departures and noise of the given scatter.
+def robust_components(m: np.ndarray, scatter: float, level: np.ndarray | None = None, least: float | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Splits a complete matrix into low-rank normal behaviour and sparse departures of more than ``least``; the rest is noise of the given scatter.
 
-    Alternates singular-value thresholding of ``m - sparse`` (at the spectral
-    norm of pure noise) and soft thresholding of ``m - low`` until neither moves.
+    Alternating projections: the departures from the present normal behaviour are
+    taken out where they exceed a limit (a hard threshold, so nothing of them is
+    left for the low-rank part to follow), and what remains is projected onto its
+    singular vectors above the spectral norm of pure noise. Where a ``level`` of
+    every entry is known, the first departures are those from it, so not even a
+    glitch of a whole scan enters the low-rank part. Else the limit falls from the
+    greatest departure to ``least``, and singular values are lowered by that norm,
+    so that departures stand out little by little. Ends when they settle.
     """
     rows, cols = m.shape
-    tau, kappa = scatter * (np.sqrt(rows) + np.sqrt(cols)), CANDIDATE_FACTOR * scatter
-    # large departures are taken out first: the threshold falls to its final value round by round
-    level = max(np.abs(m - np.median(m, axis=0)).max(initial=0.0), kappa)
-    low, sparse = m, np.zeros_like(m)
+    least = CANDIDATE_FACTOR * scatter if least is None else least
+    tau = scatter * (np.sqrt(rows) + np.sqrt(cols))
+    low = m if level is None else level
+    limit = max(np.abs(m - np.median(m, axis=0)).max(initial=0.0), least) if level is None else least
+    away = np.abs(m - low) > limit
     for _ in range(rounds):
-        rest = m - sparse
+        rest = np.where(away, low, m)
         values, vectors = np.linalg.eigh(rest.T @ rest)
         size = np.sqrt(np.maximum(values, 0.0))
-        keep = size > tau
-        basis = vectors[:, keep]
-        low = ((rest @ basis) * ((size[keep] - tau) / size[keep])) @ basis.T
-        last, level = level <= kappa, max(0.5 * level, kappa)
-        before, sparse = sparse, np.sign(m - low) * np.maximum(np.abs(m - low) - level, 0.0)
-        if last and np.abs(sparse - before).max(initial=0.0) <= 0.05 * scatter:
+        basis, size = vectors[:, size > tau], size[size > tau]
+        low = (rest @ basis) @ basis.T if level is not None else ((rest @ basis) * ((size - tau) / size)) @ basis.T
+        last, limit = limit == least, max(0.5 * limit, least)
+        before, away = away, np.abs(m - low) > limit
+        if last and (before == away).all():
             break
-    return low, sparse
+    return low, np.where(away, m - low, 0.0)
 
 
 def levels(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +100,7 @@ OUT = pa.schema([
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
-    """Flags of a block; with a column ``bar``, only the spikes that differ by more than that from both levels."""
+    """Flags of a block; with a column ``bar`` (the source's usual limit of a spike), only the spikes by that limit."""
     table = table.sort_by("rank")
     bar = table["bar"][0].as_py() if "bar" in table.column_names else None
     home = table["home"].to_numpy(zero_copy_only=False)
@@ -121,19 +127,18 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     spread = np.abs(spread[np.isfinite(spread)])
     scatter = float(MAD_SCALE * np.median(spread)) if len(spread) else 0.0
     candidate = np.zeros(m.shape, bool)
-    if bar is None and scatter > 0 and good.any():
+    least = CANDIDATE_FACTOR * scatter if bar is None else CANDIDATE_FACTOR / SPIKE_FACTOR * bar
+    if least > 0 and good.any():
         used = good.sum(axis=0) > 2 * LEVEL_LEAST
-        full = np.empty((m.shape[0], int(used.sum())))
+        full, usual = (np.empty((m.shape[0], int(used.sum()))) for _ in range(2))
         for j, b in enumerate(np.flatnonzero(used)):
-            full[:, j] = np.interp(np.arange(m.shape[0]), series[b][0], series[b][1])
+            at, x, before, after = series[b]
+            full[:, j] = np.interp(np.arange(m.shape[0]), at, x)
+            # the nearer of a reading's two levels
+            near = np.where(np.isnan(before) | (np.abs(x - after) < np.abs(x - before)), after, before)
+            usual[:, j] = np.interp(np.arange(m.shape[0]), at, near)
         if full.shape[1]:
-            candidate[:, used] = robust_components(full, scatter)[1] != 0
-    # the low-rank part takes in departures that many beams share in a scan; held against the levels, each is seen
-    least = CANDIDATE_FACTOR * scatter if bar is None else bar
-    if scatter > 0 or bar is not None:
-        for b, (at, x, before, after) in enumerate(series):
-            with np.errstate(invalid="ignore"):
-                candidate[at[(np.abs(x - before) > least) & (np.abs(x - after) > least)], b] = True
+            candidate[:, used] = robust_components(full, scatter, usual, least)[1] != 0
     candidate &= good & home[:, None]
     if bar is not None:
         impossible, stuck = np.zeros(m.shape, bool), np.zeros(m.shape, bool)
@@ -167,6 +172,15 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     ], schema=OUT)
 
 
+def _usual(blocks: DataFrame) -> DataFrame:
+    """Median scatter of each source's blocks, weighed by their readings, to a thousandth of its value."""
+    cell = F.when(F.col("scatter") > 0, F.round(F.ln("scatter") * 1000)).otherwise(F.lit(-1e9))
+    cells = blocks.groupBy("source", cell.alias("cell")).agg(F.sum("weight").alias("w"), F.max("scatter").alias("usual"))
+    of_source = Window.partitionBy("source")  # cells are bounded by their width, however many blocks there are
+    run = cells.withColumns({"upto": F.sum("w").over(of_source.orderBy("cell")), "all": F.sum("w").over(of_source)})
+    return run.where("2 * upto >= all AND 2 * (upto - w) < all").select("source", "usual")
+
+
 def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     """Flags readings of ``scans.ranges`` that are impossible, stuck or spikes, per scan and beam.
 
@@ -177,11 +191,10 @@ def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     impossible: NaN, infinite, or outside the limits of the dataset (limits that
     are null or of an unknown dataset are not tested). stuck: in a run of at
     least ``STUCK_ROWS`` scans with the same value; a missing reading ends it.
-    spike: proposed by the sparse part of the robust principal components of the
-    source's matrix of consecutive profiles or by its own distance from the
-    levels before and after it (blocks with much more or no scatter of their own
-    are gone through again by the usual one), then checked exactly against
-    these levels and the source's usual scatter. Readings of just
+    spike: an entry of the sparse part of the robust principal components of the
+    source's matrix of consecutive profiles (blocks with much more or no scatter
+    of their own are split again by the usual one), then checked exactly against
+    the levels before and after it and the source's usual scatter. Readings of just
     range_max mean "no return" and are never flagged.
 
     Returns (sensor_id, scan_id, beam, reason, value, level, scatter); a reading
@@ -191,7 +204,9 @@ def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     usable = scans.where(
         F.col("scan_id").isNotNull() & F.col("sensor_id").isNotNull() & F.col("t").isNotNull() & ~F.isnan("t") & (F.size("ranges") > 0)
     )
-    once = usable.select(F.col("scan_id").alias("scan"), F.col("sensor_id").alias("source"), "dataset", "t", F.col("ranges").cast("array<double>").alias("ranges")).dropDuplicates(["scan"])
+    once = usable.select(F.col("scan_id").alias("scan"), F.col("sensor_id").alias("source"), "dataset", "t", F.col("ranges").cast("array<double>").alias("ranges"))
+    # deliveries that differ count with the least of them
+    once = once.groupBy("scan").agg(F.min(F.struct("source", "t", "dataset", "ranges")).alias("d")).select("scan", "d.*")
     placed = ranked(once, "source", ["t", "scan"]).join(limits, "dataset", "left")
     placed = placed.withColumns({"least": F.coalesce("least", F.lit(float("-inf"))), "most": F.coalesce("most", F.lit(float("inf")))})
     own = F.expr(f"rank div {BLOCK_ROWS}")
@@ -203,7 +218,7 @@ def implausible_readings(scans: DataFrame, datasets: DataFrame) -> DataFrame:
     matrix = ["source", "block", "rank", "home", "scan", "ranges", "least", "most"]
     found = cut(spread.select(*matrix).groupBy("source", "block").applyInArrow(_block, ddl))
     # the usual scatter of a source: the median over its blocks, each weighing as many readings as it has
-    usual = found.where("reason = 'scatter' AND weight > 0").groupBy("source").agg(F.percentile_approx("scatter", 0.5, 10_000).alias("usual"))
+    usual = _usual(found.where("reason = 'scatter' AND weight > 0"))
     # blocks that may have left out readings beyond the usual scatter's limit
     again = found.where("reason = 'scatter'").join(usual, "source").where((F.col("usual") > 0) & ((F.col("scatter") == 0) | (CANDIDATE_FACTOR * F.col("scatter") > SPIKE_FACTOR * F.col("usual"))))
     again = cut(again.select("source", "block", (SPIKE_FACTOR * F.col("usual")).alias("bar")))

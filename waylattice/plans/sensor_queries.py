@@ -26,12 +26,12 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
             F.lit(name).alias("stream"), F.col("sequence_id").alias("source"), F.col("pose_id").alias("key"), "ts",
             F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"),
         ))
-    # a scan's value is the mean of its finite readings
+    # a scan's value is the mean of its finite readings, unknown if it has none
     finite = F.filter("ranges", lambda r: r.isNotNull() & ~F.isnan(r) & (F.abs(r) < 1e300))
     mean = F.try_divide(F.aggregate(finite, F.lit(0.0), lambda a, r: a + r), F.size(finite))
     scans = table(spark, d, "scans").where("t IS NOT NULL AND size(ranges) > 0").select(
         F.lit("scans").alias("stream"), F.col("sensor_id").alias("source"), F.col("scan_id").alias("key"), F.col("t").alias("ts"),
-        mean.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+        mean.alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("z"),
     )
     return poses[0].unionByName(poses[1]).unionByName(scans)
 
@@ -80,7 +80,7 @@ WITH usable AS (
   SELECT DISTINCT 'est_poses', sequence_id, pose_id, CAST(floor(ts) AS BIGINT), tx FROM est_poses
   WHERE sequence_id IS NOT NULL AND ts IS NOT NULL AND NOT isnan(tx) AND NOT isnan(ty) AND NOT isnan(tz)
   UNION ALL
-  SELECT DISTINCT 'scans', sensor_id, scan_id, CAST(floor(t) AS BIGINT), coalesce(list_avg(list_filter(ranges, lambda r: r IS NOT NULL AND NOT isnan(r) AND NOT isinf(r))), 0)
+  SELECT DISTINCT 'scans', sensor_id, scan_id, CAST(floor(t) AS BIGINT), list_avg(list_filter(ranges, lambda r: r IS NOT NULL AND NOT isnan(r) AND NOT isinf(r)))
   FROM scans WHERE sensor_id IS NOT NULL AND t IS NOT NULL AND len(ranges) > 0
 ), slots AS (
   SELECT stream, source_id, slot, count(*) AS readings, avg(x) AS x FROM usable GROUP BY ALL

@@ -53,13 +53,37 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that ``cut`` has written, by session, until ``sweep`` removes them.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str, at_exit: bool) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        fs.deleteOnExit(where)
+    else:
+        fs.delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a reader of that table.
 
     Cuts the lineage so that a lost executor costs a re-read and not a
-    recomputation, and evaluates ``df`` exactly once.
+    recomputation, and evaluates ``df`` exactly once. The table is removed when
+    the driver ends, or by ``sweep``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
+    _remove(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes the tables that ``cut`` has written so far in this session; results that still read them can't be computed again."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _remove(spark, path, at_exit=False)
+    return len(paths)
