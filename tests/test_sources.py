@@ -82,6 +82,12 @@ def test_round_trips(spark, tmp_path):
     back = text.read_ply(spark, path)
     assert back.columns == ["x", "y", "z", "red", "green", "blue"] and back.count() == 20
     assert text.read_ply(spark, path, most=7).count() == 7
+    # a second file with another, much longer header
+    (tmp_path / "clouds").mkdir()
+    write(tmp_path / "clouds", "a.ply", whole)
+    write(tmp_path / "clouds", "b.ply", "ply\nformat ascii 1.0\n" + "comment x\n" * 1200 + "element vertex 1\nproperty float z\nproperty float x\nproperty float y\nend_header\n9 7 8\n")
+    both = text.read_ply(spark, str(tmp_path / "clouds"))
+    assert both.count() == 21 and [(r["x"], r["y"], r["red"]) for r in both.where("z = 9").collect()] == [(7.0, 8.0, None)]
     sinks.write_csv(poses, str(tmp_path / "csv"), ["ts", "absent"])
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["ts", "absent"]
     sinks.write_metrics({"b": 1, "a": None}, tmp_path / "m.json")
@@ -92,17 +98,31 @@ def test_round_trips(spark, tmp_path):
 
 def test_config(spark, tmp_path):
     y = "%YAML:1.0\n---\nCamera.fx: 500.0\nCamera.fy: 501\nCamera.cx: 320\nCamera.cy: 240\nnested:\n  deep:\n    on: true\n    list: [1, 2]\n  name: 'x'\n"
-    flat = config.flatten(config.parse_indented(y))
+    flat = config.settings(y)
     assert flat["nested.deep.on"] is True and flat["nested.deep.list"] == [1, 2] and flat["nested.name"] == "x"
-    cam = config.camera(config.parse_indented(y))
+    assert config.settings("a:\nb: # none\nc:\n  d: 1 # one\n# e: 2\nf: 'x: y'\ng: ~\n") == {"a": "", "b": "", "c.d": 1, "f": "x: y", "g": None}
+    nested = config.camera(config.settings("camera:\n  fx: 400\n  fy: 401\n  cx: 1\n  cy: 2\n  distortion: [0.1, 0.2, 0, 0, 0]\nimage:\n  width: 320\ndepth:\n  depth_map_factor: 5000\n  baseline_m: 0.1\n"))
+    assert (nested["fx"], nested["k2"], nested["width"], nested["depth_factor"], nested["bf"]) == (400.0, 0.2, 320.0, 5000.0, 40.0)
+    cam = config.camera(config.settings(y))
     assert cam["bf"] == pytest.approx(40.0) and cam["depth_factor"] == 1000.0 and cam["depth_threshold"] == 40.0
     with pytest.raises(ValueError):
         config.camera({"fx": 1})
     assert config.public_camera("rgbd_freiburg2_desk")["fx"] == 520.9
     with pytest.raises(ValueError):
         config.dataset_kind(tmp_path)
-    (tmp_path / "rgb.txt").write_text("")
-    assert config.dataset_kind(tmp_path) == "tum"
+    (tmp_path / "groundtruth.txt").write_text("")
+    assert config.dataset_kind(tmp_path) == "tum" and config.resolve_camera(tmp_path)["fx"] == 517.3
+    for f in ("rgb", "depth"):
+        (tmp_path / f).mkdir()
+    for f in ("camera.yaml", "associations.txt"):
+        (tmp_path / f).write_text(y)
+    assert config.resolve_camera(tmp_path)["fx"] == 500.0
+    with pytest.raises(ValueError):
+        config.dataset_kind(tmp_path)  # both fit
+    (tmp_path / "groundtruth.txt").unlink()
+    assert config.dataset_kind(tmp_path) == "lab"
+    with pytest.raises(FileNotFoundError):
+        config.resolve_camera(tmp_path, tmp_path / "none.yaml")
     ds = spark.createDataFrame([("hall", 1.0), ("lab:raw", 2.0)], "name STRING, range_max DOUBLE")
     assert config.dataset_profile(ds, "lab", "raw")["range_max"] == 2.0
     with pytest.raises(ValueError):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from .bisect import exact_percentiles, meet
 
 # --- fixed values ----------------------------------------------------------------------------------------------
 LOG_ODDS_FREE, LOG_ODDS_HIT, LOG_ODDS_MOST, MERGED_MOST = -0.4, 0.85, 5.0, 10.0
@@ -71,16 +72,17 @@ def adaptive_voxel_size(points: DataFrame, by: str, axes: list[str], most: float
 
 def clip_outliers(points: DataFrame, by: list[str], axes: list[str], sigma: float = 3.5, floor: float = 0.01) -> DataFrame:
     """Points within ``sigma`` standard deviations (at least ``floor``) of their group's median on every axis."""
-    stats = points.groupBy(*by).agg(*[F.percentile(a, 0.5).alias(f"m_{a}") for a in axes], *[F.stddev_pop(a).alias(f"d_{a}") for a in axes])
+    spread = points.groupBy(*by).agg(*[F.stddev_pop(a).alias(f"d_{a}") for a in axes])
+    stats = meet(spread, exact_percentiles(points, by, axes, {"m": 0.5}), by)
     near = F.lit(True)
     for a in axes:
         near = near & (F.abs(F.col(a) - F.col(f"m_{a}")) < sigma * F.greatest(F.col(f"d_{a}"), F.lit(floor)))
-    return points.join(stats, by).where(near).select(*points.columns)
+    return meet(points, stats, by).where(near).select(*points.columns)
 
 
 def robust_bounds(points: DataFrame, by: list[str], axes: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Exact percentiles of each axis, by linear interpolation."""
-    return points.groupBy(*by).agg(*[F.percentile(a, p).alias(f"{n}_{a}") for a in axes for n, p in (("lo", low), ("hi", high))])
+    return exact_percentiles(points, by, axes, {"lo": low, "hi": high})
 
 
 def within_reference(points: DataFrame, reference: DataFrame, by: list[str], axes: list[str], padding: float = 3.0) -> DataFrame:

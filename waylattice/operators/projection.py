@@ -50,12 +50,12 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
 def bucketed_matches(first: DataFrame, second: DataFrame, words: int, *, most: int, ratio: float) -> DataFrame:
     """Matches within shared vocabulary nodes: rows (node, id, des) of two frames to (id1, id2, distance).
 
-    The ratio test applies where a node offers two neighbours; each second row
+    A row is never its own match. The ratio test applies where a node offers two neighbours; each second row
     goes to its nearest first row, the smaller id among equals.
     """
     a = first.select("node", F.col("id").alias("id1"), F.col("des").alias("d1"))
     b = second.select("node", F.col("id").alias("id2"), F.col("des").alias("d2"))
-    met = a.join(b, "node").select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance"))
+    met = a.join(b, "node").where("id1 <> id2").select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance"))
     order = Window.partitionBy("id1").orderBy("distance", "id2")
     best = met.withColumns({"place": F.row_number().over(order), "next": F.lead("distance").over(order)}).where((F.col("place") == 1) & (F.col("distance") <= most))
     best = best.where(F.col("next").isNull() | (F.col("distance") < ratio * F.col("next")))

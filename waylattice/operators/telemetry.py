@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bisect import exact_percentiles, meet
 from .blocks import in_blocks, own, ranked, window
 
 
@@ -36,9 +37,10 @@ def new_highs(rows: DataFrame, by: str, order: str, counter: str) -> DataFrame:
 def run_summary(rows: DataFrame, by: str, order: str, counter: str, measure: str) -> DataFrame:
     """Rows, final count and when it was first reached, and mean, median and greatest measure of each run."""
     v = F.when((F.col(measure) >= 0) & ~F.isnan(measure), F.col(measure))
-    most = rows.groupBy(by).agg(F.count("*").alias("rows"), F.max(counter).alias("final"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("most"))
+    most = rows.groupBy(by).agg(F.count("*").alias("rows"), F.max(counter).alias("final"), F.avg(v).alias("mean"), F.max(v).alias("most"))
     first = rows.join(most.select(by, F.col("final").alias(counter)), [by, counter]).groupBy(by).agg(F.min(order).alias("reached_at"))
-    return most.join(first, by)
+    median = exact_percentiles(rows.select(by, v.alias("v")), [by], ["v"], {"median": 0.5}).withColumnRenamed("median_v", "median")
+    return meet(meet(most, first, [by]), median, [by], "left")
 
 
 def rolling(rows: DataFrame, by: str, order: str, value: str, size: int = 30) -> DataFrame:

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..session import cut
+from .bisect import exact_percentiles, meet
 from .blocks import in_blocks, own, window
 
 
 def error_summary(df: DataFrame, by: list[str], error: str, prefix: str = "") -> DataFrame:
     """Count, RMSE, mean, median and greatest error per group."""
-    e = F.col(error)
-    return df.where(e.isNotNull() & ~F.isnan(e)).groupBy(*by).agg(
-        F.count("*").alias(f"{prefix}n"), F.sqrt(F.avg(e * e)).alias(f"{prefix}rmse"), F.avg(e).alias(f"{prefix}mean"), F.percentile(e, 0.5).alias(f"{prefix}median"), F.max(e).alias(f"{prefix}max"),
-    )
+    e = F.col("_e")
+    errors = cut(df.select(*by, F.col(error).cast("double").alias("_e")).where(e.isNotNull() & ~F.isnan(e)))
+    sums = errors.groupBy(*by).agg(F.count("*").alias(f"{prefix}n"), F.sqrt(F.avg(e * e)).alias(f"{prefix}rmse"), F.avg(e).alias(f"{prefix}mean"), F.max(e).alias(f"{prefix}max"))
+    median = exact_percentiles(errors, by, ["_e"], {"median": 0.5}).withColumnRenamed("median__e", f"{prefix}median")
+    return meet(sums, median, by)
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:

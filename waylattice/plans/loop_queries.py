@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..operators import asof, loops
+from ..operators.bisect import exact_percentiles, meet
 from . import views
 from .trajectory_queries import _rounded
 from .views import with_views
@@ -86,12 +87,12 @@ def dominant_stage_last(spark: SparkSession, d: str) -> DataFrame:
     return loops.dominant_stage(_staged(spark, d), "pipeline_stage", tie="last", nothing="ACCEPTED")
 
 
-@query(f"SELECT event_id, {_STAGE} AS stage, candidate_score, common_words FROM v_loops WHERE {_STAGE} <> 'ACCEPTED' ORDER BY stage, CASE WHEN isnan(candidate_score) THEN NULL ELSE candidate_score END DESC NULLS LAST, common_words DESC, event_id LIMIT 100")
+@query(f"SELECT event_id, {_STAGE} AS stage, candidate_score, common_words FROM v_loops WHERE {_STAGE} <> 'ACCEPTED' ORDER BY stage, CASE WHEN isnan(candidate_score) THEN NULL ELSE candidate_score END DESC NULLS LAST, common_words DESC, event_id")
 def top_missed(spark: SparkSession, d: str) -> DataFrame:
-    """Report of the hundred first false negatives."""
+    """All false negatives in the order of a report."""
     s = _staged(spark, d).where("pipeline_stage <> 'ACCEPTED'")
     score = F.nanvl("candidate_score", F.lit(None).cast("double"))
-    return s.select("event_id", F.col("pipeline_stage").alias("stage"), "candidate_score", "common_words").orderBy("stage", F.desc_nulls_last(score), F.desc("common_words"), "event_id").limit(100)
+    return s.select("event_id", F.col("pipeline_stage").alias("stage"), "candidate_score", "common_words").orderBy("stage", F.desc_nulls_last(score), F.desc("common_words"), "event_id")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +148,8 @@ def event_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Scores per source and stage; scores that don't count are left out."""
     e = views.loops(spark, d).withColumn("s", F.expr("CASE WHEN candidate_score >= 0 AND NOT isnan(candidate_score) THEN candidate_score END"))
     by = ["candidate_source", "rejection_stage"]
-    stats = e.groupBy(*by).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.avg("s").alias("mean"), F.percentile("s", 0.5).alias("median"), F.max("s").alias("most"))
+    stats = e.groupBy(*by).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.avg("s").alias("mean"), F.max("s").alias("most"))
+    stats = meet(stats, exact_percentiles(e, by, ["s"], {"median": 0.5}).withColumnRenamed("median_s", "median"), by, "left")
     # rows near the least: counted per value first, so that the second pass moves values and not rows
     values = e.where("s IS NOT NULL").groupBy(*by, "s").agg(F.count("*").alias("c"))
     a, b = values.alias("a"), stats.select(*by, F.col("least").alias("m")).alias("b")

@@ -120,14 +120,14 @@ def keyframe_insertion(spark: SparkSession, d: str) -> DataFrame:
     return views.timing(spark, d).select("run_id", "frame_idx", *[v.alias(k) for k, v in keyframes.insertion_reasons(c).items()])
 
 
-@query(f"""WITH {_DES}, m AS (SELECT q.id AS id1, t.id AS id2, bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) AS d FROM des q JOIN des t ON q.label = t.label WHERE q.id % 20 = 0 AND t.id % 20 <> 0),
+@query(f"""WITH {_DES}, m AS (SELECT q.id AS id1, t.id AS id2, bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) AS d FROM des q JOIN des t ON q.label = t.label WHERE q.id % 20 = 0 AND t.id <> q.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS k, lead(d) OVER (PARTITION BY id1 ORDER BY d, id2) AS d2 FROM m),
 u AS (SELECT *, row_number() OVER (PARTITION BY id2 ORDER BY d, id1) AS place FROM k WHERE k = 1 AND d <= 30 AND (d2 IS NULL OR d < 0.95 * d2))
 SELECT id1, id2, CAST(d AS INTEGER) AS distance FROM u WHERE place = 1""")
 def bucketed_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches within shared vocabulary nodes (labels); queries are the rows whose id is divisible by 20."""
     des = map_queries._descriptors(spark, d).withColumnRenamed("label", "node")
-    got = projection.bucketed_matches(des.where("id % 20 = 0"), des.where("id % 20 <> 0"), 2, most=30, ratio=0.95)
+    got = projection.bucketed_matches(des.where("id % 20 = 0"), des, 2, most=30, ratio=0.95)
     return got.select("id1", "id2", F.col("distance").cast("int").alias("distance"))
 
 

@@ -150,27 +150,36 @@ def read_header(spark: SparkSession, path: str) -> dict[str, str]:
     rows = spark.read.text(path).where(F.col("value").rlike(r"^#\s*[\w.]+\s*=")).select(
         F.regexp_extract("value", r"^#\s*([\w.]+)\s*=", 1).alias("k"), F.trim(F.regexp_extract("value", r"=(.*)$", 1)).alias("v")
     )
-    return {r["k"]: r["v"] for r in rows.limit(1000).collect()}
+    return {r["k"]: r["v"] for r in rows.dropDuplicates(["k"]).collect()}  # one row per key
 
 
 def read_ply(spark: SparkSession, path: str, *, most: int | None = None) -> DataFrame:
-    """Points of ASCII PLY files (x, y, z and further columns by the header's names); above ``most`` points every n-th."""
-    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("line"), F.input_file_name().alias("file"))
-    end = lines.where(F.trim("value") == "end_header").groupBy("file").agg(F.min("line").alias("end"))
-    head = [r["value"].split() for r in lines.join(F.broadcast(end), "file").where("line <= end").orderBy("line").limit(200).collect()]  # a header
-    names, inside, count = [], False, 0
-    for t in head:
-        if t[:2] == ["element", "vertex"]:
-            inside, count = True, int(t[2])
-        elif t[:1] == ["element"]:
-            inside = False
+    """Points of ASCII PLY files (x, y, z and further columns by the names of each file's own header); above ``most`` points every n-th.
+
+    Files of one folder may differ in their columns; a column that a file lacks is null.
+    """
+    from ..operators.blocks import ranked
+
+    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_path").alias("file"))
+    marks = lines.where(F.trim("value") == "end_header").groupBy("file").agg(F.min("line").alias("end"))
+    # headers only: a few lines per file
+    head = lines.join(F.broadcast(marks), "file").where("line <= end").orderBy("file", "line").collect()
+    columns: dict[str, list[str]] = {}
+    count, inside = 0, False
+    for r in head:
+        t = r["value"].split()
+        if t[:1] == ["element"]:
+            inside = t[1:2] == ["vertex"]
+            count += int(t[2]) if inside else 0
         elif t[:1] == ["property"] and inside:
-            names.append(t[-1])
-    body = lines.join(F.broadcast(end), "file").where("line > end").withColumn("tok", F.split(F.trim("value"), r"\s+"))
-    points = body.where(F.size("tok") >= len(names)).select("line", *[_num(i).alias(c) for i, c in enumerate(names)]).where(F.col(names[0]).isNotNull() if names else F.lit(True))
+            columns.setdefault(r["file"], []).append(t[-1])
+    names = list(dict.fromkeys(c for cs in columns.values() for c in cs))
+    places = spark.createDataFrame([(f, {c: i + 1 for i, c in enumerate(cs)}, len(cs)) for f, cs in columns.items()], "file STRING, at MAP<STRING, INT>, width INT")
+    body = lines.join(F.broadcast(marks), "file").where("line > end").join(F.broadcast(places), "file").withColumn("tok", F.split(F.trim("value"), r"\s+"))
+    points = body.where(F.size("tok") >= F.col("width")).select("line", *[F.try_element_at("tok", F.try_element_at("at", F.lit(c))).try_cast("double").alias(c) for c in names])
+    points = points.where(F.col(names[0]).isNotNull()) if names else points
     if most and count > most:
-        stride = -(-count // most)
-        points = points.withColumn("n", F.row_number().over(Window.orderBy("line"))).where((F.col("n") - 1) % stride == 0).drop("n")
+        points = ranked(points.withColumn("cloud", F.lit(0)), "cloud", ["line"], "n").where(F.col("n") % -(-count // most) == 0).drop("n", "cloud")
     return points.drop("line")
 
 
@@ -219,8 +228,9 @@ def keyframes_from_log(log: DataFrame, by: str, order: str, counter: str) -> Dat
     """Keyframes of a run log that lacks a list of them: the rows whose keyframe count rises, numbered from 0."""
     from ..operators.telemetry import new_highs
 
-    highs = new_highs(log, by, order, counter)
-    return highs.withColumn("kf_id", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    from ..operators.blocks import ranked
+
+    return ranked(new_highs(log, by, order, counter), by, [order], "kf_id")
 
 
 def best_per_pair(rows: DataFrame, keys: list[str], *ranking: Column) -> DataFrame:
