@@ -48,6 +48,23 @@ def unique_train(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", place).where("place = 1").drop("place")
 
 
+def medoid_of_queries(queries: DataFrame, rows: DataFrame, by: str, words: int, blocks: int = 16) -> DataFrame:
+    """Per group, of its query rows the one with the least median distance to all rows of the group (itself included); the smallest id among equals.
+
+    A stated query set against all rows, in blocks: distances are counted per
+    value before the shuffle, so a query sends at most 32 * words + 1 counts, and
+    its median comes from these.
+    """
+    q = queries.select(by, F.col("id").alias("a"), F.col("des").alias("x")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    t = rows.select(by, F.col("des").alias("y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    counts = t.join(q, [by, "block"]).groupBy(by, "a", hamming(F.col("x"), F.col("y"), words).alias("d")).agg(F.count("*").alias("c"))
+    of = Window.partitionBy(by, "a")  # distances are few
+    run = counts.withColumns({"upto": F.sum("c").over(of.orderBy("d")), "n": F.sum("c").over(of)})
+    at = lambda r: F.min(F.when(F.col("upto") >= r, F.col("d")))
+    median = run.groupBy(by, "a").agg(((at(F.expr("(n + 1) div 2")) + at(F.expr("(n + 2) div 2"))) / 2.0).alias("median"))
+    return median.groupBy(by).agg(F.min(F.struct("median", F.col("a").alias("id"))).alias("m")).select(by, "m.id", "m.median")
+
+
 def medoid(rows: DataFrame, by: str, words: int) -> DataFrame:
     """Per group the row with the least median distance to all of its group, itself included; the smallest id among equals.
 

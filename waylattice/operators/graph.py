@@ -30,9 +30,8 @@ def best_neighbours(edges: DataFrame, n: int) -> DataFrame:
 
 def connections(edges: DataFrame, least: int = EDGE_LEAST) -> DataFrame:
     """Ordered connections of each keyframe: edges (a, b, w) of weight ``least`` or more, else its single heaviest."""
-    w = Window.partitionBy("a").orderBy(F.desc("w"), "b")
-    strong = F.max(F.col("w") >= least).over(Window.partitionBy("a"))
-    return edges.withColumns({"place": F.row_number().over(w), "strong": strong}).where((F.col("w") >= least) | (~F.col("strong") & (F.col("place") == 1))).drop("strong")
+    best = edges.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("order"), "b")).alias("m")).where(F.col("m.w") < least)
+    return edges.where(F.col("w") >= least).select("a", "b", "w").unionByName(best.select("a", "m.b", "m.w"))
 
 
 def parents(edges: DataFrame) -> DataFrame:
@@ -58,6 +57,35 @@ def essential_edges(edges: DataFrame) -> DataFrame:
     return once.withColumn("information", edge_information(F.col("kind"), F.col("weight")))
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """Edges (a, b, w) in both directions, each with its greatest weight; loops to itself and null weights are left out."""
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.where("a <> b AND w IS NOT NULL").groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def second_ring(edges: DataFrame, frames: DataFrame, n: int) -> DataFrame:
+    """(frame, kf, ring): a frame's own keyframe (0), its ``n`` best neighbours (1) and their ``n`` best ones (2), each in its nearest ring. ``frames``: (frame, kf)."""
+    near = best_neighbours(edges, n).select("a", "b")
+    one = frames.join(near, F.col("kf") == F.col("a")).select("frame", F.col("b").alias("kf"))
+    two = one.join(near, F.col("kf") == F.col("a")).select("frame", F.col("b").alias("kf"))
+    rings = [x.select("frame", "kf", F.lit(i).alias("ring")) for i, x in enumerate((frames, one, two))]
+    return rings[0].unionByName(rings[1]).unionByName(rings[2]).groupBy("frame", "kf").agg(F.min("ring").alias("ring"))
+
+
+def essential_vertices(keyframes: DataFrame, edges: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Keyframes of the optimisation (kf_id, corrected): those of the map, those named by an edge and those corrected, each once."""
+    named = edges.select(F.col("source").alias("kf_id")).unionByName(edges.select(F.col("target").alias("kf_id"))).unionByName(keyframes.select("kf_id"))
+    all_ = named.select("kf_id", F.lit(False).alias("c")).unionByName(corrected.select("kf_id", F.lit(True).alias("c")))
+    return all_.where("kf_id >= 0").groupBy("kf_id").agg(F.max("c").alias("corrected"))
+
+
+def erase_keyframes(parents: DataFrame, erased: DataFrame, hops: int = 10) -> DataFrame:
+    """Spanning tree (kf_id, parent) without the erased keyframes: children take the nearest ancestor that is left, up to ``hops`` steps; none: null."""
+    up = ancestors(parents, hops).join(erased.select(F.col("kf_id").alias("ancestor")), "ancestor", "left_anti")
+    nearest = up.groupBy("kf_id").agg(F.min_by("ancestor", "hops").alias("parent"))
+    return parents.select("kf_id").join(erased.select("kf_id"), "kf_id", "left_anti").join(nearest, "kf_id", "left")
+
+
 def ancestors(parents: DataFrame, hops: int = 10) -> DataFrame:
     """(kf_id, ancestor, hops) along the parents, up to ``hops`` steps, by repeated joins."""
     up = parents.select(F.col("kf_id").alias("p_id"), F.col("parent").alias("grand"))
@@ -71,7 +99,8 @@ def ancestors(parents: DataFrame, hops: int = 10) -> DataFrame:
 
 def local_map(votes: DataFrame, edges: DataFrame, cap: int = 80, ring: int = 10) -> DataFrame:
     """Keyframes of the local map of each frame: those with votes (frame, kf, votes) in their order, then their best neighbours, first come, ``cap`` in all."""
-    own = votes.select("frame", "kf", F.lit(0).alias("ring"), F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("votes"), "kf")).alias("order"))
+    # a frame with ``cap`` keyframes of its own takes no others, so no more of them are looked at (Spark limits them before the shuffle)
+    own = votes.select("frame", "kf", F.lit(0).alias("ring"), F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("votes"), "kf")).alias("order")).where(F.col("order") <= cap)
     near = own.join(best_neighbours(edges, ring), own["kf"] == F.col("a")).select("frame", F.col("b").alias("kf"), F.lit(1).alias("ring"), "order")
     once = own.unionByName(near).groupBy("frame", "kf").agg(F.min(F.struct("ring", "order")).alias("at"))
     place = F.row_number().over(Window.partitionBy("frame").orderBy("at.ring", "at.order", "kf"))

@@ -225,10 +225,12 @@ def knn_unique_matches(spark: SparkSession, d: str) -> DataFrame:
     return descriptors.unique_train(near).select("query_id", "best", F.col("d1").cast("int").alias("d1"))
 
 
-@query(f"""WITH {_DES}, m AS (SELECT q.label, q.id, median(bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b))) AS median FROM des q JOIN des t ON q.label = t.label GROUP BY ALL)
+@query(f"""WITH {_DES}, m AS (SELECT q.label, q.id, median(bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b))) AS median FROM des q JOIN des t ON q.label = t.label WHERE q.id % 20 = 0 GROUP BY ALL)
 SELECT label, id, median FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY median, id) AS k FROM m) WHERE k = 1""")
 def medoid_descriptor(spark: SparkSession, d: str) -> DataFrame:
-    return descriptors.medoid(_descriptors(spark, d), "label", 2)
+    """Most central descriptor of each label among the queries (ids divisible by 20), by its distances to all of the label."""
+    des = _descriptors(spark, d)
+    return descriptors.medoid_of_queries(des.where("id % 20 = 0"), des, "label", 2)
 
 
 @query(f"""WITH a AS (SELECT sequence_id, pose_id, (({_YAW.format('e_')} - {_YAW.format('g_')}) * 180 / pi()) AS ang FROM v_near),
@@ -268,27 +270,40 @@ def best_covisibles_topn(spark: SparkSession, d: str) -> DataFrame:
     return graph.best_neighbours(_edges(spark, d).withColumnRenamed("shared", "w"), 10).select("a", "b", F.col("w").alias("shared"), "place")
 
 
-@query(f"WITH {_EDGES} SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k, max(shared) OVER (PARTITION BY a) AS most FROM edges) WHERE shared >= 2 OR (most < 2 AND k = 1)")
+# The graph of all keyframes of the log: pairs that were compared, weighed by their common words
+
+_LOG_EDGES = """edges AS (SELECT a, b, max(w) AS shared FROM (SELECT current_kf_id AS a, candidate_kf_id AS b, common_words AS w FROM v_loops UNION ALL SELECT candidate_kf_id, current_kf_id, common_words FROM v_loops)
+  WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b AND w IS NOT NULL GROUP BY a, b)"""
+_LEAST = 100
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """Undirected edges (a, b, w) of all keyframes."""
+    log = views.loops(spark, d).where("current_kf_id IS NOT NULL AND candidate_kf_id IS NOT NULL")
+    return graph.undirected(log.select(F.col("current_kf_id").alias("a"), F.col("candidate_kf_id").alias("b"), F.col("common_words").alias("w")))
+
+
+@query(f"WITH {_LOG_EDGES} SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k, max(shared) OVER (PARTITION BY a) AS most FROM edges) WHERE shared >= {_LEAST} OR (most < {_LEAST} AND k = 1)")
 def keyframe_connections(spark: SparkSession, d: str) -> DataFrame:
-    """Connections of at least two shared points, else the single best."""
-    return graph.connections(_edges(spark, d).withColumnRenamed("shared", "w"), 2).select("a", "b", F.col("w").alias("shared"))
+    """Connections of at least a hundred common words, else the single best."""
+    return graph.connections(_graph(spark, d), _LEAST).select("a", "b", F.col("w").alias("shared"))
 
 
-@query(f"WITH {_EDGES} SELECT a AS kf_id, b AS parent, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1")
+@query(f"WITH {_LOG_EDGES} SELECT a AS kf_id, b AS parent, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1")
 def spanning_parents(spark: SparkSession, d: str) -> DataFrame:
-    return graph.parents(_edges(spark, d).withColumnRenamed("shared", "w"))
+    return graph.parents(_graph(spark, d))
 
 
 def _all_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d).withColumnRenamed("shared", "w")
+    e = _graph(spark, d)
     tree = graph.parents(e).select(F.col("kf_id").alias("a"), F.col("parent").alias("b"), F.col("shared").alias("w"))
-    loop = e.where("w >= 2").select("a", "b", "w")
-    return graph.edge_union(("covisibility", graph.connections(e, 2)), ("spanning_tree", tree), ("loop", loop))
+    loop = e.where("w >= 200").select("a", "b", "w")
+    return graph.edge_union(("covisibility", graph.connections(e, _LEAST)), ("spanning_tree", tree), ("loop", loop))
 
 
-_UNION = f"""{_EDGES}, tree AS (SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1),
-conn AS (SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k, max(shared) OVER (PARTITION BY a) AS most FROM edges) WHERE shared >= 2 OR (most < 2 AND k = 1)),
-every AS (SELECT 'covisibility' AS kind, a, b, shared FROM conn UNION ALL SELECT 'spanning_tree', a, b, shared FROM tree UNION ALL SELECT 'loop', a, b, shared FROM edges WHERE shared >= 2),
+_UNION = f"""{_LOG_EDGES}, tree AS (SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1),
+conn AS (SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k, max(shared) OVER (PARTITION BY a) AS most FROM edges) WHERE shared >= {_LEAST} OR (most < {_LEAST} AND k = 1)),
+every AS (SELECT 'covisibility' AS kind, a, b, shared FROM conn UNION ALL SELECT 'spanning_tree', a, b, shared FROM tree UNION ALL SELECT 'loop', a, b, shared FROM edges WHERE shared >= 200),
 graph AS (SELECT kind, least(a, b) AS source, greatest(a, b) AS target, max(shared) AS weight FROM every WHERE a <> b AND a >= 0 AND b >= 0 GROUP BY ALL)"""
 _UNION = _UNION.replace("least(a, b) AS source, greatest(a, b) AS target, max(shared) AS weight FROM every WHERE a <> b AND a >= 0 AND b >= 0 GROUP BY ALL", "s AS source, t AS target, max(shared) AS weight FROM (SELECT kind, least(a, b) AS s, greatest(a, b) AS t, shared FROM every WHERE a <> b AND a >= 0 AND b >= 0) GROUP BY kind, s, t")
 
@@ -304,12 +319,43 @@ def essential_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.essential_edges(_all_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT a AS kf_id, b AS parent FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1),
+_PARENTS = "p AS (SELECT a AS kf_id, b AS parent, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1)"
+
+
+@query(f"""WITH RECURSIVE {_LOG_EDGES}, p AS (SELECT a AS kf_id, b AS parent FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges WHERE b < a) WHERE k = 1),
 up AS (SELECT kf_id, parent AS ancestor, 1 AS hops FROM p UNION ALL SELECT up.kf_id, p.parent, hops + 1 FROM up JOIN p ON up.ancestor = p.kf_id WHERE hops < 10)
 SELECT kf_id, ancestor, CAST(hops AS INTEGER) AS hops FROM up""")
 def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Ancestors of each keyframe along its spanning parents, up to ten hops."""
-    return graph.ancestors(graph.parents(_edges(spark, d).withColumnRenamed("shared", "w")))
+    return graph.ancestors(graph.parents(_graph(spark, d)))
+
+
+@query(f"""WITH {_UNION}, v AS (SELECT source AS kf_id, false AS c FROM graph UNION ALL SELECT target, false FROM graph UNION ALL SELECT current_kf_id, false FROM v_loops UNION ALL SELECT candidate_kf_id, false FROM v_loops
+  UNION ALL SELECT current_kf_id, true FROM v_loops WHERE passed_consistency)
+SELECT kf_id, bool_or(c) AS corrected FROM v WHERE kf_id >= 0 GROUP BY kf_id""")
+def essential_graph_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes of the essential graph: of the log, of its edges, and those that a consistent loop corrects."""
+    log = views.loops(spark, d)
+    kfs = log.select(F.col("current_kf_id").alias("kf_id")).unionByName(log.select(F.col("candidate_kf_id").alias("kf_id")))
+    return graph.essential_vertices(kfs, _all_edges(spark, d), log.where("passed_consistency").select(F.col("current_kf_id").alias("kf_id")))
+
+
+@query(f"""WITH RECURSIVE {_LOG_EDGES}, {_PARENTS}, up AS (SELECT kf_id, parent AS ancestor, 1 AS hops FROM p UNION ALL SELECT up.kf_id, p.parent, hops + 1 FROM up JOIN p ON up.ancestor = p.kf_id WHERE hops < 10),
+gone AS (SELECT kf_id FROM p WHERE shared < 150), near AS (SELECT kf_id, min_by(ancestor, hops) AS parent FROM up WHERE ancestor NOT IN (SELECT kf_id FROM gone) GROUP BY kf_id)
+SELECT p.kf_id, near.parent FROM p LEFT JOIN near USING (kf_id) WHERE p.kf_id NOT IN (SELECT kf_id FROM gone)""")
+def keyframe_erase_repair(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning tree after weakly tied keyframes (under 150 common words with their parent) are erased: children go to the nearest ancestor left."""
+    tree = graph.parents(_graph(spark, d))
+    return graph.erase_keyframes(tree.select("kf_id", "parent"), tree.where("shared < 150").select("kf_id"))
+
+
+@query(f"""WITH {_LOG_EDGES}, best AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges) WHERE k <= 5),
+f AS (SELECT DISTINCT current_kf_id AS frame, current_kf_id AS kf FROM v_loops), one AS (SELECT frame, b AS kf FROM f JOIN best ON kf = a), two AS (SELECT frame, b AS kf FROM one JOIN best ON kf = a)
+SELECT frame, kf, CAST(min(ring) AS INTEGER) AS ring FROM (SELECT frame, kf, 0 AS ring FROM f UNION ALL SELECT frame, kf, 1 FROM one UNION ALL SELECT frame, kf, 2 FROM two) GROUP BY frame, kf""")
+def local_covisibility_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Local covisibility map of each keyframe: itself, its five best neighbours and theirs."""
+    frames = views.loops(spark, d).where("current_kf_id IS NOT NULL").select(F.col("current_kf_id").alias("frame"), F.col("current_kf_id").alias("kf")).distinct()
+    return graph.second_ring(_graph(spark, d), frames, 5)
 
 
 # Run logs

@@ -12,7 +12,7 @@ from ..operators import graph, keyframes, projection
 from ..sources import text
 from ..sources.tables import table
 from . import map_queries, views
-from .map_queries import _DES, _EDGES
+from .map_queries import _DES, _LOG_EDGES
 from .trajectory_queries import _WRAP, _rounded
 from .views import with_views
 
@@ -146,16 +146,15 @@ def projection_search(spark: SparkSession, d: str) -> DataFrame:
     return got.select("sequence_id", "point", "idx", F.col("distance").cast("int").alias("distance"))
 
 
-@query(f"""WITH {_EDGES}, own AS (SELECT a AS frame, b AS kf, 0 AS ring, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS o FROM edges),
+@query(f"""WITH {_LOG_EDGES}, own AS (SELECT a AS frame, b AS kf, 0 AS ring, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS o FROM edges),
 best AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM edges) WHERE k <= 10),
 every AS (SELECT * FROM own UNION ALL SELECT frame, b, 1, o FROM own JOIN best ON own.kf = best.a),
 once AS (SELECT frame, kf, min(ring * 1000000 + o) AS place_at FROM every GROUP BY frame, kf)
 SELECT frame, kf, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY place_at, kf) AS k FROM once) WHERE k <= 80""")
 def local_map_keyframes(spark: SparkSession, d: str) -> DataFrame:
-    """Local map of each query keyframe: those sharing points with it, then their best neighbours, eighty at most."""
-    e = map_queries._edges(spark, d)
-    votes = e.select(F.col("a").alias("frame"), F.col("b").alias("kf"), F.col("shared").alias("votes"))
-    return graph.local_map(votes, e.withColumnRenamed("shared", "w"))
+    """Local map of each keyframe: those it shares words with, then their best neighbours, eighty at most."""
+    e = map_queries._graph(spark, d)
+    return graph.local_map(e.select(F.col("a").alias("frame"), F.col("b").alias("kf"), F.col("w").alias("votes")), e)
 
 
 @query(f"SELECT {', '.join(f'round({e}, 9) AS {n}' for n, e in (('fov', f'2 * atan(640 / (2 * 500.0))'), ('focal', f'640 / (2 * tan({math.pi / 3} / 2))')))}, s.name AS dataset FROM datasets s")

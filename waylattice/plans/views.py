@@ -80,7 +80,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
-    return "WITH " + ",\n".join(used) + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    first = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+    return (first or "WITH ") + ",\n".join(used) + (",\n" if first else "\n") + body[len(first):]
 
 
 _USABLE = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in POSE[2:])
