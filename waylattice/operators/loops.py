@@ -15,11 +15,11 @@ FAILURE_STAGES = [
     "FAILED_ACCUMULATION_FILTER", "NOT_RETAINED_AFTER_ACCUMULATION", "FAILED_CONSISTENCY", "FAILED_SEED_GEOMETRY", "FAILED_REFINED_GEOMETRY", "FAILED_FINAL_SUPPORT", "ACCEPTED", "UNKNOWN",
 ]
 REASON_PHRASES = {
-    "FAILED_FINAL_SUPPORT": ["final support", "final matched map points", "matched map points after covisibility expansion", "covisibility expansion"],
+    "FAILED_FINAL_SUPPORT": ["final support", "final matched map points", "covisibility expansion"],
     "FAILED_REFINED_GEOMETRY": ["refined inliers", "guided final matches"],
-    "FAILED_POSE_DISTANCE_GATE": ["pose distance", "estimated pose distance"],
+    "FAILED_POSE_DISTANCE_GATE": ["pose distance"],
     "FAILED_SEED_GEOMETRY": ["seed inliers", "ransac seed"],
-    "FAILED_GEOMETRY_MATCHES": ["too few loop geometry matches", "geometry matches"],
+    "FAILED_GEOMETRY_MATCHES": ["geometry matches"],
     "FAILED_CONSISTENCY": ["consistency"],
 }
 LOOP_METRES, LOOP_DEGREES, NEAR_METRES = 0.75, 45.0, 1.5
@@ -136,23 +136,27 @@ def retained_candidates(df: DataFrame, query: str, candidate: str, words: str, s
     return df.withColumn("most_words", most).where((F.col(words) > F.floor(F.col("most_words") * ratio)) & (F.col(score) >= least))
 
 
-def accumulate_scores(kept: DataFrame, edges: DataFrame, query: str, candidate: str, score: str, *, retain: float = 0.75) -> DataFrame:
+def accumulation(kept: DataFrame, edges: DataFrame, query: str, candidate: str, score: str, *, retain: float = 0.75) -> DataFrame:
     """Second half: each candidate's score plus those of its neighbours that are candidates of the same query.
 
-    ``edges``: (a, b) for each keyframe a and at most ten best neighbours b.
-    A group is represented by its best member; groups beyond ``retain`` of the
-    query's best sum are kept, each representative once, with its first sum.
-    Returns (query, representative, accumulated).
+    ``edges``: (a, b) for each keyframe a and at most ten best neighbours b. The
+    best member represents the group (the smaller id among equals); a group
+    passes with more than ``retain`` of the query's best sum.
+    Returns (query, candidate, accumulated, representative, passed).
     """
     one = kept.select(F.col(query).alias("q"), F.col(candidate).alias("c"), F.col(score).alias("s"))
     group = one.join(edges, one["c"] == edges["a"]).select("q", "c", F.col("b").alias("m")).join(one.select("q", F.col("c").alias("m"), "s"), ["q", "m"])
     group = group.unionByName(one.select("q", "c", F.col("c").alias("m"), "s"))
     best = F.struct(F.col("s"), (-F.col("m")).alias("order"), F.col("m").alias("m"))
     summed = group.groupBy("q", "c").agg(F.sum("s").alias("accumulated"), F.max(best)["m"].alias("representative"))
-    top = F.max("accumulated").over(Window.partitionBy("q"))
-    kept_groups = summed.withColumn("top", top).where(F.col("accumulated") > retain * F.col("top"))
-    once = kept_groups.groupBy("q", "representative").agg(F.min_by("accumulated", "c").alias("accumulated"))
-    return once.select(F.col("q").alias(query), "representative", "accumulated")
+    top = summed.groupBy("q").agg(F.max("accumulated").alias("top"))
+    return summed.join(top, "q").select(F.col("q").alias(query), F.col("c").alias(candidate), "accumulated", "representative", (F.col("accumulated") > retain * F.col("top")).alias("passed"))
+
+
+def accumulate_scores(kept: DataFrame, edges: DataFrame, query: str, candidate: str, score: str, *, retain: float = 0.75) -> DataFrame:
+    """The groups that pass ``accumulation``, each representative once, with the sum of its first candidate: (query, representative, accumulated)."""
+    passed = accumulation(kept, edges, query, candidate, score, retain=retain).where("passed")
+    return passed.groupBy(query, "representative").agg(F.min_by("accumulated", candidate).alias("accumulated"))
 
 
 def compare_sources(df: DataFrame, by: str, candidate: str, first: Column, second: Column) -> DataFrame:

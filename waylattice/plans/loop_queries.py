@@ -184,6 +184,22 @@ def _posed_keyframes(spark: SparkSession, d: str) -> DataFrame:
     return near.select("kf_id", F.col("ts").alias("kf_ts"), F.col("match_id").alias("pose_id")).join(truth.drop("ts"), "pose_id")
 
 
+_POSED = """k AS (SELECT current_kf_id AS kf_id, min(current_ts) AS ts FROM v_loops WHERE current_ts IS NOT NULL GROUP BY ALL UNION SELECT candidate_kf_id, min(candidate_ts) FROM v_loops WHERE candidate_ts IS NOT NULL GROUP BY ALL),
+kf AS (SELECT kf_id, min(ts) AS ts FROM k GROUP BY ALL),
+t AS (SELECT min(pose_id) AS pose_id, ts FROM v_gt GROUP BY ts),
+g AS (SELECT * FROM (SELECT kf_id, kf.ts, t.pose_id, row_number() OVER (PARTITION BY kf_id ORDER BY abs(t.ts - kf.ts), t.ts) AS k FROM kf JOIN t ON t.ts BETWEEN kf.ts - 0.051 AND kf.ts + 0.051 WHERE abs(t.ts - kf.ts) <= 0.05) WHERE k = 1),
+p AS (SELECT g.kf_id, g.ts, v.* EXCLUDE (ts) FROM g JOIN v_gt v USING (pose_id))"""
+_METRES = "sqrt((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty - b.ty) + (a.tz - b.tz) * (a.tz - b.tz))"
+_DEGREES = "2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw) / sqrt((a.qx * a.qx + a.qy * a.qy + a.qz * a.qz + a.qw * a.qw) * (b.qx * b.qx + b.qy * b.qy + b.qz * b.qz + b.qw * b.qw)))) * 180 / pi()"
+_NEAR = f"""near_pairs AS (SELECT i, j, least(i, j) || '-' || greatest(i, j) AS pair_key, metres, degrees, seconds, metres <= 0.75 AND degrees <= 45 AS loop_like, true AS near_loop FROM (
+  SELECT a.kf_id AS i, b.kf_id AS j, abs(a.ts - b.ts) AS seconds, {_METRES} AS metres, {_DEGREES} AS degrees FROM p a JOIN p b ON a.sequence_id = b.sequence_id AND a.kf_id < b.kf_id
+    AND b.tx BETWEEN a.tx - 1.6 AND a.tx + 1.6 AND b.ty BETWEEN a.ty - 1.6 AND a.ty + 1.6 WHERE abs(a.ts - b.ts) >= 10 AND b.kf_id - a.kf_id >= 10) WHERE metres <= 1.5)"""
+_ORDER = f"list_position({['UNKNOWN_STAGE', *loops.RECALL_STAGES[:-1]]}, stage)"
+_ALL = f"""{_NEAR},
+logged AS (SELECT least(current_kf_id, candidate_kf_id) AS i, greatest(current_kf_id, candidate_kf_id) AS j, max_by(stage, o) AS stage FROM (SELECT *, {_ORDER} AS o FROM (SELECT *, {_STAGE} AS stage FROM v_loops)) GROUP BY 1, 2),
+every_pair AS (SELECT n.*, coalesce(l.stage, 'NOT_RETRIEVED') AS stage FROM near_pairs n LEFT JOIN logged l USING (i, j))"""
+
+
 def _side(p: DataFrame, s: str) -> DataFrame:
     return p.select(*[F.col(c).alias(s + c) for c in p.columns])
 
@@ -199,15 +215,10 @@ def _measured(m: DataFrame) -> DataFrame:
     return loops.pair_flags(m, F.col("metres"), F.col("degrees"))
 
 
-@query("""
-WITH k AS (SELECT current_kf_id AS kf_id, min(current_ts) AS ts FROM v_loops WHERE current_ts IS NOT NULL GROUP BY ALL UNION SELECT candidate_kf_id, min(candidate_ts) FROM v_loops WHERE candidate_ts IS NOT NULL GROUP BY ALL),
-kf AS (SELECT kf_id, min(ts) AS ts FROM k GROUP BY ALL),
-t AS (SELECT min(pose_id) AS pose_id, ts FROM v_gt GROUP BY ts),
-g AS (SELECT * FROM (SELECT kf_id, kf.ts, t.pose_id, row_number() OVER (PARTITION BY kf_id ORDER BY abs(t.ts - kf.ts), t.ts) AS k FROM kf JOIN t ON t.ts BETWEEN kf.ts - 0.051 AND kf.ts + 0.051 WHERE abs(t.ts - kf.ts) <= 0.05) WHERE k = 1),
-p AS (SELECT g.kf_id, g.ts, v.* EXCLUDE (ts) FROM g JOIN v_gt v USING (pose_id)),
+@query(f"""
+WITH {_POSED},
 pairs AS (SELECT DISTINCT current_kf_id AS i, candidate_kf_id AS j FROM v_loops),
-m AS (SELECT i, j, sqrt((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty - b.ty) + (a.tz - b.tz) * (a.tz - b.tz)) AS metres,
-  2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw) / sqrt((a.qx * a.qx + a.qy * a.qy + a.qz * a.qz + a.qw * a.qw) * (b.qx * b.qx + b.qy * b.qy + b.qz * b.qz + b.qw * b.qw)))) * 180 / pi() AS degrees
+m AS (SELECT i, j, {_METRES} AS metres, {_DEGREES} AS degrees
   FROM pairs JOIN p a ON i = a.kf_id JOIN p b ON j = b.kf_id WHERE abs(a.ts - b.ts) >= 10 AND abs(i - j) >= 10 AND a.sequence_id = b.sequence_id)
 SELECT i, j, least(i, j) || '-' || greatest(i, j) AS pair_key, round(metres, 6) AS metres, metres <= 0.75 AND degrees <= 45 AS loop_like, metres <= 1.5 AS near_loop FROM m""")
 def gt_loop_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -218,28 +229,39 @@ def gt_loop_pairs(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), F.round("metres", 6).alias("metres"), "loop_like", "near_loop")
 
 
-@query()
-def gt_loop_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """All true near loops among the keyframes that the log names, i < j, with the furthest stage that the log has for them; NOT_RETRIEVED if it has none.
-
-    ``gt_loop_pairs`` has the logged pairs only. Pairs meet through cells of NEAR_METRES.
-    """
+def near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of posed keyframes within NEAR_METRES, i < j, far enough apart in time; they meet through cells of NEAR_METRES."""
     p = _posed_keyframes(spark, d)
     cell = {c: F.floor(F.col("t" + c) / F.lit(loops.NEAR_METRES)) for c in "xyz"}
     at = p.withColumns({"c" + c: v for c, v in cell.items()})
     around = p.withColumns({"n" + c: F.explode(F.sequence(v - 1, v + 1)) for c, v in cell.items()})
     met = F.expr("a_sequence_id = b_sequence_id AND a_cx = b_nx AND a_cy = b_ny AND a_cz = b_nz AND a_kf_id < b_kf_id")
     m = _measured(_side(at, "a_").join(_side(around, "b_"), met)).where("near_loop")
+    return m.select(
+        F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), "metres", "degrees",
+        F.abs(F.col("a_kf_ts") - F.col("b_kf_ts")).alias("seconds"), "loop_like", "near_loop",
+    )
+
+
+@query(f"WITH {_POSED}, {_ALL} SELECT i, j, pair_key, round(metres, 6) AS metres, loop_like, near_loop, stage FROM every_pair")
+def gt_loop_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """All true near loops among the keyframes that the log names, i < j, with the furthest stage that the log has for them; NOT_RETRIEVED if it has none.
+
+    ``gt_loop_pairs`` has the logged pairs only.
+    """
+    m = near_pairs(spark, d)
     # stages stand in the order in which a pair passes them, but for the unknown one
     order = F.array_position(F.array(*[F.lit(x) for x in ["UNKNOWN_STAGE", *loops.RECALL_STAGES[:-1]]]), F.col("pipeline_stage"))
-    log = _staged(spark, d).groupBy(F.least("current_kf_id", "candidate_kf_id").alias("a_kf_id"), F.greatest("current_kf_id", "candidate_kf_id").alias("b_kf_id")).agg(F.max_by("pipeline_stage", order).alias("logged"))
-    m = m.join(log, ["a_kf_id", "b_kf_id"], "left")
+    log = _staged(spark, d).groupBy(F.least("current_kf_id", "candidate_kf_id").alias("i"), F.greatest("current_kf_id", "candidate_kf_id").alias("j")).agg(F.max_by("pipeline_stage", order).alias("logged"))
+    m = m.join(log, ["i", "j"], "left")
     none = F.lit(None).cast("int")
     lost = loops.rejection_class(F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), seed=none, refined=none, guided=none, final=none, retrieved=F.lit(False), chosen=F.lit(False))
-    return m.select(F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), F.round("metres", 6).alias("metres"), "loop_like", "near_loop", F.coalesce("logged", lost).alias("stage"))
+    return m.select("i", "j", "pair_key", F.round("metres", 6).alias("metres"), "loop_like", "near_loop", F.coalesce("logged", lost).alias("stage"))
 
 
-@query()
+@query(f"""
+WITH {_POSED}, {_ALL}, names AS (SELECT unnest({loops.RECALL_STAGES}) AS stage, generate_subscripts({loops.RECALL_STAGES}, 1) - 1 AS stage_no), seen AS (SELECT stage, count(*) AS n FROM every_pair WHERE loop_like GROUP BY stage)
+SELECT CAST(stage_no AS INTEGER) AS stage_no, stage, coalesce(n, 0) AS n, round(coalesce(100.0::DOUBLE * n / (SELECT sum(n) FROM seen), 0), 6) AS percent FROM names LEFT JOIN seen USING (stage)""")
 def recall_by_stage_all(spark: SparkSession, d: str) -> DataFrame:
     """True loops by the stage at which they were lost, those that retrieval missed included."""
     got = loops.stage_counts(gt_loop_pairs_all(spark, d).where("loop_like"), "stage", loops.RECALL_STAGES)
