@@ -161,9 +161,7 @@ def accumulate_scores(kept: DataFrame, edges: DataFrame, query: str, candidate:
 
 def compare_sources(df: DataFrame, by: str, candidate: str, first: Column, second: Column) -> DataFrame:
     """Sizes of two candidate sets per query, of their union, intersection and differences."""
-    a, b = F.collect_set(F.when(first, F.col(candidate))), F.collect_set(F.when(second, F.col(candidate)))
-    sets = df.groupBy(by).agg(a.alias("a"), b.alias("b"))
-    return sets.select(
-        by, F.size("a").alias("first"), F.size("b").alias("second"), F.size(F.array_union("a", "b")).alias("both"),
-        F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("only_first"), F.size(F.array_except("b", "a")).alias("only_second"),
-    )
+    once = df.groupBy(by, candidate).agg(F.bool_or(first).alias("a"), F.bool_or(second).alias("b"))
+    a, b = (F.coalesce(F.col(c), F.lit(False)) for c in "ab")
+    n = {"first": a, "second": b, "both": a | b, "shared": a & b, "only_first": a & ~b, "only_second": b & ~a}
+    return once.groupBy(by).agg(*[F.count_if(c).cast("int").alias(k) for k, c in n.items()])

@@ -21,19 +21,21 @@ TRACE_STAGES = [
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def classified(pairs: DataFrame, records: DataFrame, sources: DataFrame, density: DataFrame) -> DataFrame:
+def classified(pairs: DataFrame, records: DataFrame, sources: DataFrame, listed: DataFrame, density: DataFrame) -> DataFrame:
     """Pairs (pair_key, i, j, ...) with the record of their own, the retrieval row of j (else of i), and their density; every pair stays.
 
     ``records``: pair_key, accepted, reason, rejection_stage, candidate_source, seed, refined, guided, final;
-    ``sources``: kf_id, source, raw and chosen (arrays of candidate ids); ``density``: pair_key, group_size, final_points.
+    ``sources``: kf_id, source; ``listed``: kf_id, candidate, raw, chosen (in which of its lists a candidate is); ``density``: pair_key, group_size, final_points.
     Each of them holds a key once. Adds pipeline_stage, seen, accepted, source, final_points, group_size.
     """
     r = records.select("pair_key", F.lit(True).alias("_seen"), "accepted", "reason", "rejection_stage", "candidate_source", "seed", "refined", "guided", "final")
-    side = lambda s: sources.select(F.col("kf_id").alias(s), F.struct("source", "raw", "chosen").alias(f"_{s}"))
+    side = lambda s: sources.select(F.col("kf_id").alias(s), F.struct("source").alias(f"_{s}"))
     met = pairs.join(r, "pair_key", "left").join(side("j"), "j", "left").join(side("i"), "i", "left").join(density.select("pair_key", "group_size", "final_points"), "pair_key", "left")
+    later = F.col("_j").isNotNull()
+    met = met.withColumns({"_kf": F.when(later, F.col("j")).otherwise(F.col("i")), "_other": F.when(later, F.col("i")).otherwise(F.col("j"))})
+    met = met.join(listed.select(F.col("kf_id").alias("_kf"), F.col("candidate").alias("_other"), F.col("raw").alias("_raw"), F.col("chosen").alias("_chosen")), ["_kf", "_other"], "left")
     row = F.coalesce("_j", "_i")
-    other = F.when(F.col("_j").isNotNull(), F.col("i")).otherwise(F.col("j"))
-    holds = lambda name: F.coalesce(F.array_contains(row[name], other), F.lit(False))
+    holds = lambda name: F.coalesce(F.col(f"_{name}"), F.lit(False))
     stage = loops.rejection_class(
         F.col("_seen").isNotNull(), F.coalesce("accepted", F.lit(False)), F.col("reason"), F.col("rejection_stage"),
         seed=F.col("seed"), refined=F.col("refined"), guided=F.col("guided"), final=F.col("final"), retrieved=holds("raw"), chosen=holds("chosen"),
@@ -89,21 +91,22 @@ def group_summary(groups: DataFrame) -> DataFrame:
     return long.select("stage_no", "stage", "n", F.when(F.col("n2") > 0, 100.0 * F.col("n") / F.col("n2")).otherwise(0.0).alias("percent"))
 
 
-def retrieval_trace(pairs: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
+def retrieval_trace(pairs: DataFrame, records: DataFrame, sources: DataFrame, listed: DataFrame) -> DataFrame:
     """First known loss of each true loop, with confidence, from its record or else from the candidate lists of its later keyframe.
 
     ``pairs``: pair_key, i, j (j the later); ``records``: pair_key, accepted,
-    reason, rejection_stage; ``sources``: kf_id, raw, inverted, chosen (arrays of ids).
+    reason, rejection_stage; ``sources``: kf_id, raw_count; ``listed``: kf_id, candidate, raw, inverted, chosen.
     """
     r = records.select("pair_key", F.lit(True).alias("_seen"), "accepted", "reason", "rejection_stage")
-    met = pairs.join(r, "pair_key", "left").join(sources.select(F.col("kf_id").alias("j"), "raw", "inverted", "chosen", F.lit(True).alias("_listed")), "j", "left")
-    holds = {c: F.coalesce(F.array_contains(c, F.col("i")), F.lit(False)) for c in ("raw", "inverted", "chosen")}
+    met = pairs.join(r, "pair_key", "left").join(sources.select(F.col("kf_id").alias("j"), "raw_count", F.lit(True).alias("_listed")), "j", "left")
+    met = met.join(listed.select(F.col("kf_id").alias("j"), F.col("candidate").alias("i"), "raw", "inverted", "chosen"), ["j", "i"], "left")
+    holds = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("raw", "inverted", "chosen")}
     seen = F.col("_seen").isNotNull()
     stage = (
         F.when(seen, loops.actual_stage(F.coalesce("accepted", F.lit(False)), F.col("reason"), F.col("rejection_stage")))
         .when(holds["chosen"], "CHOSEN_CANDIDATE_CONFIRMED").when(holds["raw"], "RAW_DBOW_PRESENT_CONFIRMED").when(holds["inverted"], "INVERTED_PRESENT_CONFIRMED").otherwise("NOT_RETRIEVED_BROAD")
     )
-    present = F.when(seen | holds["raw"], "True").when(F.col("_listed").isNotNull() & (F.size("raw") == 0), "False_for_current_query").otherwise("UNKNOWN")
+    present = F.when(seen | holds["raw"], "True").when(F.col("_listed").isNotNull() & (F.col("raw_count") == 0), "False_for_current_query").otherwise("UNKNOWN")
     sure = F.when(seen, "high").when(holds["chosen"] | holds["raw"] | holds["inverted"], "medium").otherwise("limited")
     return met.select(*pairs.columns, seen.alias("seen"), stage.alias("loss_stage"), sure.alias("confidence"), present.alias("raw_present"), F.col("_listed").isNull().alias("unlisted"))
 
