@@ -137,6 +137,27 @@ def se3_apply(a: Column, p: list[Column], scale: float | Column = 1.0) -> list[C
     return [moved[i] * scale + a["t"][i] for i in range(3)]
 
 
+# Similarity transforms are structs of r, t and s: p goes to s R p + t.
+
+
+def sim3(r: Column, t: list[Column], s: Column) -> Column:
+    return F.struct(r.alias("r"), F.array(*t).alias("t"), s.alias("s"))
+
+
+def sim3_compose(a: Column, b: Column) -> Column:
+    moved = rotate(a["r"], [b["t"][i] for i in range(3)])
+    return sim3(matrix_product(a["r"], b["r"]), [a["s"] * moved[i] + a["t"][i] for i in range(3)], a["s"] * b["s"])
+
+
+def sim3_inverse(a: Column) -> Column:
+    back = rotate_back(a["r"], [a["t"][i] for i in range(3)])
+    return sim3(transpose(a["r"]), [-x / a["s"] for x in back], 1.0 / a["s"])
+
+
+def sim3_apply(a: Column, p: list[Column]) -> list[Column]:
+    return se3_apply(a, p, a["s"])
+
+
 # Quaternions are lists of four columns x, y, z, w.
 
 
@@ -227,7 +248,7 @@ def edge_information(kind: Column, shared: Column) -> Column:
 
 def predicted_level(distance: Column, most: Column, scale: float, levels: int) -> Column:
     """Pyramid level at which a point of greatest distance ``most`` appears at a distance."""
-    raw = F.ceil(F.log(most / distance) / math.log(scale))
+    raw = F.ceil(F.round(F.log(most / distance) / math.log(scale), 9))
     return F.greatest(F.lit(0), F.least(F.lit(levels - 1), raw)).cast("int")
 
 
@@ -242,3 +263,8 @@ def hamming(a: Column, b: Column, words: int) -> Column:
 def pair_key(a: Column, b: Column) -> Column:
     """Name of an unordered pair: smaller-larger."""
     return F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
+
+
+def finite(x: Column) -> Column:
+    """Whether a number is there and neither NaN nor infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))

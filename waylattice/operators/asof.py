@@ -82,7 +82,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_ts: str, righ
 
 def asof_exact_then_nearest(left: DataFrame, right: DataFrame, by: str, key: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float) -> DataFrame:
     """Rows that share ``key`` with a right row of their entity match it; the rest take the nearest within ``tolerance``."""
-    keys = right.select(F.col(by), F.col(key), F.col(right_id).alias("exact_id"), F.col(right_ts).alias("exact_ts")).dropDuplicates([by, key])
+    # of several right rows with one key the smallest id
+    first = F.min(F.struct(F.col(right_id).alias("id"), F.col(right_ts).alias("ts")))
+    keys = right.where(F.col(right_id).isNotNull()).groupBy(by, key).agg(first.alias("_m")).select(by, key, F.col("_m.id").alias("exact_id"), F.col("_m.ts").alias("exact_ts"))
     exact = left.join(keys, [by, key], "left")
     done = exact.where("exact_id IS NOT NULL").select(*left.columns, F.col("exact_id").alias("match_id"), F.col("exact_ts").alias("match_ts"), F.abs(F.col(left_ts) - F.col("exact_ts")).alias("dt"))
     rest = exact.where("exact_id IS NULL").select(*left.columns)

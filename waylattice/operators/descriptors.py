@@ -89,3 +89,10 @@ def rotation_histogram(matches: DataFrame, by: str, angle: str, bins: int = 12,
     w = Window.partitionBy(by).orderBy(F.desc("c"), "bin")
     good = counts.withColumns({"k": F.row_number().over(w), "most": F.max("c").over(Window.partitionBy(by))}).where((F.col("k") == 1) | ((F.col("k") <= keep) & (F.col("c") >= least * F.col("most"))))
     return placed.join(good.select(by, "bin"), [by, "bin"], "left_semi")
+
+
+def octave_histogram(keypoints: DataFrame, image: str, octave: str) -> DataFrame:
+    """Keypoints per octave and their mean number per image."""
+    images = keypoints.agg(F.count_distinct(image).alias("images"))
+    counts = keypoints.groupBy(F.col(octave).alias("octave")).agg(F.count("*").alias("keypoints"))
+    return counts.join(F.broadcast(images), F.lit(True)).select("octave", "keypoints", F.try_divide(F.col("keypoints").cast("double"), F.col("images")).alias("per_image"))

@@ -105,3 +105,28 @@ def local_map(votes: DataFrame, edges: DataFrame, cap: int = 80, ring: int = 10)
     once = own.unionByName(near).groupBy("frame", "kf").agg(F.min(F.struct("ring", "order")).alias("at"))
     place = F.row_number().over(Window.partitionBy("frame").orderBy("at.ring", "at.order", "kf"))
     return once.withColumn("place", place).where(F.col("place") <= cap).select("frame", "kf", "place")
+
+
+def normalised_bags(words: DataFrame, owner: str, weight: str) -> DataFrame:
+    """Adds ``v``: the share of its owner's weights that a word has."""
+    total = words.groupBy(owner).agg(F.sum(weight).alias("_total"))
+    return words.join(total, owner).where("_total > 0").withColumn("v", F.col(weight) / F.col("_total")).drop("_total")
+
+
+def bag_scores(queries: DataFrame, bags: DataFrame, owner: str, word: str, value: str) -> DataFrame:
+    """Similarity of bags of words of total one: one less half the sum of absolute differences, which only shared words make.
+
+    Returns (query, other, shared, score) for each query and other owner that share a word.
+    """
+    a = queries.select(F.col(owner).alias("query"), F.col(word).alias("w"), F.col(value).alias("x"))
+    b = bags.select(F.col(owner).alias("other"), F.col(word).alias("w"), F.col(value).alias("y"))
+    part = (F.col("x") + F.col("y") - F.abs(F.col("x") - F.col("y"))) / 2
+    return a.join(b, "w").where("query <> other").groupBy("query", "other").agg(F.count("*").alias("shared"), F.sum(part).alias("score"))
+
+
+def relocalisation(scores: DataFrame, ratio: float, keep: int) -> DataFrame:
+    """Of (query, kf, shared, score) those with more than ``ratio`` (rounded down) of the query's most shared words, the ``keep`` best; adds ``place``."""
+    most = scores.groupBy("query").agg(F.max("shared").alias("_most"))
+    enough = scores.join(most, "query").where(F.col("shared") > F.floor(F.col("_most") * ratio)).drop("_most")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "kf"))
+    return enough.withColumn("place", place).where(F.col("place") <= keep)

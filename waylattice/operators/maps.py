@@ -144,15 +144,29 @@ def occupancy_fold(cells: DataFrame, by: list[str], order: str, inner: str) -> D
     1024 of them, however often a cell is seen.
     """
     delta = F.when(F.col("hit"), F.lit(LOG_ODDS_HIT)).otherwise(F.lit(LOG_ODDS_FREE))
+    keys = [*by, "gx", "gy"]
+    return fold_deltas(cells.select(*keys, F.col(order).cast("bigint").alias("_at"), F.col(inner).cast("bigint").alias("_then"), delta.alias("_delta")), keys)
+
+
+#: Entries of one fold, and the levels of the tree that bring 2 ** 50 ids down to one map.
+FOLD_BITS, FOLD_LEVELS = 10, 5
+
+
+def fold_deltas(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of each key's deltas in the order of (_at, _then), clipped after each: (keys, visits, l). ``_at`` is not negative.
+
+    Entries are folded by ``_at`` first; while some key still has more than one,
+    they are folded by thousands.
+    """
     least, most = F.lit(-LOG_ODDS_MOST), F.lit(LOG_ODDS_MOST)
     clip = lambda x, a, b: F.greatest(a, F.least(b, x))
     fields = lambda d, lo, hi: F.struct(d.alias("d"), lo.alias("lo"), hi.alias("hi"))
     start = fields(F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
     then = lambda m, e: fields(m["d"] + e["d"], clip(m["lo"] + e["d"], e["lo"], e["hi"]), clip(m["hi"] + e["d"], e["lo"], e["hi"]))
-    keys = [*by, "gx", "gy"]
-    maps = cells.select(*keys, F.col(order).cast("bigint").alias("_at"), F.col(inner).cast("bigint").alias("_then"), fields(delta, least, most).alias("_m"), F.lit(1).cast("bigint").alias("_n"))
-    for level in range(5):
-        group = F.col("_at") if level == 0 else F.shiftright("_at", 10)
+    # the first level groups by blocks of ids at once: an entry of the list is a visit, so blocks are small
+    maps = deltas.select(*keys, F.col("_at"), F.col("_then"), fields(F.col("_delta"), least, most).alias("_m"), F.lit(1).cast("bigint").alias("_n"))
+    for level in range(FOLD_LEVELS):
+        group = F.col("_at") if level == 0 else F.shiftright("_at", FOLD_BITS)
         entry = F.struct(F.col("_then" if level == 0 else "_at").alias("at"), "_m.d", "_m.lo", "_m.hi")
         folded = maps.groupBy(*keys, group.alias("_at")).agg(F.array_sort(F.collect_list(entry)).alias("_e"), F.sum("_n").alias("_n"))
         maps = folded.select(*keys, "_at", F.aggregate("_e", start, then).alias("_m"), "_n")
@@ -229,3 +243,73 @@ def radius_nearest(queries: DataFrame, points: DataFrame, by: str, radius: float
     # Spark keeps only k rows per query before the shuffle (window group limit)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "point_id"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("query_id", "point_id", "distance", "place")
+
+
+def spaced_ray_cells(points: DataFrame, resolution: float, steps: int, pose: str = "odom") -> DataFrame:
+    """(scan_id, sensor_id, beam, gx, gy, hit) of ``steps`` cells of each ray, evenly spaced along its line and rounded down; shorter lines have all of theirs."""
+    start = [geom.cell(F.col(f"{pose}.{c}"), resolution) for c in "xy"]
+    end = [geom.cell(F.col(c), resolution) for c in "xy"]
+    rays = points.withColumns({"x0": start[0], "y0": start[1], "x1": end[0], "y1": end[1]})
+    rays = rays.withColumn("n", F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))
+    thin = F.col("n") + 1 > steps
+    i = F.transform(F.sequence(F.lit(0).cast("bigint"), F.when(thin, F.lit(steps - 1).cast("bigint")).otherwise(F.col("n"))), lambda k: F.when(thin, F.floor(k * F.col("n") / (steps - 1) + 1e-9)).otherwise(k))
+    at = lambda d, k: F.when(F.col("n") == 0, F.lit(0)).otherwise(F.signum(d).cast("bigint") * F.floor((F.abs(d) * k * 2 + F.col("n")) / (F.col("n") * 2)).cast("bigint"))
+    walked = rays.select("scan_id", "sensor_id", "beam", "x0", "y0", "x1", "y1", "n", F.explode(i).alias("k"))
+    return walked.select(
+        "scan_id", "sensor_id", "beam", (F.col("x0") + at(F.col("x1") - F.col("x0"), F.col("k"))).alias("gx"), (F.col("y0") + at(F.col("y1") - F.col("y0"), F.col("k"))).alias("gy"), (F.col("k") == F.col("n")).alias("hit"),
+    )
+
+
+def occupancy_by_scan(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Log odds of each cell when the counts of every scan are added and clipped once per scan, in the order of their ids.
+
+    A scan is counted before anything moves; its clipped sum is one entry of the fold.
+    """
+    keys = [*by, "gx", "gy"]
+    delta = F.sum(F.when(F.col("hit"), F.lit(LOG_ODDS_HIT)).otherwise(F.lit(LOG_ODDS_FREE)))
+    per = cells.groupBy(*keys, "scan_id").agg(delta.alias("_delta"))
+    return fold_deltas(per.select(*keys, F.col("scan_id").cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_then"), "_delta"), keys)
+
+
+def voxels_from_origin(points: DataFrame, size: float, by: list[str], axes: list[str], colours: list[str], least: int = 2) -> DataFrame:
+    """Voxels counted from each cloud's own least corner: mean point, mean colours rounded down, count; those of fewer than ``least`` points are left out."""
+    corner = points.groupBy(*by).agg(*[F.min(a).alias(f"_{a}") for a in axes])
+    keys = {f"v{a}": F.floor(F.round((F.col(a) - F.col(f"_{a}")) / size, 6)).cast("bigint") for a in axes}
+    out = meet(points, corner, by).withColumns(keys).groupBy(*by, *keys).agg(*[F.avg(a).alias(a) for a in axes], *[F.floor(F.avg(c)).cast("int").alias(c) for c in colours], F.count("*").alias("n"))
+    return out.where(F.col("n") >= least)
+
+
+def crop(points: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Points strictly within fixed bounds of some axes."""
+    inside = F.lit(True)
+    for a, (lo, hi) in bounds.items():
+        inside = inside & (F.col(a) > lo) & (F.col(a) < hi)
+    return points.where(inside)
+
+
+def compare_cells(maps: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Cells (by, gx, gy) of several maps: per group how many each has, all have and any has."""
+    tagged = [m.select(*by, "gx", "gy", F.lit(name).alias("map")).distinct() for name, m in maps.items()]
+    both = tagged[0]
+    for t in tagged[1:]:
+        both = both.unionByName(t)
+    held = both.groupBy(*by, "gx", "gy").agg(*[F.bool_or(F.col("map") == name).alias(f"in_{name}") for name in maps])
+    everywhere = F.lit(True)
+    for name in maps:
+        everywhere = everywhere & F.col(f"in_{name}")
+    return held.groupBy(*by).agg(*[F.count_if(f"in_{name}").alias(name) for name in maps], F.count_if(everywhere).alias("shared"), F.count("*").alias("any"))
+
+
+def depth_points(images: DataFrame, pixels: str, row: str, by: list[str], camera: tuple[float, float, float, float], *, stride: int, least: float, most: float) -> DataFrame:
+    """Camera points of depth images held as rows of pixels, on a stride grid, with depths strictly between ``least`` and ``most``: (by, u, v, x, y, z)."""
+    fx, fy, cx, cy = camera
+    seen = images.where(F.col(row) % stride == 0).select(*by, F.col(row).cast("int").alias("v"), F.posexplode(pixels).alias("u", "z")).where((F.col("u") % stride == 0) & (F.col("z") > least) & (F.col("z") < most))
+    return seen.select(*by, "u", "v", ((F.col("u") - cx) / fx * F.col("z")).alias("x"), ((F.col("v") - cy) / fy * F.col("z")).alias("y"), "z")
+
+
+def depth_lookup(pixels: Column, u: Column, factor: float = 1.0, most: float | None = None) -> Column:
+    """Depth at the nearest pixel of a row, halves going to the even one; null off the row, without a positive depth, or beyond ``most``."""
+    i = F.bround(u, 0).cast("int")
+    z = F.when((i >= 0) & (i < F.size(pixels)), F.try_element_at(pixels, i + 1) / factor)
+    ok = (z > 0) & ~F.isnan(z)
+    return F.when(ok if most is None else ok & (z <= most), z)

@@ -162,3 +162,75 @@ def correct_by_keyframes(poses: DataFrame, corrections: DataFrame, by: str) -> D
     met = met.join(delta, "match_id", "left")
     still = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("theta"))
     return met.withColumn("corrected", geom.se2_compose(F.coalesce("delta", still), F.col("pose"))).drop("delta", "match_ts", "dt")
+
+
+def relation_closures(relations: DataFrame, poses: DataFrame, by: str, *, max_dt: float, least_gap: int) -> DataFrame:
+    """Loop closures from relations (by, rel_id, t_i, t_j, dx, dy, dtheta): indices of the nearest poses, i < j, the relation turned round where need be.
+
+    ``poses``: by, ts, index (its place in the trajectory). Relations that reach
+    beyond the trajectory, whose ends are further than ``max_dt`` from a pose, or
+    that join poses less than ``least_gap`` places apart are left out.
+    Returns (by, rel_id, i, j, dx, dy, dtheta).
+    """
+    from .asof import asof_nearest
+
+    span = poses.groupBy(by).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
+    inside = relations.join(span, by).where(F.col("t_i").between(F.col("_from"), F.col("_to")) & F.col("t_j").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    for end in ("i", "j"):
+        inside = asof_nearest(inside, poses, by, f"t_{end}", "ts", "index", tolerance=max_dt, how="inner").withColumnRenamed("match_id", end).drop("match_ts", "dt")
+    far = inside.where(F.abs(F.col("i") - F.col("j")) >= max(int(least_gap), 1))
+    z = geom.se2(F.col("dx"), F.col("dy"), F.col("dtheta"))
+    z = F.when(F.col("i") > F.col("j"), geom.se2_inverse(z)).otherwise(geom.se2(F.col("dx"), F.col("dy"), geom.wrap_angle(F.col("dtheta"))))
+    out = far.withColumn("z", z)
+    return out.select(by, "rel_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("z.x").alias("dx"), F.col("z.y").alias("dy"), F.col("z.theta").alias("dtheta"))
+
+
+def relation_overlap(relations: DataFrame, times: DataFrame, by: str, ts: str) -> DataFrame:
+    """Per entity the relations, their time span, and half the number (rounded down) of their ends within the span of ``times``."""
+    span = times.groupBy(by).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+    ends = relations.select(by, F.explode(F.array("t_i", "t_j")).alias("t")).where("t IS NOT NULL AND NOT isnan(t)").join(span, by, "left")
+    n = ends.groupBy(by).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.count_if(F.col("t").between(F.col("_from"), F.col("_to"))).alias("k"))
+    return n.select(by, F.expr("n div 2").alias("relations"), "first", "last", F.expr("k div 2").alias("overlapping"))
+
+
+def translation_steps(pairs: DataFrame, by: str, order: list[str], estimate: list[str], truth: list[str]) -> DataFrame:
+    """Relative error of positions alone over consecutive pairs: adds ``trans_error`` (length of the difference of the steps); a rotation error isn't known."""
+    w = window(by)
+    names = [*estimate, *truth]
+    later = own(in_blocks(pairs, by, order, before=1).withColumns({f"_{c}": F.lag(c).over(w) for c in names})).where(F.col(f"_{names[0]}").isNotNull())
+    step = [(F.col(e) - F.col(f"_{e}")) - (F.col(g) - F.col(f"_{g}")) for e, g in zip(estimate, truth)]
+    length = F.sqrt(sum((s * s for s in step[1:]), step[0] * step[0]))
+    return later.withColumn("trans_error", length).drop(*[f"_{c}" for c in names])
+
+
+def predict_by_odometry(poses: DataFrame, by: str, order: list[str], odom: str, pose: str) -> DataFrame:
+    """Adds ``predicted``: the pose of the row before moved by what the odometry moved since; null for the first row and where one is missing."""
+    w = window(by)
+    last = in_blocks(poses, by, order, before=1).withColumns({"_o": F.lag(odom).over(w), "_p": F.lag(pose).over(w)})
+    moved = geom.se2_compose(F.col("_p"), geom.se2_between(F.col("_o"), F.col(odom)))
+    known = F.col("_p.x").isNotNull() & F.col("_o.x").isNotNull() & F.col(f"{odom}.x").isNotNull()
+    return own(last.withColumn("predicted", F.when(known, moved))).drop("_o", "_p")
+
+
+def walk_to_kept(frames: DataFrame, parents: DataFrame, culled: DataFrame, hops: int = 10) -> DataFrame:
+    """Pose of each frame against the nearest kept keyframe, over the parents of culled ones.
+
+    ``frames``: frame, kf, rel (planar pose of the frame in its keyframe);
+    ``parents``: kf, parent, rel (pose of kf in its parent); ``culled``: kf. After
+    ``hops`` steps, or where there is no parent, a frame that is still at a culled
+    keyframe is left out. Returns (frame, kf, rel, hops).
+    """
+    gone = culled.select("kf").distinct().withColumn("_gone", F.lit(True))
+    up = parents.select("kf", "parent", F.col("rel").alias("_step"))
+    at = frames.select("frame", "kf", "rel").withColumn("hops", F.lit(0)).join(gone, "kf", "left")
+    done = [at.where("_gone IS NULL")]
+    left = at.where("_gone")
+    for n in range(1, hops + 1):
+        moved = left.drop("_gone").join(up, "kf").select("frame", F.col("parent").alias("kf"), geom.se2_compose(F.col("_step"), F.col("rel")).alias("rel"), F.lit(n).alias("hops"))
+        left = moved.join(gone, "kf", "left")
+        done.append(left.where("_gone IS NULL"))
+        left = left.where("_gone")
+    out = done[0].select("frame", "kf", "rel", "hops")
+    for x in done[1:]:
+        out = out.unionByName(x.select("frame", "kf", "rel", "hops"))
+    return out

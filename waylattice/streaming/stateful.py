@@ -270,3 +270,9 @@ def sessions(df: DataFrame, ts: str, by: str, gap: str, delay: str | None = None
     """Runs of each entity without a gap longer than ``gap``: a new trajectory begins after one."""
     base = df.withWatermark(ts, delay) if delay else df
     return base.groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def late_split(df: DataFrame, ts: str, arrived: str, seconds: float) -> DataFrame:
+    """Adds ``lag`` (arrival less time of the event, in seconds) and ``late``: rows for a side table of those beyond ``seconds``."""
+    lag = F.col(arrived) - F.col(ts)
+    return df.withColumn("lag", lag).withColumn("late", F.coalesce(F.col("lag") > seconds, F.lit(False)))
