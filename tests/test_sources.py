@@ -127,3 +127,61 @@ def test_config(spark, tmp_path):
     assert config.dataset_profile(ds, "lab", "raw")["range_max"] == 2.0
     with pytest.raises(ValueError):
         config.dataset_profile(ds, "none")
+
+
+def test_node_tables_and_samples(spark, tmp_path):
+    row = lambda k, x, ins, n: " ".join(map(str, [k, 0.5, x, 2.0, 0.1] + [0] * 6 + [ins] + [0] * 7 + [n]))
+    debug = write(tmp_path, "d.txt", "# a\n# b\n# c\n" + row(0, 1.0, 1, 1) + "\n" + row(1, 1.5, 0, 1) + "\n" + row(2, 2.0, 1, 2) + "\nshort\n")
+    ins = text.read_inserted_nodes(spark, debug)
+    assert sorted((r["scan_idx"], r["node_id"], r["pose"]["x"]) for r in ins.collect()) == [(0, 0, 1.0), (2, 1, 2.0)]
+    opt = text.read_optimised_nodes(spark, write(tmp_path, "o.txt", "0 9 9 9\n0 1.1 2 0\n7 1 1 1\n"))
+    scans = spark.createDataFrame([(0, [1.0]), (2, [2.0])], "scan_idx BIGINT, ranges ARRAY<DOUBLE>")
+    got = text.common_samples(scans, ins, opt).collect()
+    assert [(r["scan_idx"], r["pose_optimised"]["x"]) for r in got] == [(0, 1.1)]
+
+
+def test_full_trajectories_stamps_and_streams(spark, tmp_path):
+    path = write(tmp_path, "t.txt", "0 1 2 4.0 0.5\n1 1 2 0\n2 1 2 0 -1\n")
+    assert [(r["t"], r["score"]) for r in text.read_full_trajectory(spark, path).collect()] == [(0.0, 0.5), (1.0, 0.0)]
+    with pytest.raises(Exception, match="five columns"):
+        text.read_full_trajectory(spark, path, strict=True).collect()
+    assert [(r["index"], r["t"]) for r in text.read_stamps(spark, write(tmp_path, "s.txt", "1.5\nx\n2.5\n")).orderBy("index").collect()] == [(0, 1.5), (1, 2.5)]
+    rgb = text.read_stamped_list(spark, write(tmp_path, "rgb.txt", "1.0 a\n2.0 b\n3.0 c\n"))
+    depth = text.read_stamped_list(spark, write(tmp_path, "depth.txt", "1.01 x\n2.5 y\n3.0 z\n"))
+    assert sorted((r["rgb"], r["depth"]) for r in text.associate_streams(rgb, depth).collect()) == [("a", "x"), ("c", "z")]
+    assert text.newest(str(tmp_path), "*.none") is None and text.newest(str(tmp_path), "depth*").endswith("depth.txt")
+
+
+def test_log_tables(spark, tmp_path):
+    path = write(tmp_path, "o.csv", "current_kf_id,candidate_kf_id,accepted,final_matched_map_points\n5,2,false,30\n2,5,true,10\n5,3,,\n,1,true,1\n")
+    got = {r["pair_key"]: (r["accepted"], r["final_matched_map_points"]) for r in text.read_log_table(spark, path, "oracle").collect()}
+    assert got == {"2-5": (True, 10), "3-5": (False, None)}
+    path = write(tmp_path, "s.csv", 'current_kf_id,dbow3_candidates\n5,"[1, 2]"\n5,"[3]"\n')
+    assert [r["dbow3_candidates"] for r in text.read_log_table(spark, path, "source").collect()] == [[3]]
+
+
+def test_more_writers(spark, tmp_path):
+    from waylattice.functions import geom
+
+    half = 0.5**0.5
+    cases = [(0.0, 0.0, 0.0, 1.0), (1.0, 0.0, 0.0, 0.0), (0.0, half, 0.0, half), (0.0, 0.0, 1.0, 0.0), (0.5, 0.5, 0.5, 0.5)]
+    rows = spark.createDataFrame([(float(i), *q, 1.0, 2.0, 3.0) for i, q in enumerate(cases)], "ts DOUBLE, qx DOUBLE, qy DOUBLE, qz DOUBLE, qw DOUBLE, tx DOUBLE, ty DOUBLE, tz DOUBLE")
+    world = geom.se3(geom.quaternion_to_matrix(*[F.col(c) for c in ("qx", "qy", "qz", "qw")]), [F.col(c) for c in ("tx", "ty", "tz")])
+    sinks.write_camera_trajectory(rows.select("ts", geom.se3_inverse(world).alias("pose")), str(tmp_path / "cam"))
+    for r, q in zip(text.read_poses(spark, str(tmp_path / "cam")).collect(), cases):
+        got = [r["qx"], r["qy"], r["qz"], r["qw"]]
+        assert abs(sum(a * b for a, b in zip(got, q))) == pytest.approx(1, abs=1e-6) and (r["tx"], r["ty"], r["tz"]) == pytest.approx((1, 2, 3), abs=1e-6)
+    sinks.write_map(spark.createDataFrame([(1, 2, 0.5), (-3, 4, 1.0)], "gx BIGINT, gy BIGINT, l DOUBLE"), str(tmp_path / "map"), 0.1)
+    assert '"least_gx": -3' in (tmp_path / "map" / "frame.json").read_text() and spark.read.parquet(str(tmp_path / "map" / "cells")).count() == 2
+    sinks.write_sections(spark.createDataFrame([("a", 1)], "section STRING, calls INT"), str(tmp_path / "sec"))
+    assert spark.read.json(str(tmp_path / "sec" / "json")).first()["calls"] == 1
+    s = sinks.run_summary(spark.createDataFrame([("r", 1, 2.0), ("r", 5, float("nan"))], "run STRING, f INT, v DOUBLE"), "run", "f").first()
+    assert (s["rows"], s["first"], s["last"], s["most_v"]) == (2, 1, 5, 2.0)
+    sinks.write_report("Run", {"Errors": [{"a": 1}], "None": []}, tmp_path / "r.md")
+    assert "## Errors" in (tmp_path / "r.md").read_text() and "No rows." in (tmp_path / "r.md").read_text()
+    poses = spark.createDataFrame([(0.0, 1.0, 2.0, 0.1, 0.9)], "t DOUBLE, x DOUBLE, y DOUBLE, theta DOUBLE, score DOUBLE")
+    sinks.write_with_meta(poses, str(tmp_path / "tr"), {"matcher": "x"})
+    assert (tmp_path / "tr.meta.json").exists() and text.read_full_trajectory(spark, str(tmp_path / "tr")).count() == 1
+    assert config.open_dataset(spark, "lab_run_2:raw", write(tmp_path, "b.log", "FLASER_MIN 3.25 2 1 2\n")).count() == 1
+    with pytest.raises(ValueError):
+        config.open_dataset(spark, "none", "x")

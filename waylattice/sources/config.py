@@ -115,3 +115,14 @@ def dataset_profile(datasets, name: str, variant: str | None = None) -> dict[str
     if not rows:
         raise ValueError(f"unknown dataset {wanted!r}")
     return rows[0].asDict()
+
+
+def open_dataset(spark, name: str, path: str):
+    """Scans of a known kind of dataset, by its name: the reader that belongs to it over ``path``."""
+    from . import text
+
+    readers = {"fr079": lambda: text.read_carmen(spark, path), "intel": lambda: text.read_carmen(spark, path, variant="intel"), "lab_run_2": lambda: text.read_lab_carmen(spark, path)}
+    kind = name.split(":")[0]
+    if kind not in readers:
+        raise ValueError(f"unknown dataset {name!r}; known are {sorted(readers)}")
+    return readers[kind]()

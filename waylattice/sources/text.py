@@ -237,3 +237,80 @@ def best_per_pair(rows: DataFrame, keys: list[str], *ranking: Column) -> DataFra
     """Of several records of a pair the one with the greatest ranking."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(r) for r in ranking]))
     return rows.withColumn("place", place).where("place = 1").drop("place")
+
+
+def read_inserted_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Debug table of a local run to its inserted nodes (scan_idx, node_id, pose): columns 0 scan, 2 to 4 pose, 11 inserted, 19 nodes so far; the first three lines are a header."""
+    lines = _tokens(spark, path).where(F.size("tok") >= 20)
+    out = lines.select(_num(0).cast("bigint").alias("scan_idx"), (_num(19).cast("bigint") - 1).alias("node_id"), _triple(_num(2), _num(3), _num(4)).alias("pose"), _num(11).alias("inserted"))
+    return out.where("inserted = 1 AND scan_idx IS NOT NULL AND node_id IS NOT NULL AND pose IS NOT NULL").drop("inserted")
+
+
+def read_optimised_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """node x y theta lines to (node_id, pose); of a node named twice the last line counts."""
+    out = _tokens(spark, path).where(F.size("tok") >= 4).select(_num(0).cast("bigint").alias("node_id"), _triple(_num(1), _num(2), _num(3)).alias("pose"), "line").where("node_id IS NOT NULL AND pose IS NOT NULL")
+    return out.groupBy("node_id").agg(F.max_by("pose", "line").alias("pose"))
+
+
+def common_samples(scans: DataFrame, inserted: DataFrame, optimised: DataFrame) -> DataFrame:
+    """Scans (scan_idx, ...) that were inserted as nodes and optimised: adds node_id, pose_local and pose_optimised."""
+    nodes = inserted.withColumnRenamed("pose", "pose_local").join(optimised.withColumnRenamed("pose", "pose_optimised"), "node_id")
+    return scans.join(nodes, "scan_idx")
+
+
+def read_full_trajectory(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
+    """t x y theta [score] lines to (t, x, y, theta, score): score 0 where the column is missing, rows of negative score dropped, angles wrapped.
+
+    ``strict`` raises on lines of less than five columns.
+    """
+    lines = _tokens(spark, path)
+    if strict:
+        lines = lines.withColumn("tok", F.when(F.size("tok") < 5, F.raise_error(F.concat(F.lit("trajectory line needs five columns: "), F.col("value")))).otherwise(F.col("tok")))
+    out = lines.where(F.size("tok") >= 4).select("line", *[_num(i).alias(c) for i, c in enumerate(("t", "x", "y", "theta"))], F.coalesce(_num(4), F.lit(0.0)).alias("score"))
+    out = out.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND theta IS NOT NULL AND score >= 0")
+    return out.withColumn("theta", wrap_angle(F.col("theta"))).orderBy("line").drop("line")
+
+
+def read_stamps(spark: SparkSession, path: str) -> DataFrame:
+    """Times, one to a line, with their place in the file: (index, t)."""
+    from ..operators.blocks import ranked
+
+    t = _tokens(spark, path).select("line", _num(0).alias("t"), F.lit(0).alias("all")).where("t IS NOT NULL")
+    return ranked(t, "all", ["line"], "index").select("index", "t")
+
+
+def associate_streams(rgb: DataFrame, depth: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Associations of two stamped lists (ts, path) where no file gives them: nearest in time, one to one, first come first served."""
+    from ..operators.asof import asof_first_come
+
+    one = lambda df, n: df.where("ts IS NOT NULL").groupBy(F.col("ts").alias(f"{n}_ts")).agg(F.min("path").alias(n)).withColumn("all", F.lit(0))
+    a, b = one(rgb, "rgb"), one(depth, "depth")
+    met = asof_first_come(a, b, "all", "rgb_ts", "rgb", "depth_ts", "depth", tolerance=tolerance)
+    return met.select("rgb_ts", "rgb", F.col("match_ts").alias("depth_ts"), F.col("match_id").alias("depth"))
+
+
+def newest(folder: str, pattern: str) -> str | None:
+    """The file of a folder that was written last, of those that fit a pattern; of equally old ones the last by name."""
+    from pathlib import Path
+
+    files = sorted(Path(folder).glob(pattern), key=lambda p: (p.stat().st_mtime, p.name))
+    return str(files[-1]) if files else None
+
+
+LOG_TABLES = {
+    "oracle": {"current_kf_id": "int", "candidate_kf_id": "int", "accepted": "bool", "rejection_stage": "string", "rejection_reason": "string", "candidate_source": "string", "bow_score": "float", "common_words": "int", "seed_inliers": "int", "refined_inliers": "int", "guided_projection_matches": "int", "final_matched_map_points": "int"},
+    "profile": {"current_kf_id": "int", "num_raw_dbow_candidates": "int", "num_raw_inverted_candidates": "int", "num_candidates_after_temporal_filter": "int", "num_candidates_after_min_score": "int", "top_candidate_id": "int", "top_candidate_score": "float"},
+    "source": {"current_kf_id": "int", "candidate_source": "string", "dbow3_candidates": "ints", "inverted_candidates": "ints", "chosen_candidates": "ints"},
+    "density": {"current_kf_id": "int", "candidate_kf_id": "int", "candidate_group_size": "int", "current_local_map_points": "int", "candidate_local_map_points": "int", "final_matched_map_points": "int"},
+}
+
+
+def read_log_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the loop logs (LOG_TABLES), each key once: by pair_key the accepted record of most matches, by keyframe the last line."""
+    rows = read_typed_csv(spark, path, LOG_TABLES[kind]).where("current_kf_id IS NOT NULL")
+    if kind in ("oracle", "density"):
+        pair = F.concat_ws("-", F.least("current_kf_id", "candidate_kf_id").cast("string"), F.greatest("current_kf_id", "candidate_kf_id").cast("string"))
+        keyed = rows.where("candidate_kf_id IS NOT NULL").withColumn("pair_key", pair)
+        first = F.col("accepted").cast("int") if kind == "oracle" else F.lit(0)
+        return best_per_pair(keyed, ["pair_key"], first, F.col("final_matched_map_points"), F.monotonically_increasing_id())
+    return best_per_pair(rows, ["current_kf_id"], F.monotonically_increasing_id())
