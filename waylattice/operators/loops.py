@@ -165,3 +165,18 @@ def compare_sources(df: DataFrame, by: str, candidate: str, first: Column, secon
     a, b = (F.coalesce(F.col(c), F.lit(False)) for c in "ab")
     n = {"first": a, "second": b, "both": a | b, "shared": a & b, "only_first": a & ~b, "only_second": b & ~a}
     return once.groupBy(by).agg(*[F.count_if(c).cast("int").alias(k) for k, c in n.items()])
+
+
+def manage_loops(candidates: DataFrame, closed: DataFrame, *, least: float, metres: float, per_node: int) -> DataFrame:
+    """Status of loop candidates (node, target, score, residual): each pair once, pairs ``closed`` already left out, then score, residual, and the best ``per_node`` of each node.
+
+    Of a pair proposed several times the best score counts.
+    """
+    once = candidates.groupBy("node", "target").agg(F.max(F.struct("score", "residual")).alias("m")).select("node", "target", "m.score", "m.residual")
+    fresh = once.join(closed.select("node", "target").distinct(), ["node", "target"], "left_anti")
+    low, far = ~F.coalesce(F.col("score") >= least, F.lit(False)), ~F.coalesce(F.col("residual") <= metres, F.lit(False))
+    gated = fresh.withColumn("gate", F.when(low, "rejected_score").when(far, "rejected_residual").otherwise("accepted"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "target"))
+    good = gated.where("gate = 'accepted'").withColumn("place", place)
+    status = F.when(F.col("place") <= per_node, "accepted").otherwise("accepted_limit")
+    return gated.where("gate <> 'accepted'").withColumnRenamed("gate", "status").unionByName(good.withColumn("status", status).drop("gate", "place"))

@@ -313,3 +313,24 @@ def depth_lookup(pixels: Column, u: Column, factor: float = 1.0, most: float | N
     z = F.when((i >= 0) & (i < F.size(pixels)), F.try_element_at(pixels, i + 1) / factor)
     ok = (z > 0) & ~F.isnan(z)
     return F.when(ok if most is None else ok & (z <= most), z)
+
+
+def fuse_signed_distance(points: DataFrame, by: list[str], resolution: float, truncation: float, pose: str = "odom") -> DataFrame:
+    """Truncated signed distance to the surface, averaged per cell: each ray marks the cells within ``truncation`` before (positive) and behind its end.
+
+    ``points``: by, x, y in the scan's own frame, and its pose. Returns (by, gx, gy, sdf, weight), sdf in shares of the truncation.
+    """
+    n = round(truncation / resolution)
+    r = F.hypot("x", "y")
+    along = points.where(r > 0).withColumn("k", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("_f", (r + F.col("k") * resolution) / r).where("_f > 0")
+    wx, wy = geom.se2_apply(F.col(pose), F.col("x") * F.col("_f"), F.col("y") * F.col("_f"))
+    at = along.where(F.col(f"{pose}.x").isNotNull() & F.col(f"{pose}.y").isNotNull() & F.col(f"{pose}.theta").isNotNull()).select(*by, geom.cell(wx, resolution).alias("gx"), geom.cell(wy, resolution).alias("gy"), (-F.col("k") / float(n)).alias("d"))
+    return at.groupBy(*by, "gx", "gy").agg(F.avg("d").alias("sdf"), F.count("*").alias("weight"))
+
+
+def clean_surface(field: DataFrame, by: list[str], level: float, least: int) -> DataFrame:
+    """Surface cells of a distance field: |sdf| under ``level``, seen ``least`` times, with another such cell among the eight around."""
+    hit = field.where((F.abs("sdf") < level) & (F.col("weight") >= least))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    near = hit.select(*by, "gx", "gy", around.alias("o")).select(*by, (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy")).distinct()
+    return hit.join(near, [*by, "gx", "gy"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,53 @@ def best_cells(scores: DataFrame) -> DataFrame:
     small = F.abs("turn") + F.abs("di") + F.abs("dj")
     rank = F.struct("score", (-small).alias("near"), (-F.col("turn")).alias("a"), (-F.col("di")).alias("b"), (-F.col("dj")).alias("c"))
     return scores.groupBy("scan_id").agg(F.max_by(F.struct("turn", "di", "dj", "n", "score"), rank).alias("m")).select("scan_id", "m.*")
+
+
+MATCH = "scan_id BIGINT, x DOUBLE, y DOUBLE, theta DOUBLE, score DOUBLE"
+
+
+def match_scans(scans: DataFrame, occupancy: DataFrame, by: list[str], resolution: float, *, method: str = "refine", reach: float = 1.0, turn: float = 0.04, turn_step: float = 0.02, pose: str = "odom") -> DataFrame:
+    """Pose of every scan on its map: by Gauss-Newton from the pose given ('refine') or by branch and bound over a window around it ('search').
+
+    ``scans``: points in the scan's own frame (scan_id, by, x, y) and the pose;
+    ``occupancy``: by, gx, gy, l. A scan meets the cells within ``reach`` of its
+    points only, so a task holds one scan and its patch of the map, both bounded
+    by the beams of a scan. Unknown cells have even odds. Scans off the map come
+    out with their own pose and the score it has there.
+
+    Returns (scan_id, x, y, theta, score), score being the mean probability under the points.
+    """
+    from . import solvers
+
+    if method not in ("refine", "search"):
+        raise ValueError("method is 'refine' or 'search'")
+    near = int(-(-reach // resolution)) + 1
+    wx, wy = geom.se2_apply(F.col(pose), F.col("x"), F.col("y"))
+    known = scans.where(F.col(f"{pose}.x").isNotNull() & F.col(f"{pose}.y").isNotNull() & F.col(f"{pose}.theta").isNotNull())
+    cells = known.select("scan_id", *by, geom.cell(wx, resolution).alias("gx"), geom.cell(wy, resolution).alias("gy")).distinct()
+    for c in ("gx", "gy"):
+        cells = cells.withColumn(c, F.explode(F.sequence(F.col(c) - near, F.col(c) + near))).distinct()
+    patch = cells.join(occupancy.select(*by, "gx", "gy", geom.probability(F.col("l")).alias("p")), [*by, "gx", "gy"]).select(F.col("scan_id").alias("of"), "gx", "gy", "p")  # a name of its own: the map is made from the scans
+    points = known.select("scan_id", "x", "y", *[F.col(f"{pose}.{c}").alias(f"p{c}") for c in ("x", "y", "theta")])
+
+    def run(mine: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame(columns=["scan_id", "x", "y", "theta", "score"])
+        at = mine[["px", "py", "ptheta"]].iloc[0].to_numpy(float)
+        xy = mine[["x", "y"]].to_numpy(float)
+        found, score = at, 0.5
+        if len(cells):
+            gx, gy = cells.gx.to_numpy(), cells.gy.to_numpy()
+            x0, y0 = gx.min() - 2, gy.min() - 2
+            grid = np.full((gy.max() - y0 + 3, gx.max() - x0 + 3), 0.5)
+            grid[gy - y0, gx - x0] = cells.p.to_numpy()
+            origin = (x0 * resolution, y0 * resolution)
+            if method == "refine":
+                # the value of a cell stands at its centre
+                found, score = solvers.refine_pose(grid, (origin[0] + resolution / 2, origin[1] + resolution / 2), resolution, xy, at)
+            else:
+                best = solvers.branch_and_bound(grid, origin, resolution, xy, at, reach=reach, turn=turn, turn_step=turn_step, depth=2)
+                found, score = best if best is not None else (at, 0.0)
+        return pd.DataFrame({"scan_id": [mine.scan_id.iloc[0]], "x": [found[0]], "y": [found[1]], "theta": [found[2]], "score": [score]})
+
+    return points.groupBy("scan_id").cogroup(patch.groupBy("of")).applyInPandas(run, MATCH)

@@ -234,3 +234,55 @@ def walk_to_kept(frames: DataFrame, parents: DataFrame, culled: DataFrame, hops:
     for x in done[1:]:
         out = out.unionByName(x.select("frame", "kf", "rel", "hops"))
     return out
+
+
+def extrapolate(
+    rows: DataFrame, by: str, order: list[str], *, seconds: float = 1.5, cap: float = 0.5, blend: float = 0.0, gyro: str | None = None, yaw: str | None = None, alpha: float = 0.0,
+    most_speed: float = 1e9, most_turn: float = 1e9,
+) -> DataFrame:
+    """Adds ``predicted``: each pose as foreseen from the rows before it; null for the first.
+
+    ``rows``: by, t, pose and odom (planar structs, odom may be null). The velocity
+    is that of the last ``seconds`` up to the row before (0 if no time lies between
+    them), that of the odometry having the share ``blend`` where it is known,
+    clipped to ``most_speed`` and ``most_turn``; the step is at most ``cap`` seconds
+    long. With ``gyro`` the turn rate of the row before is used instead; with
+    ``yaw`` the heading goes the share ``alpha`` of the way to that absolute
+    heading, whose offset is that of the entity's first row with one.
+    """
+    flat = rows.withColumns({**{f"_p{c}": F.col(f"pose.{f}") for c, f in (("x", "x"), ("y", "y"), ("h", "theta"))}, **{f"_o{c}": F.col(f"odom.{f}") for c, f in (("x", "x"), ("y", "y"), ("h", "theta"))}})
+    cell = lambda c: F.floor(c / F.lit(512.0))
+    t = F.col("t")
+    chunked = flat.withColumn("_chunk", F.explode(F.sequence(cell(t), cell(t + F.lit(float(seconds)))))).withColumn("_mine", F.col("_chunk") == cell(t))
+    frame = f"OVER (PARTITION BY `{by}`, _chunk ORDER BY t RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW)"
+    rate = {}
+    for s in "po":
+        known = f"CASE WHEN _{s}x IS NOT NULL AND _{s}y IS NOT NULL AND _{s}h IS NOT NULL THEN struct(t, _{s}x AS x, _{s}y AS y, _{s}h AS h) END"
+        first, last = f"min({known}) {frame}", f"max({known}) {frame}"
+        rate |= {f"_{s}a": F.expr(first), f"_{s}b": F.expr(last)}
+    seen = chunked.withColumns(rate).where("_mine").drop("_chunk", "_mine")
+
+    def velocity_of(s: str, c: str) -> Column:
+        dt = F.col(f"_{s}b.t") - F.col(f"_{s}a.t")
+        d = F.col(f"_{s}b.{c}") - F.col(f"_{s}a.{c}")
+        return F.when(dt > 0, (geom.wrap_angle(d) if c == "h" else d) / dt)
+
+    speed = {}
+    for c, most in (("x", most_speed), ("y", most_speed), ("h", most_turn)):
+        own_v, odom_v = F.coalesce(velocity_of("p", c), F.lit(0.0)), velocity_of("o", c)
+        v = F.when(odom_v.isNotNull(), (1 - blend) * own_v + blend * odom_v).otherwise(own_v) if blend else own_v
+        if c == "h" and gyro is not None:
+            v = F.coalesce(F.col(gyro), v)
+        speed[f"_v{c}"] = F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), v))
+    held = seen.withColumns(speed).withColumn("_last", F.struct("t", F.col("_px").alias("x"), F.col("_py").alias("y"), F.col("_ph").alias("h"), "_vx", "_vy", "_vh"))
+    w = window(by)
+    met = own(in_blocks(held, by, order, before=1).withColumn("_was", F.lag("_last").over(w)))
+    dt = F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), t - F.col("_was.t")))
+    heading = geom.wrap_angle(F.col("_was.h") + F.col("_was._vh") * dt)
+    if yaw is not None and alpha > 0:
+        first = rows.where(F.col(yaw).isNotNull() & F.col("pose.theta").isNotNull()).groupBy(by).agg(F.min_by(F.col("pose.theta") - F.col(yaw), F.struct(*order)).alias("_offset"))
+        met = met.join(first, by, "left")
+        aim = geom.wrap_angle(F.col(yaw) + F.col("_offset"))
+        heading = F.coalesce(geom.wrap_angle(heading + alpha * geom.wrap_angle(aim - heading)), heading)
+    predicted = F.when(F.col("_was.x").isNotNull(), geom.se2(F.col("_was.x") + F.col("_was._vx") * dt, F.col("_was.y") + F.col("_was._vy") * dt, heading))
+    return met.select(*rows.columns, predicted.alias("predicted"))

@@ -548,3 +548,188 @@ def finite_poses(spark: SparkSession, d: str) -> DataFrame:
     for c in ("tx", "ty", "tz"):
         ok = ok & geom.finite(F.col(c))
     return table(spark, d, "est_poses").where("pose_id IS NOT NULL").select("pose_id", "tx", "ty", "tz").distinct().select("pose_id", ok.alias("finite"))
+
+
+@query(f"""WITH {_POINTS}, r AS (SELECT sensor_id, odom, x, y, sqrt(x * x + y * y) AS r, k FROM pts, (SELECT unnest(generate_series(-3, 3)) AS k) WHERE odom.x IS NOT NULL AND odom.y IS NOT NULL AND odom.theta IS NOT NULL),
+f AS (SELECT *, (r + k * 0.1) / r AS f FROM r WHERE r > 0), c AS (SELECT sensor_id, {_cell('odom.x + cos(odom.theta) * (x * f) - sin(odom.theta) * (y * f)', 0.1)} AS gx, {_cell('odom.y + sin(odom.theta) * (x * f) + cos(odom.theta) * (y * f)', 0.1)} AS gy, -k / 3.0::DOUBLE AS d FROM f WHERE f > 0),
+t AS (SELECT sensor_id, gx, gy, avg(d) AS sdf, count(*) AS weight FROM c GROUP BY 1, 2, 3), h AS (SELECT * FROM t WHERE abs(sdf) < 0.39 AND weight >= 3)
+SELECT sensor_id, gx, gy, round(sdf, 6) AS sdf, weight FROM h WHERE EXISTS (SELECT 1 FROM h o WHERE o.sensor_id = h.sensor_id AND o.gx BETWEEN h.gx - 1 AND h.gx + 1 AND o.gy BETWEEN h.gy - 1 AND h.gy + 1 AND (o.gx <> h.gx OR o.gy <> h.gy))""")
+def fused_surface(spark: SparkSession, d: str) -> DataFrame:
+    """Surface of the truncated signed distances of all scans, without lone cells."""
+    field = maps.fuse_signed_distance(mq._points(spark, d), ["sensor_id"], 0.1, 0.3)
+    return _rounded(maps.clean_surface(field, ["sensor_id"], 0.39, 3))
+
+
+@query(f"""WITH {_SUBMAPS}, f AS (SELECT submap, min(node) AS first FROM members GROUP BY 1), dist AS (SELECT node, submap, scans, first, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS distance FROM nodes, subs JOIN f USING (submap)),
+fresh AS (SELECT * FROM dist m WHERE distance <= 1.5 AND NOT EXISTS (SELECT 1 FROM members b WHERE b.node = m.node AND b.submap = m.submap)),
+one AS (SELECT node, submap, distance FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, submap) AS place FROM fresh WHERE scans = 200 AND submap <= (SELECT max(submap) FROM subs) - 1) WHERE place <= 4),
+two AS (SELECT submap, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY submap ORDER BY distance, node) - 1 AS place FROM fresh WHERE node <= first - 50) WHERE place % 3 = 0 AND place / 3 < 100),
+u AS (SELECT DISTINCT node, submap AS target, exp(-distance) AS score, distance AS residual FROM (SELECT node, submap, distance FROM one UNION ALL SELECT node, submap, distance FROM two)),
+g AS (SELECT *, CASE WHEN score < 0.4 THEN 'rejected_score' WHEN residual > 0.8 THEN 'rejected_residual' ELSE 'accepted' END AS gate FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY node, gate ORDER BY score DESC, target) AS place FROM g)
+SELECT node, target, CASE WHEN gate = 'accepted' AND place > 1 THEN 'accepted_limit' ELSE gate END AS status FROM k""")
+def loop_manager(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of new nodes and of finished submaps together, with what becomes of each; nearness stands in for the score."""
+    nodes, subs, members = _submaps(spark, d)
+    one = keyframes.targets_of_nodes(nodes, subs, members, radius=1.5)
+    two = keyframes.nodes_of_targets(subs.select("submap", "x", "y"), nodes, members, radius=1.5, separation=50, stride=3, cap=100)
+    from ..operators import loops
+
+    both = one.select("node", F.col("submap").alias("target"), "distance").unionByName(two.select("node", F.col("submap").alias("target"), "distance"))
+    scored = both.select("node", "target", F.exp(-F.col("distance")).alias("score"), F.col("distance").alias("residual"))
+    return loops.manage_loops(scored, members.withColumnRenamed("submap", "target"), least=0.4, metres=0.8, per_node=1).select("node", "target", "status")
+
+
+@query(f"""WITH s AS (SELECT DISTINCT ON (scan_id) scan_id, sensor_id, t, odom.x AS ox, odom.y AS oy, odom.theta AS oh, laser_pose.x AS px, laser_pose.y AS py, laser_pose.theta AS ph FROM scans
+  WHERE scan_id IS NOT NULL AND sensor_id IS NOT NULL AND t IS NOT NULL AND len(ranges) > 0 AND {_GOOD}),
+w AS (SELECT *, min({{'t': t, 'x': px, 'y': py, 'h': ph}}) OVER w AS a, max({{'t': t, 'x': px, 'y': py, 'h': ph}}) OVER w AS b, min({{'t': t, 'x': ox, 'y': oy, 'h': oh}}) OVER w AS c, max({{'t': t, 'x': ox, 'y': oy, 'h': oh}}) OVER w AS d
+  FROM s WINDOW w AS (PARTITION BY sensor_id ORDER BY t RANGE BETWEEN 1.5 PRECEDING AND CURRENT ROW)),
+v AS (SELECT scan_id, sensor_id, t, px, py, ph, oh, CASE WHEN b.t > a.t THEN 0.5 * (b.x - a.x) / (b.t - a.t) + 0.5 * (d.x - c.x) / (d.t - c.t) ELSE 0 END AS vx, CASE WHEN b.t > a.t THEN 0.5 * (b.y - a.y) / (b.t - a.t) + 0.5 * (d.y - c.y) / (d.t - c.t) ELSE 0 END AS vy,
+  CASE WHEN b.t > a.t THEN 0.5 * {_WRAP.format('b.h - a.h')} / (b.t - a.t) + 0.5 * {_WRAP.format('d.h - c.h')} / (d.t - c.t) ELSE 0 END AS vh FROM w),
+l AS (SELECT *, lag(px) OVER o AS x0, lag(py) OVER o AS y0, lag(ph) OVER o AS h0, lag(vx) OVER o AS vx0, lag(vy) OVER o AS vy0, lag(vh) OVER o AS vh0, greatest(0, least(0.5, t - lag(t) OVER o)) AS dt, first_value(ph - oh) OVER o AS off FROM v WINDOW o AS (PARTITION BY sensor_id ORDER BY t, scan_id)),
+p AS (SELECT *, h0 + vh0 * dt AS h1 FROM l)
+SELECT scan_id, round(x0 + vx0 * dt, 6) AS x, round(y0 + vy0 * dt, 6) AS y, round(cos(h1 + 0.1 * {_WRAP.format('oh + off - h1')}), 6) AS heading_cos FROM p""")
+def extrapolated_poses(spark: SparkSession, d: str) -> DataFrame:
+    """Each scan's pose foreseen from the last 1.5 s: half from odometry, the heading drawn to that of the odometry."""
+    s = views.scans(spark, d).where(_GOOD).select("scan_id", "sensor_id", "t", F.col("laser_pose").alias("pose"), "odom", F.col("odom.theta").alias("yaw"))
+    out = trajectory.extrapolate(s, "sensor_id", ["t", "scan_id"], blend=0.5, yaw="yaw", alpha=0.1)
+    return out.select("scan_id", F.round("predicted.x", 6).alias("x"), F.round("predicted.y", 6).alias("y"), F.round(F.cos("predicted.theta"), 6).alias("heading_cos"))
+
+
+# Least squares of views, block by block of the matched poses
+
+
+def _blocks(spark: SparkSession, d: str, size: int) -> DataFrame:
+    m = ranked(views.matched(spark, d), "sequence_id", ["ts", "pose_id"], "place")
+    return m.withColumn("block", F.expr(f"place div {size}"))
+
+
+def _xyz(rows, prefix: str):
+    return rows.sort_values("place")[[f"{prefix}_t{c}" for c in "xyz"]].to_numpy(float)
+
+
+_VIEW = (500.0, 500.0, 320.0, 240.0)
+
+
+def _pixels(xyz):
+    import numpy as np
+
+    z = np.maximum(xyz[:, 2] + 3, 1e-3)
+    return np.stack([_VIEW[0] * xyz[:, 0] / z + _VIEW[2], _VIEW[1] * xyz[:, 1] / z + _VIEW[3]], axis=1)
+
+
+@query()
+def sim3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity that takes each block of estimated poses to the ground truth, robustly: scale and inliers."""
+    from ..operators import vision
+
+    def kernel(rows):
+        _, _, s, inside = vision.sim3_ransac(_xyz(rows, "e"), _xyz(rows, "g"), 0.1)
+        return {"pairs": len(rows), "inliers": int(inside.sum()), "scale": s}
+
+    return vision.solve_groups(_blocks(spark, d, 256), ["sequence_id", "block"], kernel, "pairs INT, inliers INT, scale DOUBLE")
+
+
+@query()
+def homography_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Homography between the images of both trajectories per block: inliers."""
+    from ..operators import vision
+
+    def kernel(rows):
+        h, inside = vision.homography_ransac(_pixels(_xyz(rows, "e")), _pixels(_xyz(rows, "g")), 10.0)
+        return {"pairs": len(rows), "inliers": int(inside.sum()), "h": h.ravel().tolist()}
+
+    return vision.solve_groups(_blocks(spark, d, 256), ["sequence_id", "block"], kernel, "pairs INT, inliers INT, h ARRAY<DOUBLE>")
+
+
+@query()
+def essential_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Epipolar geometry between the images of both trajectories per block: inliers and turn."""
+    import numpy as np
+
+    from ..operators import vision
+
+    k = np.array([[_VIEW[0], 0, _VIEW[2]], [0, _VIEW[1], _VIEW[3]], [0, 0, 1.0]])
+
+    def kernel(rows):
+        _, r, _, inside = vision.essential_ransac(_pixels(_xyz(rows, "e")), _pixels(_xyz(rows, "g")), k, 3.0)
+        return {"pairs": len(rows), "inliers": int(inside.sum()), "turn_deg": float(np.degrees(np.linalg.norm(vision.rotation_vector(r))))}
+
+    return vision.solve_groups(_blocks(spark, d, 256), ["sequence_id", "block"], kernel, "pairs INT, inliers INT, turn_deg DOUBLE")
+
+
+@query()
+def motion_only_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Camera pose that explains the estimated positions' pixels by the true points, per block."""
+    import numpy as np
+
+    from ..operators import vision
+
+    def kernel(rows):
+        points = _xyz(rows, "g") + [0, 0, 3.0]
+        r, t, inside = vision.motion_only(np.eye(3), np.zeros(3), points, _pixels(_xyz(rows, "e")), _VIEW, np.full(len(rows), 25.0))
+        return {"pairs": len(rows), "inliers": int(inside.sum()), "shift": float(np.linalg.norm(t)), "turn_deg": float(np.degrees(np.linalg.norm(vision.rotation_vector(r))))}
+
+    return vision.solve_groups(_blocks(spark, d, 256), ["sequence_id", "block"], kernel, "pairs INT, inliers INT, shift DOUBLE, turn_deg DOUBLE")
+
+
+@query()
+def bundle_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Local bundles: four cameras beside each other see a block's true points; their positions start a little off."""
+    import numpy as np
+
+    from ..operators import vision
+
+    def kernel(rows):
+        points = _xyz(rows, "g") + [0, 0, 3.0]
+        m, n = len(points), 4
+        rs, ts = np.stack([np.eye(3)] * n), np.stack([np.array([0.1 * k, 0.02 * k, 0.0]) for k in range(n)])
+        cam_of, point_of = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        pixels = np.concatenate([vision._project(r, t, points, _VIEW)[0] for r, t in zip(rs, ts)])
+        start = ts + np.r_[np.zeros((2, 3)), np.full((n - 2, 3), 0.01)]
+        _, found, _, inside = vision.bundle_adjust(rs, start, points, cam_of, point_of, pixels, _VIEW, fixed=2)
+        return {"points": m, "observations": len(pixels), "inliers": int(inside.sum()), "off": float(np.abs(found - ts).max())}
+
+    return vision.solve_groups(_blocks(spark, d, 64), ["sequence_id", "block"], kernel, "points INT, observations INT, inliers INT, off DOUBLE")
+
+
+@query()
+def spatial_graph_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Essential graph of each block of poses: estimated poses as they are, true relations between neighbours as edges; error before and after."""
+    import numpy as np
+
+    from ..operators import vision
+
+    def turned(q):
+        x, y, z, w = q / max(np.linalg.norm(q), 1e-12)
+        return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+
+    def kernel(rows):
+        rows = rows.sort_values("place")
+        e, g = ((np.stack([turned(q) for q in rows[[f"{s}_q{c}" for c in "xyzw"]].to_numpy(float)]), rows[[f"{s}_t{c}" for c in "xyz"]].to_numpy(float)) for s in "eg")
+        n = len(rows)
+        i = np.r_[np.arange(n - 1), np.arange(max(n - 2, 0))]
+        j = np.r_[np.arange(1, n), np.arange(2, max(n, 2))]
+        zr = np.stack([g[0][a].T @ g[0][b] for a, b in zip(i, j)]) if len(i) else np.empty((0, 3, 3))
+        zt = np.stack([g[0][a].T @ (g[1][b] - g[1][a]) for a, b in zip(i, j)]) if len(i) else np.empty((0, 3))
+        error = lambda rs, ts: float(np.sqrt(np.mean([np.sum((rs[a].T @ (ts[b] - ts[a]) - t) ** 2) for a, b, t in zip(i, j, zt)]))) if len(i) else 0.0
+        rs, ts = vision.spatial_graph(*e, i, j, zr, zt, np.ones(len(i)))
+        return {"poses": n, "edges": len(i), "before": error(*e), "after": error(rs, ts)}
+
+    return vision.solve_groups(_blocks(spark, d, 24), ["sequence_id", "block"], kernel, "poses INT, edges INT, before DOUBLE, after DOUBLE")
+
+
+@query()
+def scan_refinement(spark: SparkSession, d: str) -> DataFrame:
+    """Pose of every scan refined on its sensor's map."""
+    from ..operators import matching
+
+    return matching.match_scans(mq._points(spark, d), mq._occupancy(spark, d), ["sensor_id"], _SIZE)
+
+
+@query()
+def scan_search(spark: SparkSession, d: str) -> DataFrame:
+    """Pose of every scan by branch and bound on its sensor's map, half a metre around."""
+    from ..operators import matching
+
+    return matching.match_scans(mq._points(spark, d), mq._occupancy(spark, d), ["sensor_id"], _SIZE, method="search", reach=0.5)
