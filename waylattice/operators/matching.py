@@ -40,11 +40,24 @@ def best_cells(scores: DataFrame) -> DataFrame:
     return scores.groupBy("scan_id").agg(F.max_by(F.struct("turn", "di", "dj", "n", "score"), rank).alias("m")).select("scan_id", "m.*")
 
 
+#: Levels of the pyramid on which a pose is refined.
+LEVELS = 3
+
+
+def pooled(grid: np.ndarray, size: int) -> np.ndarray:
+    """Greatest value of each ``size`` by ``size`` block; the grid is padded with even odds."""
+    if size == 1:
+        return grid
+    h, w = (-(-n // size) * size for n in grid.shape)
+    wide = np.pad(grid, ((0, h - grid.shape[0]), (0, w - grid.shape[1])), constant_values=0.5)
+    return wide.reshape(h // size, size, w // size, size).max(axis=(1, 3))
+
+
 MATCH = "scan_id BIGINT, x DOUBLE, y DOUBLE, theta DOUBLE, score DOUBLE"
 
 
 def match_scans(scans: DataFrame, occupancy: DataFrame, by: list[str], resolution: float, *, method: str = "refine", reach: float = 1.0, turn: float = 0.04, turn_step: float = 0.02, pose: str = "odom") -> DataFrame:
-    """Pose of every scan on its map: by Gauss-Newton from the pose given ('refine') or by branch and bound over a window around it ('search').
+    """Pose of every scan on its map: by Gauss-Newton on a pyramid from the pose given ('refine') or by branch and bound over a window around it ('search').
 
     ``scans``: points in the scan's own frame (scan_id, by, x, y) and the pose;
     ``occupancy``: by, gx, gy, l. A scan meets the cells within ``reach`` of its
@@ -80,8 +93,10 @@ def match_scans(scans: DataFrame, occupancy: DataFrame, by: list[str], resolutio
             grid[gy - y0, gx - x0] = cells.p.to_numpy()
             origin = (x0 * resolution, y0 * resolution)
             if method == "refine":
-                # the value of a cell stands at its centre
-                found, score = solvers.refine_pose(grid, (origin[0] + resolution / 2, origin[1] + resolution / 2), resolution, xy, at)
+                # coarse levels first; the value of a cell stands at its centre
+                for level in (LEVELS - 1, *range(LEVELS - 2, -1, -1)):
+                    size = resolution * 2**level
+                    found, score = solvers.refine_pose(pooled(grid, 2**level), (origin[0] + size / 2, origin[1] + size / 2), size, xy, found)
             else:
                 best = solvers.branch_and_bound(grid, origin, resolution, xy, at, reach=reach, turn=turn, turn_step=turn_step, depth=2)
                 found, score = best if best is not None else (at, 0.0)
