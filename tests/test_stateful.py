@@ -2,6 +2,8 @@ import math
 import random
 from types import SimpleNamespace as Row
 
+from pyspark.sql import functions as F
+
 from waylattice.streaming import stateful as st
 
 random.seed(2)
@@ -137,3 +139,42 @@ def test_consistency_groups_brute(spark, tmp_path):
         queries = [[(c, range(max(0, c - 5), c + 6)) for _, c in sorted((-v, c) for q, c, at, v in rows if q == k and at == s and v >= 0.3)] for k in asked]
         want += [(s, k, c) for k, (passed, _, _) in zip(asked, brute(queries)) for c in passed]
     assert got == sorted(want) and len(want) == 60
+
+
+def test_runs_pass_like_whole_entities(spark, monkeypatch):
+    """Cut where the state is forgotten, steps answer as they do over the whole entity; blocks are made small so that runs reach over them."""
+    import random
+
+    from waylattice.operators import blocks
+    from waylattice.streaming import stateful as st
+
+    monkeypatch.setattr(blocks.in_blocks, "__kwdefaults__", {"before": 0, "after": 0, "size": 16})
+    r, rows = random.Random(4), []
+    for e, n in (("a", 400), ("b", 30), ("c", 1)):
+        x = y = h = t = 0.0
+        for i in range(n):
+            t += r.choice([0.1, 0.5, 3.0]) if r.random() < 0.9 else 0.0
+            x, y, h = x + r.choice([0.01, 0.05, 0.5]), y + r.choice([-0.02, 0.0, 0.02]), h + r.choice([0.0, 0.01, 0.3])
+            rows.append((e, i, t, x, y, h))
+    df = spark.createDataFrame(rows, "e STRING, id INT, t DOUBLE, x DOUBLE, y DOUBLE, theta DOUBLE")
+    for make, begins in ((lambda: st.MotionFilter(0.2, 0.1, 2.0), st.motion_runs(2.0, "e")), (lambda: st.Debounce(0.2, 0.1), st.debounce_runs(0.2, 0.1, "e"))):
+        name = make().ADDS.split()[0]
+        one = {(x["e"], x["id"]): x[name] for x in st.in_order(df, "e", ["t", "id"], make).collect()}
+        two = {(x["e"], x["id"]): x[name] for x in st.in_runs(df, "e", ["t", "id"], begins, make).collect()}
+        assert one == two and len(one) == len(rows)
+    log = [("s", q, c, -r.random(), True) for q in range(80) if r.random() < 0.7 for c in r.sample(range(q + 1), min(q + 1, 4))]
+    log += [("s", q, -1, 0.0, False) for q in set(range(80)) - {x[1] for x in log}]
+    log = spark.createDataFrame(log, "source STRING, query BIGINT, candidate BIGINT, worse DOUBLE, found BOOLEAN")
+    order, after = ["query", "worse", "candidate"], ~F.lag("found").over(blocks.window("source"))
+    whole, cut_up = ({(x["query"], x["candidate"]) for x in f.where("passed").collect()} for f in (st.in_order(log, "source", order, st.CandidateConsistency), st.in_runs(log, "source", order, after, st.CandidateConsistency)))
+    assert whole == cut_up and whole
+
+
+def test_submaps_by_place(spark):
+    from waylattice.streaming import stateful as st
+
+    for size in (2, 3, 5, 8):
+        step, n = st.Submaps(size), 12 * size + 3
+        want = [step.advance(None)[0] for _ in range(n)]
+        got = [x["m"] for x in spark.range(n).select("id", st.submaps_of(F.col("id"), size).alias("m")).orderBy("id").collect()]
+        assert got == want, size

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -47,3 +47,19 @@ def window(by: str) -> WindowSpec:
 def own(df: DataFrame) -> DataFrame:
     """The blocks' own rows, without what ``in_blocks`` added."""
     return df.where("_own").drop("_rank", "_block", "_own")
+
+
+def runs(df: DataFrame, by: str, order: list[str], begins: Column, name: str = "run") -> DataFrame:
+    """Adds the place of the first row of each row's run: a run begins with its group and wherever ``begins`` holds.
+
+    ``begins`` may look one row back, by ``F.lag`` over ``window(by)``. Runs may
+    reach over any number of blocks: of each block only the last beginning is carried on.
+    """
+    cut_up = in_blocks(df, by, order, before=1)
+    cut_up = cut_up.withColumn("_start", F.when((F.col("_rank") == 0) | F.coalesce(begins, F.lit(False)), F.col("_rank"))).where("_own")
+    ends = cut_up.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_at")).agg(F.max("_start").alias("_last"))
+    earlier = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    ends = ends.select("_by", "_at", F.max("_last").over(earlier).alias("_carried"))
+    here = F.max("_start").over(window(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = cut_up.withColumn("_here", here).join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at")))
+    return named.select(*df.columns, F.coalesce("_here", "_carried").alias(name))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..operators import solvers
-from ..operators.blocks import in_blocks, own, window
+from ..operators.blocks import in_blocks, own, ranked, window
+from ..operators.trajectory import extrapolate
 from ..streaming import stateful
 from . import views
 from .trajectory_queries import _rounded
@@ -36,28 +37,36 @@ def _planar(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def motion_filter(spark: SparkSession, d: str) -> DataFrame:
     """Poses that a motion filter keeps."""
-    out = stateful.in_order(_planar(spark, d), "sequence_id", ["t", "pose_id"], lambda: stateful.MotionFilter(0.2, math.radians(5), 2.0))
+    out = stateful.in_runs(_planar(spark, d), "sequence_id", ["t", "pose_id"], stateful.motion_runs(2.0, "sequence_id"), lambda: stateful.MotionFilter(0.2, math.radians(5), 2.0))
     return out.where("keep").select("sequence_id", "pose_id")
 
 
 @query()
 def debounce_filter(spark: SparkSession, d: str) -> DataFrame:
-    out = stateful.in_order(_planar(spark, d), "sequence_id", ["t", "pose_id"], lambda: stateful.Debounce(0.2, math.radians(5)))
+    """Poses that a debounce filter lets through."""
+    out = stateful.in_runs(_planar(spark, d), "sequence_id", ["t", "pose_id"], stateful.debounce_runs(0.2, math.radians(5), "sequence_id"), lambda: stateful.Debounce(0.2, math.radians(5)))
     return out.where("NOT similar").select("sequence_id", "pose_id")
 
 
-@query()
+@query("""WITH w AS (SELECT sequence_id, pose_id, ts, tx, ty, ts - min(ts) OVER w AS span, tx - first_value(tx) OVER w AS dx, ty - first_value(ty) OVER w AS dy FROM v_gt WINDOW w AS (PARTITION BY sequence_id ORDER BY ts RANGE BETWEEN 1.5 PRECEDING AND CURRENT ROW)),
+v AS (SELECT sequence_id, ts, tx, ty, CASE WHEN span > 0 THEN dx / span ELSE 0 END AS vx, CASE WHEN span > 0 THEN dy / span ELSE 0 END AS vy FROM w),
+l AS (SELECT sequence_id, tx, ty, lag(tx) OVER o AS x0, lag(ty) OVER o AS y0, lag(vx) OVER o AS vx0, lag(vy) OVER o AS vy0, greatest(0, least(0.5, ts - lag(ts) OVER o)) AS dt FROM v WINDOW o AS (PARTITION BY sequence_id ORDER BY ts))
+SELECT sequence_id, count(*) AS n, round(avg(sqrt((tx - x0 - vx0 * dt) * (tx - x0 - vx0 * dt) + (ty - y0 - vy0 * dt) * (ty - y0 - vy0 * dt))), 6) AS error FROM l WHERE x0 IS NOT NULL GROUP BY sequence_id""")
 def pose_extrapolation(spark: SparkSession, d: str) -> DataFrame:
     """Mean error of poses predicted from the velocity before."""
-    out = stateful.in_order(_planar(spark, d), "sequence_id", ["t", "pose_id"], stateful.Extrapolator)
-    return out.where("predicted_x IS NOT NULL").groupBy("sequence_id").agg(F.count("*").alias("n"), F.round(F.avg(F.hypot(F.col("x") - F.col("predicted_x"), F.col("y") - F.col("predicted_y"))), 6).alias("error"))
+    p = _planar(spark, d)
+    none = F.lit(None).cast("struct<x: double, y: double, theta: double>")
+    out = extrapolate(p.select("sequence_id", "pose_id", "t", F.struct("x", "y", "theta").alias("pose"), none.alias("odom")), "sequence_id", ["t", "pose_id"]).where("predicted IS NOT NULL")
+    off = F.hypot(F.col("pose.x") - F.col("predicted.x"), F.col("pose.y") - F.col("predicted.y"))
+    return out.groupBy("sequence_id").agg(F.count("*").alias("n"), F.round(F.avg(off), 6).alias("error"))
 
 
-@query()
+@query("""WITH r AS (SELECT scan_id, row_number() OVER (PARTITION BY sensor_id ORDER BY t, scan_id) - 1 AS n FROM v_scans WHERE NOT isnan(t)), k AS (SELECT scan_id, n, (n - 150) // 100 * 2 + 2 + CASE WHEN (n - 150) % 100 >= 50 THEN 1 ELSE 0 END AS older FROM r)
+SELECT scan_id, CASE WHEN n < 100 THEN [0, 1] WHEN n < 150 THEN [2] ELSE [older, older + 1] END::BIGINT[] AS inserted FROM k""")
 def submap_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Submaps into which each scan goes, of a hundred scans each."""
-    s = views.scans(spark, d).select("scan_id", "sensor_id", "t")
-    return stateful.in_order(s, "sensor_id", ["t", "scan_id"], lambda: stateful.Submaps(100)).select("scan_id", "inserted")
+    s = ranked(views.scans(spark, d).where(~F.isnan("t")).select("scan_id", "sensor_id", "t"), "sensor_id", ["t", "scan_id"], "place")
+    return s.select("scan_id", stateful.submaps_of(F.col("place"), 100).alias("inserted"))
 
 
 @query()
@@ -65,7 +74,8 @@ def consistency_groups(spark: SparkSession, d: str) -> DataFrame:
     """Loop candidates whose groups agree over successive keyframes, per source: all with a score of at least 0.3, best first.
 
     The queries of a source are all logged current keyframes: one for which the
-    source has no such candidate clears the groups.
+    source has no such candidate clears the groups, so what follows it is a run of
+    its own.
     """
     log = views.loops(spark, d)
     scored = log.where("candidate_score >= 0.3 AND NOT isnan(candidate_score) AND candidate_source IS NOT NULL").groupBy("candidate_source", "current_kf_id", "candidate_kf_id").agg(F.max("candidate_score").alias("score"))
@@ -73,7 +83,8 @@ def consistency_groups(spark: SparkSession, d: str) -> DataFrame:
     empty = asked.join(scored, ["candidate_source", "current_kf_id"], "left_anti").withColumns({"candidate_kf_id": F.lit(-1).cast("bigint"), "score": F.lit(0.0), "found": F.lit(False)})
     rows = scored.withColumn("found", F.lit(True)).unionByName(empty).select("candidate_source", F.col("current_kf_id").alias("query"), F.col("candidate_kf_id").alias("candidate"), (-F.col("score")).alias("worse"), "found")
     # a candidate's group: keyframes within five of it
-    out = stateful.in_order(rows, "candidate_source", ["query", "worse", "candidate"], lambda: stateful.CandidateConsistency(reach=5))
+    after_none = ~F.lag("found").over(window("candidate_source"))
+    out = stateful.in_runs(rows, "candidate_source", ["query", "worse", "candidate"], after_none, lambda: stateful.CandidateConsistency(reach=5))
     return out.where("passed").select("candidate_source", F.col("query").alias("current_kf_id"), F.col("candidate").alias("candidate_kf_id"))
 
 

@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.blocks import runs, window
 from ..session import ship_package
 
 
@@ -233,6 +234,44 @@ def in_order(df: DataFrame, by: str, order: list[str], make: Callable[[], Any])
     return df.where(F.col(by).isNotNull()).repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, f"{fields}, {adds}")
 
 
+def in_runs(df: DataFrame, by: str, order: list[str], begins: Column, make: Callable[[], Any]) -> DataFrame:
+    """``in_order`` for steps that forget: an entity is cut where ``begins`` holds, and its runs pass side by side.
+
+    ``begins`` must hold only where the step's answers don't depend on the rows
+    before; it may look one row back (``blocks.runs``).
+    """
+    cut_up = runs(df.where(F.col(by).isNotNull()), by, order, begins, "run_start").withColumn("run_key", F.concat_ws(":", F.col(by).cast("string"), F.col("run_start").cast("string")))
+    return in_order(cut_up, "run_key", order, make).drop("run_key", "run_start")
+
+
+def motion_runs(seconds: float, by: str) -> Column:
+    """A pose after a longer wait than the motion filter's is kept whatever was before."""
+    return F.col("t") - F.lag("t").over(window(by)) > seconds
+
+
+def debounce_runs(distance: float, angle: float, by: str) -> Column:
+    """A pose twice as far from the one before as the filter reaches is let through: the last one let through is within its reach of the one before."""
+    w, far = window(by), 2 * (1 + 1e-9)
+    turned = F.abs(F.pmod(F.col("theta") - F.lag("theta").over(w) + math.pi, F.lit(2 * math.pi)) - math.pi)
+    return (F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) >= far * distance) | (turned >= far * angle)
+
+
+def submaps_of(place: Column, size: int) -> Column:
+    """The submaps (array) into which ``Submaps`` puts the scan at a place from 0 of its order.
+
+    The first two fill together and finish together; the next one fills half
+    alone; from then on one goes on every ``size`` scans, two at a time.
+    """
+    if size < 2:
+        raise ValueError("a submap holds two scans at least")
+    half = size // 2
+    later = place - (size + half)
+    q, odd = F.floor(later / size).cast("bigint"), (F.pmod(later, F.lit(size)) >= size - half).cast("bigint")
+    older = q * 2 + 2 + odd
+    two, zero, one = (F.lit(i).cast("bigint") for i in (2, 0, 1))
+    return F.when(place < size, F.array(zero, one)).when(later < 0, F.array(two)).otherwise(F.array(older, older + 1))
+
+
 def over_stream(df: DataFrame, by: str, order: list[str], make: Callable[[], Any], *, idle: str = "1 hour") -> DataFrame:
     """Streaming form: state per entity in the state store; rows of a micro-batch are put in order first, an entity idle for so long starts anew."""
     ship_package(df.sparkSession)
