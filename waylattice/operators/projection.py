@@ -47,15 +47,15 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.join(backward.select(F.col("b"), F.col("a")), ["a", "b"])
 
 
-def bucketed_matches(first: DataFrame, second: DataFrame, words: int, *, most: int, ratio: float) -> DataFrame:
+def bucketed_matches(first: DataFrame, second: DataFrame, words: int, *, most: int, ratio: float, same: bool = False) -> DataFrame:
     """Matches within shared vocabulary nodes: rows (node, id, des) of two frames to (id1, id2, distance).
 
-    A row is never its own match. The ratio test applies where a node offers two neighbours; each second row
+    With ``same`` both are rows of one table, and none is its own match. The ratio test applies where a node offers two neighbours; each second row
     goes to its nearest first row, the smaller id among equals.
     """
     a = first.select("node", F.col("id").alias("id1"), F.col("des").alias("d1"))
     b = second.select("node", F.col("id").alias("id2"), F.col("des").alias("d2"))
-    met = a.join(b, "node").where("id1 <> id2").select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance"))
+    met = a.join(b, "node").where("id1 <> id2" if same else "true").select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance"))
     order = Window.partitionBy("id1").orderBy("distance", "id2")
     best = met.withColumns({"place": F.row_number().over(order), "next": F.lead("distance").over(order)}).where((F.col("place") == 1) & (F.col("distance") <= most))
     best = best.where(F.col("next").isNull() | (F.col("distance") < ratio * F.col("next")))
@@ -63,10 +63,10 @@ def bucketed_matches(first: DataFrame, second: DataFrame, words: int, *, most: i
     return best.withColumn("first", first_come).where("first = 1").select("id1", "id2", "distance")
 
 
-def epipolar_candidates(first: DataFrame, second: DataFrame, f12: list[float], words: int, *, most: int, chi2: float = 3.84) -> DataFrame:
+def epipolar_candidates(first: DataFrame, second: DataFrame, f12: list[float], words: int, *, most: int, chi2: float = 3.84, same: bool = False) -> DataFrame:
     """Matches for triangulation: within shared nodes, near each other's epipolar line (F12 by rows), nearest descriptor first.
 
-    Rows: (node, id, u, v, sigma2, des).
+    Rows: (node, id, u, v, sigma2, des). With ``same`` both are rows of one table, and none is its own match.
     """
     a = first.select("node", F.col("id").alias("id1"), F.col("u").alias("u1"), F.col("v").alias("v1"), F.col("des").alias("d1"))
     b = second.select("node", F.col("id").alias("id2"), F.col("u").alias("u2"), F.col("v").alias("v2"), "sigma2", F.col("des").alias("d2"))
@@ -76,7 +76,7 @@ def epipolar_candidates(first: DataFrame, second: DataFrame, f12: list[float], w
     lc = F.col("u1") * f[2] + F.col("v1") * f[5] + f[8]
     off = la * F.col("u2") + lb * F.col("v2") + lc
     near = (off * off < chi2 * F.col("sigma2") * (la * la + lb * lb)) & (la * la + lb * lb > 0)
-    met = a.join(b, "node").where(near).select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance")).where(F.col("distance") <= most)
+    met = a.join(b, "node").where(near if not same else near & (F.col("id1") != F.col("id2"))).select("id1", "id2", hamming(F.col("d1"), F.col("d2"), words).alias("distance")).where(F.col("distance") <= most)
     met = met.withColumn("place", F.row_number().over(Window.partitionBy("id1").orderBy("distance", "id2"))).where("place = 1")
     return met.withColumn("first", F.row_number().over(Window.partitionBy("id2").orderBy("distance", "id1"))).where("first = 1").select("id1", "id2", "distance")
 

@@ -230,15 +230,22 @@ def gt_loop_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of posed keyframes within NEAR_METRES, i < j, far enough apart in time; they meet through cells of NEAR_METRES."""
+    """All pairs of posed keyframes within NEAR_METRES, i < j, far enough apart in time.
+
+    They meet through cells of NEAR_METRES: each keyframe is sent to its own cell
+    and to the thirteen of its neighbours that come after it, so that two cells
+    meet once.
+    """
     p = _posed_keyframes(spark, d)
     cell = {c: F.floor(F.col("t" + c) / F.lit(loops.NEAR_METRES)) for c in "xyz"}
     at = p.withColumns({"c" + c: v for c, v in cell.items()})
-    around = p.withColumns({"n" + c: F.explode(F.sequence(v - 1, v + 1)) for c, v in cell.items()})
-    met = F.expr("a_sequence_id = b_sequence_id AND a_cx = b_nx AND a_cy = b_ny AND a_cz = b_nz AND a_kf_id < b_kf_id")
+    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    around = p.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s)]) for s in steps])))
+    around = around.withColumns({"n" + c: v + F.col(f"o.{c}") for c, v in cell.items()}).withColumn("home", (F.col("o.x") == 0) & (F.col("o.y") == 0) & (F.col("o.z") == 0)).drop("o")
+    met = F.expr("a_sequence_id = b_sequence_id AND a_cx = b_nx AND a_cy = b_ny AND a_cz = b_nz AND a_kf_id <> b_kf_id AND (NOT b_home OR a_kf_id < b_kf_id)")
     m = _measured(_side(at, "a_").join(_side(around, "b_"), met)).where("near_loop")
     return m.select(
-        F.col("a_kf_id").alias("i"), F.col("b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), "metres", "degrees",
+        F.least("a_kf_id", "b_kf_id").alias("i"), F.greatest("a_kf_id", "b_kf_id").alias("j"), geom.pair_key(F.col("a_kf_id"), F.col("b_kf_id")).alias("pair_key"), "metres", "degrees",
         F.abs(F.col("a_kf_ts") - F.col("b_kf_ts")).alias("seconds"), "loop_like", "near_loop",
     )
 

@@ -364,9 +364,9 @@ _SECTIONS = ["load_rgb_sec", "load_depth_sec", "local_mapping_sec", "loop_closin
 
 
 @query(f"""WITH l AS ({' UNION ALL '.join(f"SELECT run_id, frame_idx, '{c}' AS section, {c} AS sec FROM v_timing" for c in _SECTIONS)})
-SELECT run_id, section, count(*) AS calls, round(sum(sec), 6) AS total, round(avg(sec), 6) AS mean, round(max(sec), 6) AS most, round(max_by(sec, frame_idx), 6) AS last FROM l WHERE sec > 0 AND NOT isnan(sec) GROUP BY run_id, section""")
+SELECT run_id, section, count(*) AS calls, round(sum(sec), 9) AS total, round(avg(sec), 9) AS mean, round(max(sec), 9) AS most, round(max_by(sec, frame_idx), 9) AS last FROM l WHERE sec > 0 AND NOT isnan(sec) GROUP BY run_id, section""")
 def profiler_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(telemetry.sections(views.timing(spark, d), ["run_id"], "frame_idx", _SECTIONS))
+    return _rounded(telemetry.sections(views.timing(spark, d), ["run_id"], "frame_idx", _SECTIONS), 9)
 
 
 @query("SELECT run_id, frame_idx FROM (SELECT run_id, frame_idx, coalesce(loop_closing_sec > 0, false) AS f, lag(coalesce(loop_closing_sec > 0, false), 1, false) OVER (PARTITION BY run_id ORDER BY frame_idx) AS was FROM v_timing) WHERE f AND NOT was")

@@ -334,7 +334,7 @@ _F12 = [0.0, -0.01, 0.2, 0.01, 0.0, -0.3, -0.2, 0.3, 0.0]
 
 @query(f"""WITH {_DES}, k AS (SELECT des.*, e.embedding[1] * 100 AS u, e.embedding[2] * 100 AS v FROM des JOIN embeddings e ON e.vec_id = des.id),
 m AS (SELECT q.id AS id1, t.id AS id2, bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) AS d, q.u * {_F12[0]}::DOUBLE + q.v * {_F12[3]}::DOUBLE + {_F12[6]}::DOUBLE AS la, q.u * {_F12[1]}::DOUBLE + q.v * {_F12[4]}::DOUBLE + {_F12[7]}::DOUBLE AS lb, q.u * {_F12[2]}::DOUBLE + q.v * {_F12[5]}::DOUBLE + {_F12[8]}::DOUBLE AS lc, t.u AS tu, t.v AS tv
-  FROM k q JOIN k t ON q.label = t.label WHERE q.id % 20 = 0),
+  FROM k q JOIN k t ON q.label = t.label WHERE q.id % 20 = 0 AND q.id <> t.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS k FROM m WHERE d <= 30 AND la * la + lb * lb > 0 AND (la * tu + lb * tv + lc) * (la * tu + lb * tv + lc) < 3.84 * (la * la + lb * lb)),
 w AS (SELECT *, row_number() OVER (PARTITION BY id2 ORDER BY d, id1) AS first FROM n WHERE k = 1)
 SELECT id1, id2, CAST(d AS INTEGER) AS distance FROM w WHERE first = 1""")
@@ -342,7 +342,7 @@ def epipolar_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches near each other's epipolar line within a node; queries are the rows whose id is divisible by 20, against all rows."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("embedding")[0] * 100).cast("double").alias("u"), (F.col("embedding")[1] * 100).cast("double").alias("v"))
     k = mq._descriptors(spark, d).withColumnRenamed("label", "node").join(e, "id").withColumn("sigma2", F.lit(1.0))
-    out = projection.epipolar_candidates(k.where("id % 20 = 0"), k, _F12, 2, most=30)
+    out = projection.epipolar_candidates(k.where("id % 20 = 0"), k, _F12, 2, most=30, same=True)
     return out.select("id1", "id2", F.col("distance").cast("int").alias("distance"))
 
 

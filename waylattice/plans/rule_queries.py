@@ -127,7 +127,7 @@ SELECT id1, id2, CAST(d AS INTEGER) AS distance FROM u WHERE place = 1""")
 def bucketed_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches within shared vocabulary nodes (labels); queries are the rows whose id is divisible by 20."""
     des = map_queries._descriptors(spark, d).withColumnRenamed("label", "node")
-    got = projection.bucketed_matches(des.where("id % 20 = 0"), des, 2, most=30, ratio=0.95)
+    got = projection.bucketed_matches(des.where("id % 20 = 0"), des, 2, most=30, ratio=0.95, same=True)
     return got.select("id1", "id2", F.col("distance").cast("int").alias("distance"))
 
 
