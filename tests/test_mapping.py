@@ -129,3 +129,16 @@ def test_surface(spark):
     at = {(r["gx"], r["gy"]): (r["sdf"], r["weight"]) for r in field.collect()}
     assert at[20, 0][0] == pytest.approx(0) and at[20, 0][1] == 5 and at[17, 0][0] == pytest.approx(1) and at[23, 0][0] == pytest.approx(-1)
     assert {(r["gx"], r["gy"]) for r in maps.clean_surface(field, ["m"], 0.5, 3).collect()} == {(19, 0), (20, 0), (21, 0)}
+
+
+def test_counted_rays_are_those_walked(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), i, r.uniform(-9, 9), r.uniform(-9, 9), (r.uniform(-2, 2), r.uniform(-2, 2), 0.0)) for i in range(300)] + [("a", 900, 1e4, -3e3, (0.0, 0.0, 0.0)), ("a", 901, 0.0, 0.0, (0.0, 0.0, 0.0)), ("a", 902, 1.0, 1.0, None), ("b", 903, None, 1.0, (0.0, 0.0, 0.0))]
+    df = spark.createDataFrame(rows, f"sensor_id STRING, scan_id BIGINT, x DOUBLE, y DOUBLE, odom {POSE}").withColumn("beam", F.lit(0))
+    key = lambda x: (x["sensor_id"], x["gx"], x["gy"], x["free"], x["hits"])
+    walked = {key(x) for x in maps.occupancy_counts(maps.ray_cells(df.where("odom IS NOT NULL AND x IS NOT NULL"), 0.5), ["sensor_id"]).collect()}
+    assert {key(x) for x in maps.occupancy_counts(maps.count_rays(df, 0.5, "sensor_id"), ["sensor_id"]).collect()} == walked
+    x0, y0, x1, y1 = (np.array(v) for v in ([0, 5, 0], [0, 5, 0], [3, 5, -2], [1, 5, 7]))
+    dense, sparse = (maps._count_lines(np.array(g), x0, y0, x1, y1) for g in ([0, 0, 1], [0, 0, 10**6]))
+    assert [v.tolist() for v in dense[1:]] == [v.tolist() for v in sparse[1:]]
+    assert maps.count_rays(df.limit(0), 0.5, "sensor_id").count() == 0

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..session import ship_package
 from .bisect import exact_percentiles, meet
 
 # --- fixed values ----------------------------------------------------------------------------------------------
@@ -128,9 +132,68 @@ def sampled_ray_cells(points: DataFrame, resolution: float, steps: int = 40, pos
     return free.unionByName(hit)
 
 
+#: Cells of rays that are made at once in a kernel.
+RAY_CELLS = 2_000_000
+
+
+def _count_lines(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Group, cell, free and hits of lines between cells, those of equal group and cell added up."""
+    dx, dy = x1 - x0, y1 - y0
+    n = np.maximum(np.abs(dx), np.abs(dy))
+    row = np.repeat(np.arange(len(n)), n + 1)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    m = np.maximum(n, 1)[row]
+    at = lambda start, d: start[row] + np.sign(d)[row] * ((np.abs(d)[row] * i * 2 + n[row]) // (2 * m))
+    gx, gy, hit = at(x0, dx), at(y0, dy), i == n[row]
+    left, low = gx.min(), gy.min()
+    wide, high = int(gx.max() - left) + 1, int(gy.max() - low) + 1
+    code = group[row]
+    size = (int(code.max()) + 1) * wide * high
+    if size <= 8 * len(row):  # a dense table of counts
+        key = (code * wide + (gx - left)) * high + (gy - low)
+        hits, total = np.bincount(key[hit], minlength=size), np.bincount(key, minlength=size)
+        at_key = np.flatnonzero(total)
+        return at_key // (wide * high), at_key // high % wide + left, at_key % high + low, (total - hits)[at_key], hits[at_key]
+    order = np.lexsort((gy, gx, code))
+    code, gx, gy, hit = code[order], gx[order], gy[order], hit[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(gx) != 0) | (np.diff(gy) != 0)]))
+    hits = np.add.reduceat(hit.astype(np.int64), begin)
+    return code[begin], gx[begin], gy[begin], np.diff(np.append(begin, len(code))) - hits, hits
+
+
+def count_rays(points: DataFrame, resolution: float, by: str, pose: str = "odom") -> DataFrame:
+    """(by, gx, gy, free, hits): partial counts of the cells that rays pass and end in, the cells being those of ``ray_cells``.
+
+    The lines are walked in Arrow batches and added up there, so counts of cells
+    are shuffled and not visits.
+    """
+    start = [geom.cell(F.col(f"{pose}.{c}"), resolution) for c in "xy"]
+    end = [geom.cell(F.col(c), resolution) for c in "xy"]
+    rays = points.select(F.col(by), *[v.alias(c) for v, c in zip(start + end, ("x0", "y0", "x1", "y1"))]).dropna(subset=["x0", "y0", "x1", "y1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            group = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            x0, y0, x1, y1 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+            size = np.cumsum(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)) + 1)
+            for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(size // RAY_CELLS)) + 1):
+                if len(part):
+                    code, *rest = _count_lines(group[part], x0[part], y0[part], x1[part], y1[part])
+                    key = names.dictionary.take(pa.array(code, mask=code == len(names.dictionary)))
+                    yield pa.record_batch([key, *[pa.array(v, pa.int64()) for v in rest]], names=[by, "gx", "gy", "free", "hits"])
+
+    ship_package(points.sparkSession)
+    return rays.mapInArrow(run, f"`{by}` {dict(points.dtypes)[by]}, gx BIGINT, gy BIGINT, free BIGINT, hits BIGINT")
+
+
 def occupancy_counts(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Log odds of each cell from its counts, clipped once: sums move, not rows, and order doesn't matter."""
-    counted = cells.groupBy(*by, "gx", "gy").agg(F.count_if(~F.col("hit")).alias("free"), F.count_if("hit").alias("hits"))
+    """Log odds of each cell from its counts, clipped once: sums move, not rows, and order doesn't matter.
+
+    ``cells``: visits with ``hit`` or partial counts ``free`` and ``hits``.
+    """
+    counts = (F.sum("free"), F.sum("hits")) if "hits" in cells.columns else (F.count_if(~F.col("hit")), F.count_if("hit"))
+    counted = cells.groupBy(*by, "gx", "gy").agg(counts[0].alias("free"), counts[1].alias("hits"))
     total = F.col("free") * LOG_ODDS_FREE + F.col("hits") * LOG_ODDS_HIT
     return counted.withColumn("l", F.greatest(F.lit(-LOG_ODDS_MOST), F.least(F.lit(LOG_ODDS_MOST), total)))
 

@@ -88,7 +88,7 @@ def _rays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _occupancy(spark: SparkSession, d: str) -> DataFrame:
-    return maps.occupancy_counts(_rays(spark, d), ["sensor_id"])
+    return maps.occupancy_counts(maps.count_rays(_world(spark, d), _SIZE, "sensor_id"), ["sensor_id"])
 
 
 @query(f"WITH {_RAYS} SELECT sensor_id, gx, gy, free, hits, round(l, 6) AS l FROM occ")
