@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ def _finite(ts: Column) -> Column:
     return ts.isNotNull() & ~F.isnan(ts) & (F.abs(ts) < 1e15)
 
 
-def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, chunk_seconds: float = CHUNK_SECONDS, carry: Sequence[str] = ()) -> DataFrame:
     """Adds to each left row ``prev`` and ``next``: structs (ts, id) of the last right row at or before it and the first at or after it.
 
-    Of right rows at the same time the smallest id stands for all. Chunks of
+    The structs hold the right columns of ``carry`` too, so that no join by id
+    needs to follow. Of right rows at the same time the smallest id stands for all. Chunks of
     time are windows of their own; what the chunks before and after hold comes
     from a table of one row per chunk. Left rows without entity or finite time
     keep null neighbours; such right rows take no part.
@@ -28,7 +31,8 @@ def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
     keyed = left.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(by).alias("e"), F.col(left_ts).cast("double").alias("t"))
     usable, other = keyed.where(F.col("e").isNotNull() & _finite(F.col("t"))), keyed.where(~(F.col("e").isNotNull() & F.coalesce(_finite(F.col("t")), F.lit(False))))
     r = right.where(F.col(by).isNotNull() & _finite(F.col(right_ts).cast("double")) & F.col(right_id).isNotNull())
-    r = r.groupBy(F.col(by).alias("e"), F.col(right_ts).cast("double").alias("t")).agg(F.min(right_id).alias("id")).withColumn("r", F.struct(F.col("t").alias("ts"), "id"))
+    first = F.min(F.struct(F.col(right_id).alias("id"), *[F.col(f"`{c}`") for c in carry]))
+    r = r.groupBy(F.col(by).alias("e"), F.col(right_ts).cast("double").alias("t")).agg(first.alias("m")).withColumn("r", F.struct(F.col("t").alias("ts"), "m.id", *[f"m.`{c}`" for c in carry]))
     empty = F.lit(None).cast(r.schema["r"].dataType)
     both = usable.select("e", "t", "row", empty.alias("r")).unionByName(r.select("e", "t", F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "r")).withColumn("c", cell(F.col("t")))
     # of each chunk the first and last right row, carried over the chunks beside it
@@ -51,9 +55,9 @@ def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
 
 
 def asof_nearest(
-    left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float | None = None, tie: str = "earlier", how: str = "left", chunk_seconds: float = CHUNK_SECONDS,
+    left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float | None = None, tie: str = "earlier", how: str = "left", chunk_seconds: float = CHUNK_SECONDS, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Nearest right row in time: adds ``match_id``, ``match_ts`` and ``dt`` (absolute).
+    """Nearest right row in time: adds ``match_id``, ``match_ts`` and ``dt`` (absolute), and ``match_<c>`` for each right column c of ``carry``.
 
     ``tie`` decides between equally near rows; ``how`` 'inner' leaves out left
     rows without a match within ``tolerance``, 'left' keeps them with nulls.
@@ -61,23 +65,23 @@ def asof_nearest(
     if tie not in ("earlier", "later") or how not in ("left", "inner"):
         raise ValueError("tie is 'earlier' or 'later', how 'left' or 'inner'")
     ts = F.col(left_ts).cast("double")
-    met = neighbours(left, right, by, left_ts, right_ts, right_id, chunk_seconds)
+    met = neighbours(left, right, by, left_ts, right_ts, right_id, chunk_seconds, carry)
     before, after = ts - F.col("prev.ts"), F.col("next.ts") - ts
     first = before <= after if tie == "earlier" else before < after
     chosen = F.when(F.col("next").isNull(), F.col("prev")).when(F.col("prev").isNull(), F.col("next")).when(first, F.col("prev")).otherwise(F.col("next"))
     met = met.withColumn("m", chosen).drop("prev", "next")
     dt = F.abs(ts - F.col("m.ts"))
     fits = F.col("m").isNotNull() if tolerance is None else (dt <= tolerance)
-    out = met.withColumns({"match_id": F.when(fits, F.col("m.id")), "match_ts": F.when(fits, F.col("m.ts")), "dt": F.when(fits, dt)}).drop("m")
+    out = met.withColumns({"match_id": F.when(fits, F.col("m.id")), "match_ts": F.when(fits, F.col("m.ts")), "dt": F.when(fits, dt), **{f"match_{c}": F.when(fits, F.col(f"m.`{c}`")) for c in carry}}).drop("m")
     return out.where(F.col("match_id").isNotNull()) if how == "inner" else out
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float | None = None) -> DataFrame:
-    """Last right row at or before each left row: adds ``match_id``, ``match_ts`` and ``dt``; null where there is none."""
-    met = neighbours(left, right, by, left_ts, right_ts, right_id)
+def asof_backward(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Last right row at or before each left row: adds ``match_id``, ``match_ts``, ``dt`` and ``match_<c>`` for each right column c of ``carry``; null where there is none."""
+    met = neighbours(left, right, by, left_ts, right_ts, right_id, carry=carry)
     dt = F.col(left_ts).cast("double") - F.col("prev.ts")
     fits = F.col("prev").isNotNull() if tolerance is None else (dt <= tolerance)
-    return met.withColumns({"match_id": F.when(fits, F.col("prev.id")), "match_ts": F.when(fits, F.col("prev.ts")), "dt": F.when(fits, dt)}).drop("prev", "next")
+    return met.withColumns({"match_id": F.when(fits, F.col("prev.id")), "match_ts": F.when(fits, F.col("prev.ts")), "dt": F.when(fits, dt), **{f"match_{c}": F.when(fits, F.col(f"prev.`{c}`")) for c in carry}}).drop("prev", "next")
 
 
 def asof_exact_then_nearest(left: DataFrame, right: DataFrame, by: str, key: str, left_ts: str, right_ts: str, right_id: str, *, tolerance: float) -> DataFrame:

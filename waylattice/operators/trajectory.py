@@ -141,11 +141,10 @@ def relation_errors(relations: DataFrame, poses: DataFrame, by: str, *, max_dt:
     """
     from .asof import asof_nearest
 
-    seen = asof_nearest(relations, poses, by, "t_i", "ts", "pose_id", tolerance=max_dt, how="inner").withColumnsRenamed({"match_id": "i_id", "match_ts": "i_ts", "dt": "dt_i"})
-    seen = asof_nearest(seen, poses, by, "t_j", "ts", "pose_id", tolerance=max_dt, how="inner").withColumnsRenamed({"match_id": "j_id", "match_ts": "j_ts", "dt": "dt_j"})
-    one = poses.select(F.col("pose_id").alias("i_id"), F.col("pose").alias("pose_i"))
-    two = poses.select(F.col("pose_id").alias("j_id"), F.col("pose").alias("pose_j"))
-    seen = seen.join(one, "i_id").join(two, "j_id")
+    seen = relations
+    for end in "ij":
+        seen = asof_nearest(seen, poses, by, f"t_{end}", "ts", "pose_id", tolerance=max_dt, how="inner", carry=["pose"])
+        seen = seen.withColumnsRenamed({"match_id": f"{end}_id", "match_ts": f"{end}_ts", "dt": f"dt_{end}", "match_pose": f"pose_{end}"})
     ij = geom.se2_between(F.col("pose_i"), F.col("pose_j"))
     got = {"ij": ij, "ji": geom.se2_between(F.col("pose_j"), F.col("pose_i")), "inverse": geom.se2_inverse(ij)}[convention]
     return seen.withColumn("got", got).withColumns({
@@ -157,9 +156,7 @@ def correct_by_keyframes(poses: DataFrame, corrections: DataFrame, by: str) -> D
     """Dense correction: each pose takes the correction (struct of x, y, theta) of the last keyframe at or before it; the identity before the first."""
     from .asof import asof_backward
 
-    met = asof_backward(poses, corrections, by, "ts", "ts", "node_id")
-    delta = corrections.select(F.col("node_id").alias("match_id"), F.col("delta").alias("delta"))
-    met = met.join(delta, "match_id", "left")
+    met = asof_backward(poses, corrections, by, "ts", "ts", "node_id", carry=["delta"]).withColumnRenamed("match_delta", "delta")
     still = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("theta"))
     return met.withColumn("corrected", geom.se2_compose(F.coalesce("delta", still), F.col("pose"))).drop("delta", "match_ts", "dt")
 

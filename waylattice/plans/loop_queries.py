@@ -180,8 +180,9 @@ def _posed_keyframes(spark: SparkSession, d: str) -> DataFrame:
     kf = log.where("current_ts IS NOT NULL").select(F.col("current_kf_id").alias("kf_id"), F.col("current_ts").alias("ts")).unionByName(log.where("candidate_ts IS NOT NULL").select(F.col("candidate_kf_id").alias("kf_id"), F.col("candidate_ts").alias("ts")))
     kf = kf.groupBy("kf_id").agg(F.min("ts").alias("ts")).withColumn("all", F.lit(0))
     truth = views.gt(spark, d)
-    near = asof.asof_nearest(kf, truth.select("pose_id", "ts").withColumn("all", F.lit(0)), "all", "ts", "ts", "pose_id", tolerance=0.05, how="inner", chunk_seconds=64.0)
-    return near.select("kf_id", F.col("ts").alias("kf_ts"), F.col("match_id").alias("pose_id")).join(truth.drop("ts"), "pose_id")
+    carried = ["sequence_id", *views.POSE[3:]]
+    near = asof.asof_nearest(kf, truth.withColumn("all", F.lit(0)), "all", "ts", "ts", "pose_id", tolerance=0.05, how="inner", chunk_seconds=64.0, carry=carried)
+    return near.select("kf_id", F.col("ts").alias("kf_ts"), F.col("match_id").alias("pose_id"), *[F.col("match_" + c).alias(c) for c in carried])
 
 
 _POSED = """k AS (SELECT current_kf_id AS kf_id, min(current_ts) AS ts FROM v_loops WHERE current_ts IS NOT NULL GROUP BY ALL UNION SELECT candidate_kf_id, min(candidate_ts) FROM v_loops WHERE candidate_ts IS NOT NULL GROUP BY ALL),

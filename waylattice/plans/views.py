@@ -50,9 +50,8 @@ def matched(spark: SparkSession, d: str, tolerance: float = 0.02) -> DataFrame:
     from ..operators.asof import asof_nearest
 
     truth = gt(spark, d)
-    near = asof_nearest(est(spark, d), truth, "sequence_id", "ts", "ts", "pose_id", tolerance=tolerance, how="inner")
-    g = truth.select(F.col("pose_id").alias("match_id"), *[F.col(c).alias("g_" + c) for c in POSE[3:]])
-    return near.withColumnsRenamed({c: "e_" + c for c in POSE[3:]}).join(g, "match_id")
+    near = asof_nearest(est(spark, d), truth, "sequence_id", "ts", "ts", "pose_id", tolerance=tolerance, how="inner", carry=POSE[3:])
+    return near.withColumnsRenamed({**{c: "e_" + c for c in POSE[3:]}, **{"match_" + c: "g_" + c for c in POSE[3:]}})
 
 
 def planar(prefix: str = "") -> "F.Column":
