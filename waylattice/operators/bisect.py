@@ -50,7 +50,7 @@ def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner
     return left.join(F.broadcast(other) if broadcast else other, same, how).drop(*[f"_{c}" for c in on])
 
 
-def attach(rows: DataFrame, state: DataFrame, on: Sequence[str], weight: str, total: int, *, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach(rows: DataFrame, state: DataFrame, on: Sequence[str], weight: str, total: int, *, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, n_state: int | None = None) -> DataFrame:
     """Inner join of all rows with the state rows of their key, null keys included.
 
     A small state is broadcast. A larger one is split by key: keys with many rows
@@ -58,9 +58,10 @@ def attach(rows: DataFrame, state: DataFrame, on: Sequence[str], weight: str, to
     and their rows never leave their partitions; the others meet in a shuffle in
     which no key is large. ``weight`` is the state column that holds a key's
     number of rows (the greatest counts where its state rows differ); a key has a
-    handful of state rows, one per rank wanted.
+    handful of state rows, one per rank wanted. ``n_state`` is an upper bound of the
+    state's rows, if one is known; ``total`` is that of all keys' rows.
     """
-    if state.count() <= broadcast_rows:
+    if (state.count() if n_state is None else n_state) <= broadcast_rows:
         return meet(rows, state, on, broadcast=True)
     limit = max(hot_rows, total // broadcast_rows + 1)
     hot = state.groupBy(*on).agg(F.max(weight).alias("_most")).where(F.col("_most") > limit).select(*on)
@@ -114,14 +115,14 @@ def resolve(values: DataFrame, targets: DataFrame, on: Sequence[str], *, bits: i
     carried = [*on, "p", "n", "need", "c", "lo", "hi", "v_lo", "v_hi"]
     at = _settle(cut(targets.select(*carried)))
     done, active, rows = [at.where("value IS NOT NULL")], at.where("value IS NULL"), None
-    while not active.isEmpty():
+    # ranks still open, and a bound of the values of all keys
+    n_open, total = at.agg(F.count_if(F.col("value").isNull()), F.coalesce(F.sum("n"), F.lit(0))).first()
+    while n_open:
         state = active.select(*on, "p", "n", "need", "lo", "hi").withColumn("shift", span_shift(F.col("lo"), F.col("hi"), bits))
         # several ranks of a key share an interval; its rows are counted once for all of them
         spans = state.groupBy(*on, "lo", "hi", "shift").agg(F.max("n").alias("w"))
         first = rows is None
-        if first:
-            total = targets.groupBy(*on).agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0]
-        inside = attach(values if first else rows, spans, on, "w", total, broadcast_rows=broadcast_rows, hot_rows=hot_rows).where(F.col("x").between(F.col("lo"), F.col("hi")))
+        inside = attach(values if first else rows, spans, on, "w", total, broadcast_rows=broadcast_rows, hot_rows=hot_rows, n_state=n_open).where(F.col("x").between(F.col("lo"), F.col("hi")))
         if first:
             inside = cut(inside.select(*on, "x", "v", "lo", "hi", "shift"))
             rows = inside.select(*on, "x", "v")
@@ -136,6 +137,7 @@ def resolve(values: DataFrame, targets: DataFrame, on: Sequence[str], *, bits: i
         at = _settle(cut(hit.withColumn("need", F.col("need") - (F.col("upto") - F.col("c"))).select(*carried)))
         done.append(at.where("value IS NOT NULL"))
         active = at.where("value IS NULL")
+        n_open = active.count()
     return reduce(DataFrame.unionByName, [x.select(*on, "p", "n", "value") for x in done])
 
 
@@ -160,7 +162,7 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     ranks = F.array(*[
         F.struct(F.lit(2 * i + k).alias("p"), (f(place[name]) + 1).cast("bigint").alias("rank")) for i, name in enumerate(shares) for k, f in ((0, F.floor), (1, F.ceil))
     ])
-    found = resolve(values, locate(cut(summarise(values, on)), on, ranks), on)
+    found = resolve(values, locate(summarise(values, on), on, ranks), on)
     out = []
     for m, c in enumerate(columns):
         for i, (name, p) in enumerate(shares.items()):
