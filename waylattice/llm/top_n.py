@@ -70,17 +70,18 @@ def top_n_per_group(
     counted = cells.withColumns({"upto": F.sum("c").over(of_group.orderBy("b")), "w": F.sum("c").over(of_group)})
     counted = counted.withColumns({"need": F.least(F.lit(n).cast("bigint"), F.col("w")), "level": F.lit(0), "tie": F.lit(0).cast("bigint")})
     passed = cut(_next(counted))
-    total = passed.agg(F.sum("w")).first()[0] or 0
+    groups, left, total = passed.agg(F.count("*"), F.count_if(~F.col("resolved")), F.coalesce(F.sum("w"), F.lit(0))).first()
     kw = {"broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
-    kept = cut(attach(rows, passed.select("g", "w", "cut_v"), ["g"], "w", total, **kw).where("v <= cut_v").select("g", "i", "s", "v"))
+    kept = cut(attach(rows, passed.select("g", "w", "cut_v"), ["g"], "w", total, n_state=groups, **kw).where("v <= cut_v").select("g", "i", "s", "v"))
     done, active = [passed.where("resolved")], passed.where("NOT resolved")
-    while not active.isEmpty():
+    while left:
         state = active.select("g", "w", "need", "level", "tie", "lo", "hi").withColumn("shift", span_shift(F.col("lo"), F.col("hi"), bits))
-        passed = cut(_narrow(attach(kept, state, ["g"], "w", total, **kw)))
+        passed = cut(_narrow(attach(kept, state, ["g"], "w", total, n_state=left, **kw)))
         done.append(passed.where("resolved"))
         active = passed.where("NOT resolved")
+        left = active.count()
     cutoffs = reduce(DataFrame.unionByName, [x.select("g", "w", "cut_v", "cut_i") for x in done])
-    best = attach(kept, cutoffs, ["g"], "w", total, **kw).where((F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (F.col("i") <= F.col("cut_i"))))
+    best = attach(kept, cutoffs, ["g"], "w", total, n_state=groups, **kw).where((F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (F.col("i") <= F.col("cut_i"))))
     order = Window.partitionBy("g").orderBy("v", "i")  # n rows at most
     return best.select(
         F.col("g").alias(group), F.col("i").cast(df.schema[item].dataType).alias(item), F.col("s").alias(score), F.row_number().over(order).alias("rank"),
