@@ -117,6 +117,7 @@ def align(pairs: DataFrame, by: list[str], source: list[str], target: list[str],
     once per group, in Arrow batches. Groups of under three pairs are left out.
     """
     fields = "r ARRAY<DOUBLE>, t ARRAY<DOUBLE>, scale DOUBLE"
+    pairs = cut(pairs)  # read twice
 
     @F.pandas_udf(fields)
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
