@@ -458,7 +458,8 @@ KEPT_INDEXES = 1024
 def _leaked_by_shuffle(corpus: DataFrame, tests: DataFrame) -> DataFrame:
     """The same for test sets of any size: fingerprints of both sides meet in a shuffle, then the texts of each candidate pair.
 
-    All fingerprints of an item but those in its formulas propose pairs; one that
+    All fingerprints of an item but those in its formulas propose pairs, which need
+    two places of the item before any text moves. A fingerprint that
     is frequent without being part of a formula has as many partners as it has
     documents (adaptive execution splits such a key: its other side is few items).
     """
@@ -477,11 +478,13 @@ def _leaked_by_shuffle(corpus: DataFrame, tests: DataFrame) -> DataFrame:
             for key, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
                 index = Index([(key, text)])
                 free = _free(index.place, (formula(index, grams) or ([], ""))[0])
-                gram = np.unique(np.repeat(index.hash, index.count)[free]).astype(np.int64)
-                yield pa.record_batch([pa.array([key] * len(gram), pa.string()), pa.array(gram)], names=["key", "gram"])
+                gram, places = np.unique(np.repeat(index.hash, index.count)[free].astype(np.int64), return_counts=True)
+                yield pa.record_batch([pa.array([key] * len(gram), pa.string()), pa.array(gram), pa.array(places, pa.int64()), pa.array([not free.all()] * len(gram), pa.bool_())], names=["key", "gram", "places", "mixed"])
 
-    proposing = keyed.join(often, "key", "left").select("key", "text", "often").mapInArrow(propose, "key STRING, gram BIGINT")
-    pairs = proposing.join(hits, "gram").select("doc", "key").distinct()
+    proposing = keyed.join(often, "key", "left").select("key", "text", "often").mapInArrow(propose, "key STRING, gram BIGINT, places BIGINT, mixed BOOLEAN")
+    # a pair needs two places of the item; where it has formulas, one of them may be in these
+    shared = proposing.join(hits.distinct(), "gram").groupBy("doc", "key").agg(F.sum("places").alias("places"), F.max("mixed").alias("mixed"))
+    pairs = shared.where("places >= 2 OR mixed").select("doc", "key")
     both = pairs.join(keyed.withColumnRenamed("text", "item_text"), "key").join(often, "key", "left").join(corpus, "doc")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
