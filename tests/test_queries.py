@@ -71,6 +71,8 @@ def test_samples_and_filters(spark):
         rows = pandas(spark, name)
         assert len(rows) and not rows.isna().all(axis=None), name
     assert set(pandas(spark, "consistency_groups").columns)
+    states = pandas(spark, "tracking_states").sort_values(["run_id", "frame_idx"])
+    assert set(states.state) <= {"NOT_INITIALIZED", "OK", "LOST"} and (states.was == states.groupby("run_id").state.shift().fillna("NO_IMAGES_YET")).all()
 
 
 def test_matched_scans_are_the_best(spark):

@@ -178,3 +178,22 @@ def test_submaps_by_place(spark):
         want = [step.advance(None)[0] for _ in range(n)]
         got = [x["m"] for x in spark.range(n).select("id", st.submaps_of(F.col("id"), size).alias("m")).orderBy("id").collect()]
         assert got == want, size
+
+
+def test_tracking():
+    def go(*rows):
+        step, out = st.Tracking(), []
+        for r in rows:
+            out.append(step.advance(Row(**{"initialised": False, "by_motion": False, "by_keyframe": False, "in_map": True, "relocalised": None, **r})))
+        return out
+
+    got = go({}, {"initialised": True}, {"by_motion": True}, {"by_motion": True, "by_keyframe": True}, {"initialised": True}, {"relocalised": True})
+    assert [(g[0], g[1], g[2]) for g in got] == [
+        ("NO_IMAGES_YET", "NOT_INITIALIZED", None), ("NOT_INITIALIZED", "OK", "initial"), ("OK", "LOST", None), ("LOST", "LOST", None), ("LOST", "LOST", None), ("LOST", "OK", "relocalised"),
+    ]
+    key, both = {"by_keyframe": True}, {"by_motion": True, "by_keyframe": True}
+    got = go({"initialised": True}, key, both, {"by_motion": True, "in_map": False}, {"relocalised": True}, both, both, both)
+    # the model is off at first, after a loss, and for the frame after a relocalisation
+    assert [(g[1], g[2], g[3]) for g in got] == [
+        ("OK", "initial", False), ("OK", "keyframe", True), ("OK", "motion", True), ("LOST", None, False), ("OK", "relocalised", False), ("OK", "keyframe", False), ("OK", "keyframe", True), ("OK", "motion", True),
+    ]

@@ -111,3 +111,14 @@ def run_segments(spark: SparkSession, d: str) -> DataFrame:
     cut_up = in_blocks(views.gt(spark, d).select("sequence_id", "ts"), "sequence_id", ["ts"], before=1)
     p = own(cut_up.withColumn("gap", F.col("ts") - F.lag("ts").over(window("sequence_id"))))
     return p.groupBy("sequence_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (F.count_if(F.col("gap") > 5) + 1).alias("runs"))
+
+
+@query()
+def tracking_states(spark: SparkSession, d: str) -> DataFrame:
+    """State of tracking after each frame of the runs; timings and counters stand in for what each attempt gives."""
+    t = views.timing(spark, d).select(
+        "run_id", "frame_idx", (F.col("map_points") > 0).alias("initialised"), ((F.col("slam_track_sec") >= 0) & ~F.isnan("slam_track_sec")).alias("by_motion"), (F.col("keyframes") > 0).alias("by_keyframe"),
+        (F.col("local_mapping_sec") >= 0).alias("in_map"), (F.col("load_rgb_sec") > 0).alias("relocalised"),
+    )
+    out = stateful.in_order(t, "run_id", ["frame_idx"], stateful.Tracking)
+    return out.select("run_id", "frame_idx", "was", "state", "how", "model")

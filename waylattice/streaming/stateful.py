@@ -209,6 +209,44 @@ class TrackingStates:
         return self.state, was
 
 
+class Tracking:
+    """Frame by frame: which reference a frame is tracked against, the state that follows, and whether the motion model may be used next.
+
+    Rows say what each attempt would give: ``initialised`` (a first map can be
+    made), ``by_motion`` (against the frame before, from the predicted pose),
+    ``by_keyframe`` (against the reference keyframe), ``in_map`` (enough of the
+    local map is found) and ``relocalised``; null counts as failure. Without a
+    motion model only the keyframe is tried; a pose needs the local map too. A lost
+    frame asks for relocalisation, after which the model stays off for that frame
+    and the next one.
+    """
+
+    ADDS = "was STRING, state STRING, how STRING, model BOOLEAN"
+
+    def __init__(self):
+        self.state, self.model, self.rest = "NO_IMAGES_YET", False, 0
+
+    def _attempt(self, row: Any) -> str | None:
+        if self.state != "OK":
+            return "relocalised" if row.relocalised else None
+        how = "motion" if self.model and row.by_motion else "keyframe" if row.by_keyframe else None
+        return how if how and row.in_map else None
+
+    def advance(self, row: Any) -> tuple:
+        was, how = self.state, None
+        if was in ("NO_IMAGES_YET", "NOT_INITIALIZED"):
+            how = "initial" if row.initialised else None
+            self.state, self.model = ("OK" if how else "NOT_INITIALIZED"), False
+            return was, self.state, how, self.model
+        how = self._attempt(row)
+        if how == "relocalised":
+            self.rest = 2
+        self.state = "OK" if how else "LOST"
+        self.model = how is not None and self.rest == 0
+        self.rest = max(0, self.rest - 1)
+        return was, self.state, how, self.model
+
+
 def _columns(step: type) -> list[str]:
     return [c.split()[0] for c in step.ADDS.split(", ")]
 
