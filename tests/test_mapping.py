@@ -142,3 +142,23 @@ def test_counted_rays_are_those_walked(spark, monkeypatch):
     dense, sparse = (maps._count_lines(np.array(g), x0, y0, x1, y1) for g in ([0, 0, 1], [0, 0, 10**6]))
     assert [v.tolist() for v in dense[1:]] == [v.tolist() for v in sparse[1:]]
     assert maps.count_rays(df.limit(0), 0.5, "sensor_id").count() == 0
+
+
+def test_dense_chunks_are_cut(spark, monkeypatch):
+    """A third of a table in half a second, many rows at one time: the answers stay those of a search of every row."""
+    from waylattice.operators import asof
+
+    r = random.Random(12)
+    right = [(r.choice("ab"), r.randrange(0, 4000) / 8, i) for i in range(500)] + [("a", 100 + i / 1024, 1000 + i) for i in range(400)]
+    left = [(r.choice("abc"), r.randrange(0, 8000) / 16, i) for i in range(300)] + [("a", 100.25, 1000 + i) for i in range(150)] + [("a", 100 + r.randrange(500) / 1000, 2000 + i) for i in range(200)] + [(None, 1.0, 9000), ("a", None, 9001)]
+    lf, rf = spark.createDataFrame(left, "e STRING, t DOUBLE, l BIGINT"), spark.createDataFrame(right, "e STRING, ts DOUBLE, id BIGINT")
+    want = {}
+    for e, t, l in left:
+        mine = [] if e is None or t is None else [(ts, i) for q, ts, i in right if q == e]
+        before, after = [x for x in mine if x[0] <= t], [x for x in mine if x[0] >= t]
+        one = lambda xs, top: (lambda ts: (ts, min(i for x, i in xs if x == ts)))(top(x for x, _ in xs)) if xs else None
+        want[l] = one(before, max), one(after, min)
+    for rows in (10**6, 64, 7):
+        monkeypatch.setattr(asof, "HOT_ROWS", rows)
+        got = {x["l"]: (x["prev"] and tuple(x["prev"]), x["next"] and tuple(x["next"])) for x in asof.neighbours(lf, rf, "e", "t", "ts", "id", 32.0).collect()}
+        assert got == want, rows

@@ -8,22 +8,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, window
+from ..session import cut
+from .blocks import in_blocks, ranked, window
 
 CHUNK_SECONDS = 512.0
+#: Rows from which a chunk is cut by rows, and such chunks that are broadcast at most.
+HOT_ROWS, HOT_CHUNKS = 1_000_000, 100_000
 
 
 def _finite(ts: Column) -> Column:
     return ts.isNotNull() & ~F.isnan(ts) & (F.abs(ts) < 1e15)
 
 
+def _chunk_ends(both: DataFrame) -> DataFrame:
+    """Of each chunk (e, c, k) the number of rows, and the first and last right row."""
+    at = F.when(F.col("r").isNotNull(), F.col("t"))
+    return both.groupBy("e", "c", "k").agg(F.count("*").alias("n"), F.min_by("r", at).alias("first"), F.max_by("r", at).alias("last"))
+
+
 def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_id: str, chunk_seconds: float = CHUNK_SECONDS, carry: Sequence[str] = ()) -> DataFrame:
     """Adds to each left row ``prev`` and ``next``: structs (ts, id) of the last right row at or before it and the first at or after it.
 
     The structs hold the right columns of ``carry`` too, so that no join by id
     needs to follow. Of right rows at the same time the smallest id stands for all. Chunks of
-    time are windows of their own; what the chunks before and after hold comes
-    from a table of one row per chunk. Left rows without entity or finite time
+    time are windows of their own, those of more than HOT_ROWS rows being cut by
+    rows; what the chunks before and after hold comes from a table of one row per
+    chunk. Left rows without entity or finite time
     keep null neighbours; such right rows take no part.
     """
     cell = lambda c: F.floor(c / F.lit(chunk_seconds))
@@ -34,22 +44,32 @@ def neighbours(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
     first = F.min(F.struct(F.col(right_id).alias("id"), *[F.col(f"`{c}`") for c in carry]))
     r = r.groupBy(F.col(by).alias("e"), F.col(right_ts).cast("double").alias("t")).agg(first.alias("m")).withColumn("r", F.struct(F.col("t").alias("ts"), "m.id", *[f"m.`{c}`" for c in carry]))
     empty = F.lit(None).cast(r.schema["r"].dataType)
-    both = usable.select("e", "t", "row", empty.alias("r")).unionByName(r.select("e", "t", F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "r")).withColumn("c", cell(F.col("t")))
-    # of each chunk the first and last right row, carried over the chunks beside it
-    ends = both.groupBy("e", "c").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("t"))).alias("first"), F.max_by("r", F.when(F.col("r").isNotNull(), F.col("t"))).alias("last"))
+    both = usable.select("e", "t", "row", empty.alias("r")).unionByName(r.select("e", "t", F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "r")).withColumns({"c": cell(F.col("t")), "k": F.lit(0).cast("bigint")})
+    ends = cut(_chunk_ends(both))
+    hot = ends.where(F.col("n") > HOT_ROWS).select("e", "c")
+    n_hot = hot.count()
+    if n_hot:
+        # chunks with too many rows are cut by rows; there are at most (rows of the input / HOT_ROWS) of them
+        few = F.broadcast(hot) if n_hot <= HOT_CHUNKS else hot
+        dense = both.join(few, ["e", "c"], "left_semi").withColumn("late", F.col("r").isNull()).drop("k")
+        dense = cut(ranked(dense, "e", ["t", "late"], "place").withColumn("k", F.expr(f"place div {HOT_ROWS}")).drop("place", "late"))
+        both = both.join(few, ["e", "c"], "left_anti").unionByName(dense)
+        ends = cut(ends.join(few, ["e", "c"], "left_anti").unionByName(_chunk_ends(dense)))
     # what follows is looked up in descending order: frames that grow cost one step a row, frames that shrink a whole pass
-    chunks, falling = Window.partitionBy("e").orderBy("c"), Window.partitionBy("e").orderBy(F.desc("c"))
+    chunks, falling = Window.partitionBy("e").orderBy("c", "k"), Window.partitionBy("e").orderBy(F.desc("c"), F.desc("k"))
     ends = ends.select(
-        "e", "c",
+        "e", "c", "k",
         F.last("last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
         F.last("first", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"),
     )
-    inside, back = (Window.partitionBy("e", "c").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("t", F.desc("t")))
-    met = both.join(ends, ["e", "c"]).select(
-        "row",
+    inside, back = (Window.partitionBy("e", "c", "k").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("t", F.desc("t")))
+    met = both.join(ends, ["e", "c", "k"]).select(
+        "row", "t",
         F.coalesce(F.last("r", ignorenulls=True).over(inside), "carried").alias("prev"),
         F.coalesce(F.last("r", ignorenulls=True).over(back), "ahead").alias("next"),
     )
+    # of rows at one time the right one stands first, perhaps in the part before
+    met = met.select("row", "prev", F.when(F.col("prev.ts") == F.col("t"), F.col("prev")).otherwise(F.col("next")).alias("next"))
     met = met.where("row IS NOT NULL").unionByName(other.select("row", empty.alias("prev"), empty.alias("next")))
     return met.select("row.*", "prev", "next")
 

@@ -257,14 +257,14 @@ def gt_loop_pairs_all(spark: SparkSession, d: str) -> DataFrame:
 
     ``gt_loop_pairs`` has the logged pairs only.
     """
-    m = near_pairs(spark, d)
+    m = near_pairs(spark, d).select("i", "j", "metres", "loop_like")  # what moves to meet the log
     # stages stand in the order in which a pair passes them, but for the unknown one
     order = F.array_position(F.array(*[F.lit(x) for x in ["UNKNOWN_STAGE", *loops.RECALL_STAGES[:-1]]]), F.col("pipeline_stage"))
     log = _staged(spark, d).groupBy(F.least("current_kf_id", "candidate_kf_id").alias("i"), F.greatest("current_kf_id", "candidate_kf_id").alias("j")).agg(F.max_by("pipeline_stage", order).alias("logged"))
     m = m.join(log, ["i", "j"], "left")
     none = F.lit(None).cast("int")
     lost = loops.rejection_class(F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), seed=none, refined=none, guided=none, final=none, retrieved=F.lit(False), chosen=F.lit(False))
-    return m.select("i", "j", "pair_key", F.round("metres", 6).alias("metres"), "loop_like", "near_loop", F.coalesce("logged", lost).alias("stage"))
+    return m.select("i", "j", geom.pair_key(F.col("i"), F.col("j")).alias("pair_key"), F.round("metres", 6).alias("metres"), "loop_like", F.lit(True).alias("near_loop"), F.coalesce("logged", lost).alias("stage"))
 
 
 @query(f"""
