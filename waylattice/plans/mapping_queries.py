@@ -471,6 +471,9 @@ def match_scans(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_cells(correlative_scores(spark, d))
 
 
+SQL["match_scans"] = f"SELECT * FROM ({SQL['correlative_scores']}) QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, abs(turn) + abs(di) + abs(dj), turn, di, dj) = 1"
+
+
 # Time
 
 
