@@ -93,6 +93,6 @@ def rotation_histogram(matches: DataFrame, by: str, angle: str, bins: int = 12,
 
 def octave_histogram(keypoints: DataFrame, image: str, octave: str) -> DataFrame:
     """Keypoints per octave and their mean number per image."""
-    images = keypoints.agg(F.count_distinct(image).alias("images"))
+    images = keypoints.agg(F.count_distinct(image)).first()[0]
     counts = keypoints.groupBy(F.col(octave).alias("octave")).agg(F.count("*").alias("keypoints"))
-    return counts.join(F.broadcast(images), F.lit(True)).select("octave", "keypoints", F.try_divide(F.col("keypoints").cast("double"), F.col("images")).alias("per_image"))
+    return counts.select("octave", "keypoints", F.try_divide(F.col("keypoints").cast("double"), F.lit(images)).alias("per_image"))

@@ -17,6 +17,8 @@ from .trajectory_queries import _rounded
 from .views import with_views
 
 QUERIES, SQL = {}, {}
+#: Ways of retrieval that propose candidates: a handful; every keyframe is asked of each.
+MOST_SOURCES = 100
 
 
 def query(sql: str | None = None):
@@ -79,7 +81,11 @@ def consistency_groups(spark: SparkSession, d: str) -> DataFrame:
     """
     log = views.loops(spark, d)
     scored = log.where("candidate_score >= 0.3 AND NOT isnan(candidate_score) AND candidate_source IS NOT NULL").groupBy("candidate_source", "current_kf_id", "candidate_kf_id").agg(F.max("candidate_score").alias("score"))
-    asked = log.where("candidate_source IS NOT NULL").select("candidate_source").distinct().crossJoin(log.select("current_kf_id").distinct())  # a handful of sources
+    sources = [r[0] for r in log.where("candidate_source IS NOT NULL").select("candidate_source").distinct().limit(MOST_SOURCES + 1).collect()]
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources of candidates")
+    names = F.array(*[F.lit(s) for s in sorted(sources)]).cast("array<string>")
+    asked = log.select("current_kf_id").distinct().select(F.explode(names).alias("candidate_source"), "current_kf_id")
     empty = asked.join(scored, ["candidate_source", "current_kf_id"], "left_anti").withColumns({"candidate_kf_id": F.lit(-1).cast("bigint"), "score": F.lit(0.0), "found": F.lit(False)})
     rows = scored.withColumn("found", F.lit(True)).unionByName(empty).select("candidate_source", F.col("current_kf_id").alias("query"), F.col("candidate_kf_id").alias("candidate"), (-F.col("score")).alias("worse"), "found")
     # a candidate's group: keyframes within five of it
