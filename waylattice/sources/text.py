@@ -297,12 +297,14 @@ def newest(folder: str, pattern: str) -> str | None:
     return str(files[-1]) if files else None
 
 
+# --- fixed values: columns of the loop logs' files, as they are written ----------------------------------------
 LOG_TABLES = {
     "oracle": {"current_kf_id": "int", "candidate_kf_id": "int", "accepted": "bool", "rejection_stage": "string", "rejection_reason": "string", "candidate_source": "string", "bow_score": "float", "common_words": "int", "seed_inliers": "int", "refined_inliers": "int", "guided_projection_matches": "int", "final_matched_map_points": "int"},
     "profile": {"current_kf_id": "int", "num_raw_dbow_candidates": "int", "num_raw_inverted_candidates": "int", "num_candidates_after_temporal_filter": "int", "num_candidates_after_min_score": "int", "top_candidate_id": "int", "top_candidate_score": "float"},
     "source": {"current_kf_id": "int", "candidate_source": "string", "dbow3_candidates": "ints", "inverted_candidates": "ints", "chosen_candidates": "ints"},
     "density": {"current_kf_id": "int", "candidate_kf_id": "int", "candidate_group_size": "int", "current_local_map_points": "int", "candidate_local_map_points": "int", "final_matched_map_points": "int"},
 }
+# ---------------------------------------------------------------------------------------------------------------
 
 
 def read_log_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
