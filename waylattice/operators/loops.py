@@ -172,11 +172,14 @@ def manage_loops(candidates: DataFrame, closed: DataFrame, *, least: float, metr
 
     Of a pair proposed several times the best score counts.
     """
-    once = candidates.groupBy("node", "target").agg(F.max(F.struct("score", "residual")).alias("m")).select("node", "target", "m.score", "m.residual")
-    fresh = once.join(closed.select("node", "target").distinct(), ["node", "target"], "left_anti")
+    # candidates and closed pairs meet by node, which also is what the best are chosen by: each row moves once
+    m = F.struct("score", "residual")
+    both = candidates.select("node", "target", m.alias("m"), F.lit(False).alias("closed"))
+    both = both.unionByName(closed.where("node IS NOT NULL AND target IS NOT NULL").select("node", "target", F.lit(None).cast(both.schema["m"].dataType).alias("m"), F.lit(True).alias("closed")))
+    once = both.repartition("node").groupBy("node", "target").agg(F.max("m").alias("m"), F.max("closed").alias("closed"))
+    fresh = once.where("NOT closed").select("node", "target", "m.score", "m.residual")
     low, far = ~F.coalesce(F.col("score") >= least, F.lit(False)), ~F.coalesce(F.col("residual") <= metres, F.lit(False))
     gated = fresh.withColumn("gate", F.when(low, "rejected_score").when(far, "rejected_residual").otherwise("accepted"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "target"))
-    good = gated.where("gate = 'accepted'").withColumn("place", place)
-    status = F.when(F.col("place") <= per_node, "accepted").otherwise("accepted_limit")
-    return gated.where("gate <> 'accepted'").withColumnRenamed("gate", "status").unionByName(good.withColumn("status", status).drop("gate", "place"))
+    place = F.row_number().over(Window.partitionBy("node", "gate").orderBy(F.desc("score"), "target"))
+    status = F.when((F.col("gate") == "accepted") & (F.col("place") > per_node), "accepted_limit").otherwise(F.col("gate"))
+    return gated.withColumn("place", place).withColumn("status", status).drop("gate", "place")

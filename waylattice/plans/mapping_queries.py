@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..operators import asof, descriptors, graph, keyframes, maps, projection, trajectory
 from ..operators.blocks import in_blocks, own, ranked, window
+from ..session import cut
 from ..sources.tables import table
 from . import map_queries as mq
 from . import views
@@ -260,9 +261,10 @@ def new_depth_points(spark: SparkSession, d: str) -> DataFrame:
 def _submaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (poses), submaps of two hundred of them, and which node is a member of which."""
     n = ranked(views.est(spark, d).select("sequence_id", F.col("pose_id").alias("node"), "ts", F.col("tx").alias("x"), F.col("ty").alias("y")), "sequence_id", ["ts", "node"], "place").withColumn("block", F.expr("place div 200"))
-    s = n.groupBy("sequence_id", "block").agg(F.min("node").alias("submap"), F.avg("x").alias("sx"), F.avg("y").alias("sy"), F.count("*").alias("scans"))
-    members = n.join(s, ["sequence_id", "block"]).select("node", "submap")
-    return n.select("node", "x", "y"), s.select("submap", F.col("sx").alias("x"), F.col("sy").alias("y"), "scans", (F.col("scans") == 200).alias("finished")), members
+    # written once: three readers follow, and an average computed again could differ in its last bit
+    s = cut(n.groupBy("sequence_id", "block").agg(F.min("node").alias("submap"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("scans")))
+    n = cut(n.join(s.select("sequence_id", "block", "submap"), ["sequence_id", "block"]).select("node", "x", "y", "submap"))
+    return n.select("node", "x", "y"), s.select("submap", "x", "y", "scans", (F.col("scans") == 200).alias("finished")), n.select("node", "submap")
 
 
 _SUBMAPS = """nodes AS (SELECT pose_id AS node, tx AS x, ty AS y, sequence_id, (row_number() OVER (PARTITION BY sequence_id ORDER BY ts, pose_id) - 1) // 200 AS block FROM v_est),
